@@ -128,7 +128,7 @@ def primary_reason(rules: Mapping[str, Column]) -> Column:
 
 def period_from_path(path: Column) -> Column:
     """``YYYY-MM`` from a file name holding ``YYYYMM`` or ``YYYY-MM``; null when absent."""
-    found = F.regexp_extract(path, r"(20\d{2})[-_]?(0[1-9]|1[0-2])", 0)
+    found = F.regexp_extract(path, r"((?:19|20)\d{2})[-_]?(0[1-9]|1[0-2])", 0)
     digits = F.regexp_replace(found, r"[-_]", "")
     return F.when(
         F.length(digits) == 6, F.concat_ws("-", F.substring(digits, 1, 4), F.substring(digits, 5, 2))

@@ -18,8 +18,7 @@ def count_code(c: Column, top: int = 3) -> Column:
 
 
 def count_label(c: Column, labels: Sequence[str] = COUNT_LABELS) -> Column:
-    code = count_code(c, len(labels) - 1)
-    return F.element_at(F.array(*[F.lit(v) for v in labels]), code + 1)
+    return F.get(F.array(*[F.lit(v) for v in labels]), count_code(c, len(labels) - 1))
 
 
 def cut_code(c: Column, cuts: Column, k: int | None = None) -> Column:
@@ -33,7 +32,7 @@ def cut_code(c: Column, cuts: Column, k: int | None = None) -> Column:
 
 
 def cut_label(c: Column, cuts: Column, labels: Sequence[str] = CUT_LABELS, k: int | None = None) -> Column:
-    return F.element_at(F.array(*[F.lit(v) for v in labels]), cut_code(c, cuts, k) + 1)
+    return F.get(F.array(*[F.lit(v) for v in labels]), cut_code(c, cuts, k))
 
 
 def class_binary(c: Column) -> Column:
