@@ -1,4 +1,4 @@
 """All registered queries."""
 
-from tallyfloor.catalog import columns, core  # noqa: F401
+from tallyfloor.catalog import columns, core, resampling  # noqa: F401
 from tallyfloor.catalog.base import QUERIES, SQL  # noqa: F401

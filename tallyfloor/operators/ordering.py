@@ -17,21 +17,21 @@ _CUTS = 256  # about this many ranges per group, whatever its size
 def cumulative_counts(df: DataFrame, value: str, keys: Sequence[str] = (), weight: str | None = None) -> DataFrame:
     """(keys, value) -> n, n_below, total: how many rows hold the value, lie below it, exist."""
     n = F.count("*") if weight is None else F.sum(weight)
-    tally = df.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(n.alias("n"))
-    keys = list(keys)
-    group = keys or ["__all"]
-    if not keys:
-        tally = tally.withColumn("__all", F.lit(0))
-    distinct = tally.groupBy(*group).agg(F.count("*").alias("__k"), F.sum("n").alias("total"))
-    small = F.greatest(F.lit(1), F.floor(F.col("__k") / _CUTS))
-    tally = _with_group(tally, distinct, group, bool(keys))
-    chosen = F.pmod(F.xxhash64(F.col(value).cast("string")), small.cast("long")) == 0
-    bounds = tally.groupBy(*group).agg(
-        F.sort_array(F.collect_list(F.when(chosen & (F.col("__k") > _CUTS), F.col(value)))).alias("__bounds")
+    group = list(keys) or ["__all"]
+    src = df if keys else df.withColumn("__all", F.lit(0))
+    # Without keys the per-group tables below hold one row, so they are broadcast.
+    one = (lambda t: t) if keys else F.broadcast
+    tally = src.where(F.col(value).isNotNull()).groupBy(*group, value).agg(n.alias("n"))
+    sizes = tally.groupBy(*group).agg(F.count("*").alias("__k"), F.sum("n").alias("total"))
+    step = F.greatest(F.lit(1), F.floor(F.col("__k") / _CUTS)).cast("long")
+    chosen = (F.col("__k") > _CUTS) & (F.pmod(F.xxhash64(F.col(value).cast("string")), step) == 0)
+    bounds = tally.join(one(sizes), group).groupBy(*group).agg(
+        F.max("total").alias("total"),
+        F.sort_array(F.collect_list(F.when(chosen, F.col(value)))).alias("__bounds"),
     )
-    placed = _with_group(tally, bounds, group, bool(keys)).withColumn(
+    placed = tally.join(one(bounds), group).withColumn(
         "__range", F.size(F.filter("__bounds", lambda b: b <= F.col(value)))
-    ).drop("__bounds", "__k")
+    ).drop("__bounds")
     ranges = placed.groupBy(*group, "__range").agg(F.sum("n").alias("__rn"))
     w_before = W.partitionBy(*group).orderBy("__range").rowsBetween(W.unboundedPreceding, -1)
     ranges = ranges.withColumn("__before", F.coalesce(F.sum("__rn").over(w_before), F.lit(0))).drop("__rn")
@@ -42,15 +42,6 @@ def cumulative_counts(df: DataFrame, value: str, keys: Sequence[str] = (), weigh
     return ranked.select(*keys, value, "n", "n_below", "total")
 
 
-def _with_group(df: DataFrame, table: DataFrame, group: list[str], keyed: bool) -> DataFrame:
-    """Attach per-group values: a join when there are keys, scalars when there are none."""
-    if keyed:
-        return df.join(table, group)
-    return df.withColumns(
-        {c: table.select(c).scalar() for c in table.columns if c not in group}
-    )
-
-
 def quantiles(df: DataFrame, value: str, probs: dict[str, float], keys: Sequence[str] = ()) -> DataFrame:
     """Linear-interpolated exact quantiles, one column per name."""
     c = cumulative_counts(df, value, keys)
