@@ -25,13 +25,17 @@ def _reps(series: DataFrame, reps: int) -> DataFrame:
     return series.withColumn("rep", F.explode(F.sequence(F.lit(1), F.lit(reps))))
 
 
-def _emit(frame: DataFrame, source: Column, keys: Sequence[str], base: Sequence[str]) -> DataFrame:
-    """Rows (keys, rep, base.., b, y): the side state at ``source`` beside base and target at pos."""
-    rows = frame.select(*keys, "rep", F.posexplode(source).alias("pos", "from"), "s")
-    return rows.select(
-        *keys, "rep", *[F.col("s")[F.col("pos")][c].alias(c) for c in base],
-        F.col("s")[F.col("from")]["b"].alias("b"), F.col("s")[F.col("pos")]["y"].alias("y"),
+def _emit(frame: DataFrame, source, keys: Sequence[str], base: Sequence[str]) -> DataFrame:
+    """Rows (keys, rep, base.., b, y): the side state at ``source(p)`` beside base and target at
+    ``p``. The series is rebuilt as one array first, so exploding it does not drag it along."""
+    rebuilt = F.transform(
+        F.sequence(F.lit(0), F.col("t") - 1),
+        lambda p: F.struct(
+            *[F.col("s")[p][c].alias(c) for c in base],
+            F.col("s")[source(p).cast("int")]["b"].alias("b"), F.col("s")[p]["y"].alias("y"),
+        ),
     )
+    return frame.select(*keys, "rep", F.explode(rebuilt).alias("e")).select(*keys, "rep", "e.*")
 
 
 def temporal_blocks(series: DataFrame, unit: str, reps: int, length: int, label: str, keys: Sequence[str], base: Sequence[str]) -> DataFrame:
@@ -42,11 +46,9 @@ def temporal_blocks(series: DataFrame, unit: str, reps: int, length: int, label:
         lambda i: F.struct(draw(label, F.col("rep"), F.col(unit), i).alias("d"), i.alias("i")),
     ))
     f = f.withColumn("donor", order)
-    source = F.transform(
-        F.sequence(F.lit(0), F.col("t") - 1),
-        lambda p: F.when(p < F.col("nb") * length, F.col("donor")[F.floor(p / length).cast("int")]["i"] * length + p % length).otherwise(p),
-    )
-    return _emit(f, source, keys, base)
+    return _emit(f, lambda p: F.when(
+        p < F.col("nb") * length, F.col("donor")[F.floor(p / length).cast("int")]["i"] * length + p % length
+    ).otherwise(p), keys, base)
 
 
 def circular_shift(series: DataFrame, unit: str, reps: int, minimum: int, label: str, keys: Sequence[str], base: Sequence[str]) -> DataFrame:
@@ -54,8 +56,7 @@ def circular_shift(series: DataFrame, unit: str, reps: int, minimum: int, label:
     short = F.when(F.col("t") <= 2 * minimum, F.raise_error(F.lit("series too short for the shift"))).otherwise(F.col("t"))
     f = _reps(series.withColumn("t", short.cast("int")), reps)
     f = f.withColumn("shift", (draw_below(F.col("t") - 2 * minimum + 1, label, F.col("rep"), F.col(unit)) + minimum).cast("int"))
-    source = F.transform(F.sequence(F.lit(0), F.col("t") - 1), lambda p: F.pmod(p + F.col("shift"), F.col("t")))
-    return _emit(f, source, keys, base)
+    return _emit(f, lambda p: F.pmod(p + F.col("shift"), F.col("t")), keys, base)
 
 
 def unit_permutation(units: DataFrame, unit: str, reps: int, label: str, group: Sequence[str] = ()) -> DataFrame:
@@ -76,8 +77,8 @@ def series_permutation(series: DataFrame, unit: str, reps: int, label: str, keys
     pairs = unit_permutation(series, unit, reps, label, group)
     b = series.select(F.col(unit).alias("donor"), *group, F.transform("s", lambda e: e["b"]).alias("bs"))
     j = pairs.join(series.select(*{unit, *keys, *group}, "s"), [unit, *group]).join(b, ["donor", *group])
-    rows = j.select(*keys, "rep", F.posexplode("s").alias("pos", "e"), "bs")
-    return rows.select(*keys, "rep", *[F.col("e")[c].alias(c) for c in base], F.col("bs")[F.col("pos")].alias("b"), F.col("e")["y"].alias("y"))
+    rebuilt = F.transform("s", lambda e, i: F.struct(*[e[c].alias(c) for c in base], F.col("bs")[i].alias("b"), e["y"].alias("y")))
+    return j.select(*keys, "rep", F.explode(rebuilt).alias("e")).select(*keys, "rep", "e.*")
 
 
 def block_strata(rows: DataFrame, unit: str, pos: str, date: str, lag_state: str, holiday: str, length: int, minimum: int = 5) -> DataFrame:
@@ -116,11 +117,9 @@ def matched_blocks(series: DataFrame, strata: DataFrame, unit: str, reps: int, l
         ).otherwise(e["block"]),
     )
     f = f.withColumn("donor", donor)
-    source = F.transform(
-        F.sequence(F.lit(0), F.col("t") - 1),
-        lambda p: F.when(p < F.size("donor") * length, F.col("donor")[F.floor(p / length).cast("int")] * length + p % length).otherwise(p),
-    )
-    return _emit(f, source, keys, base)
+    return _emit(f, lambda p: F.when(
+        p < F.size("donor") * length, F.col("donor")[F.floor(p / length).cast("int")] * length + p % length
+    ).otherwise(p), keys, base)
 
 
 def state_matched(rows: DataFrame, row_key: Sequence[str], reps: int, label: str, keys: Sequence[str], base: Sequence[str], side: str, target: str) -> DataFrame:

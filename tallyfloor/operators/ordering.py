@@ -1,8 +1,9 @@
-"""Exact ranks and quantiles without ordering a whole group in one task.
+"""Exact ranks and quantiles without ordering a large group in one task.
 
-Values are tallied first, so ties collapse. The distinct values of a group are then cut into
-ranges at a sample of themselves; ranks run inside a range, and the totals of the ranges
-before it are added. The sample is chosen by hash, so every retry cuts at the same places.
+Values are tallied first, so ties collapse, and the tally is written once. Where every group
+has few distinct values a window per group does. Beyond that the distinct values of a group
+are cut into ranges at a sample of themselves; ranks run inside a range, and the totals of
+the ranges before it are added. The sample is chosen by hash, so retries cut at the same places.
 """
 
 from __future__ import annotations
@@ -11,23 +12,33 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-_CUTS = 256  # about this many ranges per group, whatever its size
+from tallyfloor.operators.settle import settle
 
+SMALL = 200_000  # distinct values of a group that one task may order
+_CUTS = 256  # about this many ranges per larger group
 
-def cumulative_counts(df: DataFrame, value: str, keys: Sequence[str] = (), weight: str | None = None) -> DataFrame:
+
+def cumulative_counts(df: DataFrame, value: str, keys: Sequence[str] = (), weight: str | None = None,
+                      small: int | None = None) -> DataFrame:
     """(keys, value) -> n, n_below, total: how many rows hold the value, lie below it, exist."""
     n = F.count("*") if weight is None else F.sum(weight)
     group = list(keys) or ["__all"]
     src = df if keys else df.withColumn("__all", F.lit(0))
+    tally = settle(src.where(F.col(value).isNotNull()).groupBy(*group, value).agg(n.alias("n")))
+    largest = tally.groupBy(*group).count().agg(F.max("count")).first()[0] or 0
+    if largest <= (SMALL if small is None else small):
+        w = W.partitionBy(*group)
+        before = F.sum("n").over(w.orderBy(value).rowsBetween(W.unboundedPreceding, -1))
+        ranked = tally.withColumns({"n_below": F.coalesce(before, F.lit(0)), "total": F.sum("n").over(w)})
+        return ranked.select(*keys, value, "n", "n_below", "total")
     # Without keys the per-group tables below hold one row, so they are broadcast.
     one = (lambda t: t) if keys else F.broadcast
-    tally = src.where(F.col(value).isNotNull()).groupBy(*group, value).agg(n.alias("n"))
     sizes = tally.groupBy(*group).agg(F.count("*").alias("__k"), F.sum("n").alias("total"))
     step = F.greatest(F.lit(1), F.floor(F.col("__k") / _CUTS)).cast("long")
-    chosen = (F.col("__k") > _CUTS) & (F.pmod(F.xxhash64(F.col(value).cast("string")), step) == 0)
+    chosen = F.pmod(F.xxhash64(F.col(value).cast("string")), step) == 0
     bounds = tally.join(one(sizes), group).groupBy(*group).agg(
         F.max("total").alias("total"),
-        F.sort_array(F.collect_list(F.when(chosen, F.col(value)))).alias("__bounds"),
+        F.sort_array(F.collect_list(F.when(chosen & (F.col("__k") > _CUTS), F.col(value)))).alias("__bounds"),
     )
     placed = tally.join(one(bounds), group).withColumn(
         "__range", F.size(F.filter("__bounds", lambda b: b <= F.col(value)))

@@ -49,3 +49,8 @@ def spearman_bootstrap(df: DataFrame, unit: str, x: str, y: str, reps: int, labe
     c = F.col
     den = F.sqrt((c("n") * c("sxx") - c("sx") ** 2) * (c("n") * c("syy") - c("sy") ** 2))
     return m.select("rep", F.when(den > 0, (c("n") * c("sxy") - c("sx") * c("sy")) / den).alias("rho"))
+
+
+def constant_keyed(df: DataFrame, key: str, values: Sequence[str]) -> DataFrame:
+    """Repeat a small frame once per value of a fixed list."""
+    return df.withColumn(key, F.explode(F.array(*[F.lit(v) for v in values])))
