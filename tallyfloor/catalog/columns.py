@@ -217,7 +217,7 @@ def _(spark, sf):
 _TOP = cte(P_EV, f"cap AS (SELECT ceil(quantile_cont(y, 0.9)) AS cap FROM panel WHERE period <= DATE '{EV_TRAIN_END}')")
 
 
-@register("b28_top_code", _TOP + "SELECT CAST(LEAST(y,cap) AS BIGINT) AS y, CAST(LEAST(y1,cap) AS BIGINT) AS y1, COUNT(*) AS n FROM lagged, cap GROUP BY ALL")
+@register("b28_top_code", _TOP + "SELECT CAST(LEAST(y,cap) AS BIGINT) AS y, CAST(CASE WHEN y1>cap THEN cap ELSE y1 END AS BIGINT) AS y1, COUNT(*) AS n FROM lagged, cap GROUP BY ALL")
 def _(spark, sf):
     p = events_panel(spark, sf)
     tally = p.where(F.col("period") <= F.lit(EV_TRAIN_END).cast("date")).groupBy("y").agg(F.count("*").alias("n"))

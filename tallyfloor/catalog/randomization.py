@@ -183,7 +183,9 @@ _STRIDE = 7
 
 
 @register("i12_long_panel_calibration", cte(P_OR, REP, "os AS (SELECT *, (period - DATE '1995-01-02') AS pos, COUNT(*) OVER (PARTITION BY unit) AS t FROM oprep)",
-    f"on2 AS (SELECT rp.rep, a.dow, a.zl, a.y, d.b FROM os a, rp, os d WHERE d.unit=a.unit AND d.pos = (a.pos + 60 + {sql_draw(repr('long'), 'rp.rep', 'a.unit')} % (a.t-119)) % a.t)",
+    f"sh AS (SELECT rep, unit, t, 60 + {sql_draw(repr('long'), 'rep', 'unit')} % (t-119) AS k FROM rp, (SELECT DISTINCT unit, t FROM os))",
+    "dn AS (SELECT sh.rep, os.unit, (os.pos - sh.k + os.t) % os.t AS pos, os.b FROM os JOIN sh USING (unit))",
+    "on2 AS (SELECT dn.rep, a.dow, a.zl, a.y, dn.b FROM os a JOIN dn ON dn.unit=a.unit AND dn.pos=a.pos)",
     sql_info("on2", ["rep"], ["dow", "zl"], "b", "y", "1", "i")) + f"SELECT rep, CAST(n AS BIGINT) AS n, {r('hb','hb')}, {big('side_atoms','side_atoms')} FROM i")
 def _(spark, sf):
     s = nulls.unit_series(orders_prepared(spark, sf), ["unit"], "period", B, "b", "y")

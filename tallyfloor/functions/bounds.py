@@ -93,9 +93,8 @@ def max_entropy(d: str) -> Column:
 
 def closed_floor(h: Column) -> Column:
     """Entropy-power floor less the variance of the unit cell, not below zero."""
-    return F.greatest(
-        F.lit(0.0), F.pow(F.lit(2.0), 2.0 * h) / F.lit(2 * math.pi * math.e) - F.lit(1.0 / 12.0)
-    )
+    value = F.pow(F.lit(2.0), 2.0 * h) / F.lit(2 * math.pi * math.e) - F.lit(1.0 / 12.0)
+    return F.when(value < 0, F.lit(0.0)).otherwise(value)
 
 
 def fano_floor(h: str, classes: int) -> Column:
@@ -183,7 +182,7 @@ def interp_floor(df: DataFrame, h: str, table: DataFrame, out: str, max_h: float
     """Floor of ``h`` from the table. The table is broadcast: its row count follows from
     ``max_h`` (about 1300 rows for 8 bits) and not from the data."""
     last = 880 + int(math.floor(max_h * 100 + 0.5)) - 400 - 1
-    x = F.greatest(F.col(h), F.lit(0.0))
+    x = F.when(F.col(h) < 0, F.lit(0.0)).otherwise(F.col(h))
     checked = F.when(x > max_h, F.raise_error(F.lit("entropy exceeds the floor table"))).otherwise(x)
     t = F.broadcast(
         table.select(*[F.col(n).alias(f"__{n}") for n in table.columns])
@@ -207,9 +206,9 @@ def attach_floors(df: DataFrame, h0: str, hb: str, table: DataFrame | None = Non
                   max_h: float = 8.0) -> DataFrame:
     """Project the entropy pair to ``0 <= hb <= h0`` and add both floors and their difference.
     The raw entropies stay as they are. With a table the floors are interpolated."""
-    p0 = F.greatest(F.col(h0), F.lit(0.0))
-    out = df.withColumn("h0_bound", p0).withColumn(
-        "hb_bound", F.least(F.greatest(F.col(hb), F.lit(0.0)), F.col("h0_bound"))
+    known = F.col(h0).isNotNull() & F.col(hb).isNotNull()
+    out = df.withColumn("h0_bound", F.when(known, F.greatest(F.col(h0), F.lit(0.0)))).withColumn(
+        "hb_bound", F.when(known, F.least(F.greatest(F.col(hb), F.lit(0.0)), F.col("h0_bound")))
     )
     if table is None:
         out = out.withColumns({"l0": exact_floor("h0_bound"), "lb": exact_floor("hb_bound")})

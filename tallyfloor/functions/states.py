@@ -40,16 +40,17 @@ def class_binary(c: Column) -> Column:
 
 
 def class_three(c: Column) -> Column:
-    return F.least(c, F.lit(2)).cast("int")
+    return F.when(c > 2, F.lit(2)).otherwise(c).cast("int")
 
 
 def half_up(c: Column) -> Column:
     """Nonnegative integer nearest to the value, halves upward."""
-    return F.floor(F.greatest(c, F.lit(0.0)) + F.lit(0.5))
+    return F.floor(F.when(c < 0, F.lit(0.0)).otherwise(c) + F.lit(0.5))
 
 
 def top_code(c: Column, cap) -> Column:
-    return F.least(c, cap if isinstance(cap, Column) else F.lit(cap))
+    top = cap if isinstance(cap, Column) else F.lit(cap)
+    return F.when(c > top, top).otherwise(c)
 
 
 def abs_measure(c: Column) -> Column:

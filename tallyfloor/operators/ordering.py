@@ -55,13 +55,13 @@ def cumulative_counts(df: DataFrame, value: str, keys: Sequence[str] = (), weigh
 
 def quantiles(df: DataFrame, value: str, probs: dict[str, float], keys: Sequence[str] = ()) -> DataFrame:
     """Linear-interpolated exact quantiles, one column per name."""
-    c = cumulative_counts(df, value, keys)
+    c = cumulative_counts(df.select(*keys, F.col(value).alias("__val")), "__val", keys)
     lo_hi = []
     for name, p in probs.items():
         pos = F.lit(float(p)) * (F.col("total") - 1)
         for tag, at in (("lo", F.floor(pos)), ("hi", F.ceil(pos))):
             hit = (F.col("n_below") <= at) & (at < F.col("n_below") + F.col("n"))
-            lo_hi.append(F.max(F.when(hit, F.col(value))).alias(f"__{name}_{tag}"))
+            lo_hi.append(F.max(F.when(hit, F.col("__val"))).alias(f"__{name}_{tag}"))
         lo_hi.append(F.max(pos - F.floor(pos)).alias(f"__{name}_f"))
     agg = c.groupBy(*keys).agg(*lo_hi)
     return agg.select(
@@ -75,8 +75,8 @@ def quantiles(df: DataFrame, value: str, probs: dict[str, float], keys: Sequence
 
 def average_ranks(df: DataFrame, value: str, out: str, keys: Sequence[str] = ()) -> DataFrame:
     """Rows with the mean rank of their tie group (1-based)."""
-    c = cumulative_counts(df, value, keys).select(
-        *keys, value, (F.col("n_below") + (F.col("n") + 1) / 2.0).alias(out)
+    c = cumulative_counts(df.select(*keys, F.col(value).alias("__val")), "__val", keys).select(
+        *keys, F.col("__val").alias(value), (F.col("n_below") + (F.col("n") + 1) / 2.0).alias(out)
     )
     return df.join(c, [*keys, value])
 
@@ -162,11 +162,11 @@ def best_candidate(df: DataFrame, keys: Sequence[str], order: Sequence[str]) ->
 def top_share(df: DataFrame, value: str, share: float, keys: Sequence[str] = ()) -> DataFrame:
     """Part of the total held by the top ``ceil(share * n)`` rows. Rows tied at the edge are
     equal, so the sum needs counts of values only and no order among them."""
-    c = cumulative_counts(df, value, keys)
+    c = cumulative_counts(df.select(*keys, F.col(value).alias("__val")), "__val", keys)
     above = F.col("total") - F.col("n_below") - F.col("n")
     room = F.greatest(F.lit(0), F.ceil(F.col("total") * F.lit(share)) - above)
     taken = F.least(F.col("n"), room)
     return c.groupBy(*keys).agg(
         F.max("total").alias("units"),
-        (F.sum(taken * F.col(value)) / F.sum(F.col("n") * F.col(value))).alias("top_share"),
+        (F.sum(taken * F.col("__val")) / F.sum(F.col("n") * F.col("__val"))).alias("top_share"),
     )
