@@ -8,6 +8,7 @@ from tallyfloor.catalog.base import *  # noqa: F403
 from tallyfloor.catalog.base import big, cte, r, read, register
 from tallyfloor.functions import bounds
 from tallyfloor.operators import information as info, ordering, panel as pn, resample as rs
+from tallyfloor.operators.settle import settle
 
 REPS, BLOCKS = 40, 5
 B = ["dow", "zl"]
@@ -49,7 +50,8 @@ def _(spark, sf):
 
 def ordered_blocks(spark, sf, reps=6):
     periods = read(spark, sf, "orders").select(F.to_date("o_orderdate").alias("period"))
-    blocks, pmap = rs.block_universe(periods, "period", 7)
+    # One row per calendar period: small, and read by several steps below.
+    blocks, pmap = (settle(t) for t in rs.block_universe(settle(periods.distinct()), "period", 7))
     return blocks, pmap, rs.balanced_order(blocks, reps, "sample")
 
 

@@ -1,7 +1,7 @@
 """Forecasts from categorical states and their comparison.
 
 All features are categories, so training data are first compressed to cells: one row per
-combination with its row count ``n`` and target total ``s``. The likelihoods depend on nothing else.
+combination with its row count ``cell_n`` and target total ``cell_sum``. The likelihoods depend on nothing else.
 """
 
 from __future__ import annotations
@@ -15,7 +15,7 @@ from tallyfloor.operators.settle import settle
 
 
 def cells(df: DataFrame, features: Sequence[str], y: str, keys: Sequence[str] = ()) -> DataFrame:
-    return df.groupBy(*keys, *features).agg(F.count("*").alias("n"), F.sum(y).cast("double").alias("s"))
+    return df.groupBy(*keys, *features).agg(F.count("*").alias("cell_n"), F.sum(y).cast("double").alias("cell_sum"))
 
 
 def state_mean(train: DataFrame, rows: DataFrame, unit: str, states: Sequence[str], smoothing, out: str = "prediction",
@@ -24,7 +24,7 @@ def state_mean(train: DataFrame, rows: DataFrame, unit: str, states: Sequence[st
     overall mean. ``train`` is a cell table; ``smoothing`` a number or a column of ``rows``."""
     keys, full = list(keys), [*keys, unit, *states]
     k = smoothing if isinstance(smoothing, Column) else F.lit(float(smoothing))
-    cell = train.groupBy(*full).agg(F.sum("n").alias("__n"), F.sum("s").alias("__s"))
+    cell = train.groupBy(*full).agg(F.sum("cell_n").alias("__n"), F.sum("cell_sum").alias("__s"))
     units = cell.groupBy(*keys, unit).agg((F.sum("__s") / F.sum("__n")).alias("__unit"))
     total = cell.groupBy(*keys).agg((F.sum("__s") / F.sum("__n")).alias("__all"))
     j = rows.join(cell, full, "left").join(units, [*keys, unit], "left")
@@ -104,23 +104,29 @@ def fit_log_linear(cell: DataFrame, features: Sequence[str], l2: float, dispersi
 
     cell = settle(cell)
     r = None if dispersion is None else 1.0 / dispersion
-    total = cell.agg(F.sum("n").alias("n"), F.sum("s").alias("s")).first()
-    size = float(total["n"])
+    total = cell.agg(F.sum("cell_n").alias("cell_n"), F.sum("cell_sum").alias("cell_sum")).first()
+    size = float(total["cell_n"])
     tables = {f: settle(cell.select(f).distinct().withColumn(f"b_{f}", F.lit(0.0))) for f in features}
-    model = LogLinear(features, math.log(max(float(total["s"]) / size, 1e-6)), tables, {f: t.count() for f, t in tables.items()})
+    model = LogLinear(features, math.log(max(float(total["cell_sum"]) / size, 1e-6)), tables, {f: t.count() for f, t in tables.items()})
 
     mu = F.exp("eta")
     if r is None:
-        g, h = F.col("s") - F.col("n") * mu, F.col("n") * mu
+        g, h = F.col("cell_sum") - F.col("cell_n") * mu, F.col("cell_n") * mu
     else:
-        g, h = r * (F.col("s") - F.col("n") * mu) / (r + mu), F.col("n") * r * mu / (r + mu)
-    clip = lambda step: F.greatest(F.least(step, F.lit(2.0)), F.lit(-2.0))
+        g, h = r * (F.col("cell_sum") - F.col("cell_n") * mu) / (r + mu), F.col("cell_n") * r * mu / (r + mu)
+    G, H = F.col("__g"), F.col("__h")
     for _ in range(sweeps):
         for f in features:
+            # One Newton step for the levels of f together with the intercept: the levels are
+            # independent given the intercept's move, so it is eliminated by two sums over levels.
             b = F.first(f"b_{f}")
-            step = clip((F.sum(g) / size - l2 * b) / (F.sum(h) / size + l2))
-            model.tables[f] = settle(model.attach(cell).groupBy(f).agg((b + step).alias(f"b_{f}")))
-        model.intercept += model.attach(cell).agg(clip(F.sum(g) / F.sum(h))).first()[0]
+            level = settle(model.attach(cell).groupBy(f).agg(
+                b.alias("__b"), (F.sum(g) / size - l2 * b).alias("__g"), (F.sum(h) / size).alias("__h"), (F.sum(g) / size).alias("__raw")))
+            top, bottom = level.agg(F.sum(F.col("__raw")) - F.sum(H * G / (H + l2)), F.sum(H * l2 / (H + l2))).first()
+            move = max(-2.0, min(2.0, top / bottom))
+            step = (G - H * move) / (H + l2)
+            model.tables[f] = level.select(f, (F.col("__b") + F.greatest(F.least(step, F.lit(2.0)), F.lit(-2.0))).alias(f"b_{f}"))
+            model.intercept += move
     return model
 
 
@@ -135,9 +141,9 @@ def boost_poisson(cell: DataFrame, features: Sequence[str], rounds: int, learnin
     from pyspark.ml.feature import VectorAssembler
     from pyspark.ml.regression import DecisionTreeRegressor
 
-    total = cell.agg(F.sum("n").alias("n"), F.sum("s").alias("s")).first()
-    size, base = float(total["n"]), float(total["s"]) / float(total["n"])
-    codes = {f: settle(cell.groupBy(f).agg((F.sum("s") / F.sum("n")).alias(f"__c_{f}"))) for f in features}
+    total = cell.agg(F.sum("cell_n").alias("cell_n"), F.sum("cell_sum").alias("cell_sum")).first()
+    size, base = float(total["cell_n"]), float(total["cell_sum"]) / float(total["cell_n"])
+    codes = {f: settle(cell.groupBy(f).agg((F.sum("cell_sum") / F.sum("cell_n")).alias(f"__c_{f}"))) for f in features}
     assembler = VectorAssembler(inputCols=[f"__c_{f}" for f in features], outputCol="__x")
 
     def encode(frame: DataFrame) -> DataFrame:
@@ -151,13 +157,13 @@ def boost_poisson(cell: DataFrame, features: Sequence[str], rounds: int, learnin
     trees = []
     for _ in range(rounds):
         mu = F.exp("eta")
-        fit = work.withColumn("__label", F.col("s") / F.col("n") - mu).withColumn("__w", F.col("n").cast("double"))
+        fit = work.withColumn("__label", F.col("cell_sum") / F.col("cell_n") - mu).withColumn("__w", F.col("cell_n").cast("double"))
         tree = DecisionTreeRegressor(
             featuresCol="__x", labelCol="__label", weightCol="__w", leafCol="__leaf", predictionCol="__p", maxDepth=depth,
             maxBins=bins, minWeightFractionPerNode=min(0.49, min_rows / size), seed=1,
         ).fit(fit)
         leaves = tree.transform(fit).drop("__p")
-        step = learning_rate * F.sum(F.col("s") - F.col("n") * mu) / (F.sum(F.col("n") * mu) + l2)
+        step = learning_rate * F.sum(F.col("cell_sum") - F.col("cell_n") * mu) / (F.sum(F.col("cell_n") * mu) + l2)
         moves = settle(leaves.groupBy("__leaf").agg(step.alias("__step")))
         work = settle(leaves.join(F.broadcast(moves), "__leaf").withColumn("eta", F.col("eta") + F.col("__step")).drop("__leaf", "__step", "__label", "__w"))
         trees.append((tree, moves))  # at most 2**depth leaves

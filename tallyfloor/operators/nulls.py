@@ -65,7 +65,8 @@ def unit_permutation(units: DataFrame, unit: str, reps: int, label: str, group:
     group = list(group)
     base = units.select(*group, unit).distinct()
     to = ordering.cumulative_counts(base, unit, group).select(*group, F.col(unit), F.col("n_below").alias("__r"))
-    f = base.withColumn("rep", F.explode(F.sequence(F.lit(1), F.lit(reps)))).withColumn("__d", draw(label, F.col("rep"), F.col(unit)))
+    f = base.withColumn("rep", F.explode(F.sequence(F.lit(1), F.lit(reps))))
+    f = f.withColumn("__d", draw(label, F.col("rep"), F.col(unit)))
     donors = ordering.row_ranks(f, "__d", unit, "__rank", ["rep", *group]).select(
         "rep", *group, F.col(unit).alias("donor"), (F.col("__rank") - 1).alias("__r")
     )

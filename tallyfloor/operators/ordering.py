@@ -18,14 +18,25 @@ SMALL = 200_000  # distinct values of a group that one task may order
 _CUTS = 256  # about this many ranges per larger group
 
 
-def cumulative_counts(df: DataFrame, value: str, keys: Sequence[str] = (), weight: str | None = None,
-                      small: int | None = None) -> DataFrame:
-    """(keys, value) -> n, n_below, total: how many rows hold the value, lie below it, exist."""
+def _tally(df: DataFrame, value: str, keys: Sequence[str], weight: str | None, unique: bool = False) -> tuple[DataFrame, int]:
+    """Counts per value, written once, and the number of distinct values of the largest group.
+    Values known to be distinct already are written as they are."""
     n = F.count("*") if weight is None else F.sum(weight)
     group = list(keys) or ["__all"]
     src = df if keys else df.withColumn("__all", F.lit(0))
-    tally = settle(src.where(F.col(value).isNotNull()).groupBy(*group, value).agg(n.alias("n")))
-    largest = tally.groupBy(*group).count().agg(F.max("count")).first()[0] or 0
+    src = src.where(F.col(value).isNotNull())
+    if unique:
+        tally = settle(src.select(*group, value, F.lit(1).cast("long").alias("n")))
+    else:
+        tally = settle(src.groupBy(*group, value).agg(n.alias("n")))
+    return tally, tally.groupBy(*group).count().agg(F.max("count")).first()[0] or 0
+
+
+def cumulative_counts(df: DataFrame, value: str, keys: Sequence[str] = (), weight: str | None = None,
+                      small: int | None = None, unique: bool = False) -> DataFrame:
+    """(keys, value) -> n, n_below, total: how many rows hold the value, lie below it, exist."""
+    group = list(keys) or ["__all"]
+    tally, largest = _tally(df, value, keys, weight, unique)
     if largest <= (SMALL if small is None else small):
         w = W.partitionBy(*group)
         before = F.sum("n").over(w.orderBy(value).rowsBetween(W.unboundedPreceding, -1))
@@ -53,9 +64,19 @@ def cumulative_counts(df: DataFrame, value: str, keys: Sequence[str] = (), weigh
     return ranked.select(*keys, value, "n", "n_below", "total")
 
 
-def quantiles(df: DataFrame, value: str, probs: dict[str, float], keys: Sequence[str] = ()) -> DataFrame:
-    """Linear-interpolated exact quantiles, one column per name."""
-    c = cumulative_counts(df.select(*keys, F.col(value).alias("__val")), "__val", keys)
+def quantiles(df: DataFrame, value: str, probs: dict[str, float], keys: Sequence[str] = (), small: int | None = None,
+              rows: str | None = None) -> DataFrame:
+    """Linear-interpolated exact quantiles, one column per name, and the row count as ``rows``.
+    The built-in aggregate takes the tally where every group has few distinct values; larger
+    groups are ranked over ranges and the two neighbours of each position picked out."""
+    src = df.select(*keys, F.col(value).alias("__val"))
+    limit = SMALL if small is None else small
+    tally, largest = _tally(src, "__val", keys, None)
+    extra = [] if rows is None else [rows]
+    if largest <= limit:
+        agg = [F.expr(f"percentile(__val, {float(p)!r}D, n)").alias(name) for name, p in probs.items()]
+        return tally.groupBy(*(keys or ["__all"])).agg(*agg, F.sum("n").alias(rows or "__rows")).select(*keys, *probs, *extra)
+    c = cumulative_counts(src, "__val", keys, small=limit)
     lo_hi = []
     for name, p in probs.items():
         pos = F.lit(float(p)) * (F.col("total") - 1)
@@ -63,13 +84,14 @@ def quantiles(df: DataFrame, value: str, probs: dict[str, float], keys: Sequence
             hit = (F.col("n_below") <= at) & (at < F.col("n_below") + F.col("n"))
             lo_hi.append(F.max(F.when(hit, F.col("__val"))).alias(f"__{name}_{tag}"))
         lo_hi.append(F.max(pos - F.floor(pos)).alias(f"__{name}_f"))
-    agg = c.groupBy(*keys).agg(*lo_hi)
+    agg = c.groupBy(*keys).agg(*lo_hi, F.max("total").alias(rows or "__rows"))
     return agg.select(
         *keys,
         *[
             (F.col(f"__{n}_lo") + F.col(f"__{n}_f") * (F.col(f"__{n}_hi") - F.col(f"__{n}_lo"))).alias(n)
             for n in probs
         ],
+        *extra,
     )
 
 
@@ -81,12 +103,15 @@ def average_ranks(df: DataFrame, value: str, out: str, keys: Sequence[str] = ())
     return df.join(c, [*keys, value])
 
 
-def row_ranks(df: DataFrame, value: str, tie: str, out: str, keys: Sequence[str] = ()) -> DataFrame:
-    """Rows with a distinct 1-based rank by (value, tie); the pair is ranked as one value, so a
-    large group of ties is spread over ranges like any other values."""
-    pair = df.withColumn("__vt", F.struct(value, tie))
-    c = cumulative_counts(pair, "__vt", keys).select(*keys, "__vt", (F.col("n_below") + 1).alias(out))
-    return pair.join(c, [*keys, "__vt"]).drop("__vt")
+def row_ranks(df: DataFrame, value: str, tie: str, out: str, keys: Sequence[str] = (), total: str | None = None) -> DataFrame:
+    """Rows with a distinct 1-based rank by (value, tie); ``tie`` must tell the rows of a key
+    apart. The whole row is ranked as one value, so a large group of ties is spread over
+    ranges like any other values and nothing is joined back."""
+    rest = [c for c in df.columns if c not in {*keys, value, tie}]
+    row = df.select(*keys, F.struct(value, tie, *rest).alias("__row"))
+    c = cumulative_counts(row, "__row", keys, unique=True)
+    extra = [] if total is None else [F.col("total").alias(total)]
+    return c.select(*keys, "__row.*", (F.col("n_below") + 1).alias(out), *extra)
 
 
 def bh_adjust(df: DataFrame, p: str, out: str, family: Sequence[str] = ()) -> DataFrame:
@@ -97,7 +122,7 @@ def bh_adjust(df: DataFrame, p: str, out: str, family: Sequence[str] = ()) -> Da
     """
     family = list(family)
     clipped = F.least(F.greatest(F.col(p), F.lit(0.0)), F.lit(1.0))
-    keyed = df.withColumn("__p", F.when(F.col(p).isNotNull() & ~F.isnan(p), clipped))
+    keyed = settle(df.withColumn("__p", F.when(F.col(p).isNotNull() & ~F.isnan(p), clipped)))
     c = cumulative_counts(keyed, "__p", family)
     c = c.withColumn("__q", F.col("__p") * F.col("total") / (F.col("n_below") + F.col("n")))
     c = c.withColumn("__slot", F.floor(F.col("__p") * 1024))
@@ -118,14 +143,14 @@ def bh_adjust(df: DataFrame, p: str, out: str, family: Sequence[str] = ()) -> Da
 
 def spearman(df: DataFrame, x: str, y: str, keys: Sequence[str] = ()) -> DataFrame:
     """Rank correlation with mean ranks for ties."""
-    both = df.where(F.col(x).isNotNull() & F.col(y).isNotNull())
+    both = settle(df.where(F.col(x).isNotNull() & F.col(y).isNotNull()).select(*keys, x, y))
     ranked = average_ranks(average_ranks(both, x, "__rx", keys), y, "__ry", keys)
     return ranked.groupBy(*keys).agg(F.count("*").alias("n"), F.corr("__rx", "__ry").alias("rho"))
 
 
 def median_classes(df: DataFrame, a: str, b: str, keys: Sequence[str] = ()) -> DataFrame:
     """Four classes by two medians; a value equal to its median counts as low."""
-    keys = list(keys)
+    keys, df = list(keys), settle(df)
     if keys:
         meds = quantiles(df, a, {"__ma": 0.5}, keys).join(quantiles(df, b, {"__mb": 0.5}, keys), keys)
         out = df.join(meds, keys)

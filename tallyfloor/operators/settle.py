@@ -23,6 +23,10 @@ def scratch(spark: SparkSession, name: str) -> str:
 
 
 def settle(df: DataFrame) -> DataFrame:
-    """Write the frame once to the shared folder and go on from there."""
-    shared_folder(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """Write the frame once as a table in the shared folder and go on from there. The table
+    outlives any executor, is computed a single time, and its file sizes tell the planner
+    whether a later join may broadcast it."""
+    spark = df.sparkSession
+    path = scratch(spark, "settled")
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)

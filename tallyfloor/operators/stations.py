@@ -9,9 +9,13 @@ from tallyfloor.operators.ordering import cumulative_counts, quantiles
 
 
 def prepass(obs: DataFrame, keys: list[str], lat: str = "latitude", lon: str = "longitude") -> DataFrame:
-    """Median place and count per station; medians by ranges of values, never by one task per station."""
-    count = obs.groupBy(*keys).agg(F.count("*").alias("observations"))
-    return count.join(quantiles(obs, lat, {lat: 0.5}, keys), keys).join(quantiles(obs, lon, {lon: 0.5}, keys), keys)
+    """Median place and count per station. Both coordinates go through one tally, and medians
+    of large stations come from ranges of values, never from one task per station."""
+    both = F.array(*[F.struct(F.lit(i).alias("axis"), F.col(c).cast("double").alias("v")) for i, c in enumerate((lat, lon))])
+    long = obs.select(*keys, F.explode(both).alias("e")).select(*keys, "e.axis", "e.v")
+    q = quantiles(long, "v", {"m": 0.5}, [*keys, "axis"], rows="rows")
+    pick = lambda axis, c: F.max(F.when(F.col("axis") == axis, F.col(c)))
+    return q.groupBy(*keys).agg(pick(0, "rows").alias("observations"), pick(0, "m").alias(lat), pick(1, "m").alias(lon))
 
 
 def weighted_median(df: DataFrame, value: str, weight: str, keys: list[str]) -> DataFrame:

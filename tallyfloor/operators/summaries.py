@@ -180,19 +180,17 @@ def wide_ratio(df: DataFrame, keys: Sequence[str], column: str, values: Sequence
 
 def equal_rank_strata(df: DataFrame, value: str, tie: str, k: int, out: str) -> DataFrame:
     """k strata with interpolated edges on the rank, the lower edge closed only for the first."""
-    ranked = ordering.row_ranks(df, value, tie, "__r")
-    n = df.agg(F.count("*")).scalar()
-    edges = [1 + (n - 1) * i / k for i in range(1, k)]
+    ranked = ordering.row_ranks(df, value, tie, "__r", total="__t")
+    edges = [1 + (F.col("__t") - 1) * i / k for i in range(1, k)]
     code = sum(((F.col("__r") > e).cast("int") for e in edges), F.lit(0))
-    return ranked.withColumn(out, code).drop("__r")
+    return ranked.withColumn(out, code).drop("__r", "__t")
 
 
 def spread_units(df: DataFrame, value: str, tie: str, k: int) -> DataFrame:
     """k units at evenly spaced ranks."""
-    ranked = ordering.row_ranks(df, value, tie, "__r")
-    n = df.agg(F.count("*")).scalar()
-    spots = F.array(*[F.floor((n - 1) * i / max(1, k - 1) + 0.5) + 1 for i in range(k)])
-    return ranked.where(F.array_contains(spots, F.col("__r"))).withColumnRenamed("__r", "rank")
+    ranked = ordering.row_ranks(df, value, tie, "rank", total="__t")
+    spots = F.array(*[F.floor((F.col("__t") - 1) * i / max(1, k - 1) + 0.5) + 1 for i in range(k)])
+    return ranked.where(F.array_contains(spots, F.col("rank"))).drop("__t")
 
 
 def replay(df: DataFrame, order: str, length: int, keys: Sequence[str] = ()) -> DataFrame:

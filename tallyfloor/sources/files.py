@@ -77,7 +77,7 @@ def _text(columns: Sequence[str]) -> T.StructType:
 
 def read_csv_tolerant(spark: SparkSession, path: str, columns: Sequence[str]) -> DataFrame:
     """All text; lines that do not fit are left out; the file of each row is kept."""
-    df = spark.read.schema(_text(columns)).csv(path, header=True, mode="DROPMALFORMED", enforceSchema=False)
+    df = spark.read.schema(_text(columns)).option("columnPruning", "false").csv(path, header=True, mode="DROPMALFORMED", enforceSchema=False)
     return df.select(*columns, F.col("_metadata.file_path").alias("file"))
 
 
@@ -87,7 +87,7 @@ def read_csv_strict(spark: SparkSession, path: str, columns: Sequence[str]) -> D
     Rows keep their order inside a split, so a number is the place in the split plus the rows
     of the splits before it. Only one total per split takes part in the running sum.
     """
-    df = spark.read.schema(_text(columns)).csv(path, header=True, mode="FAILFAST", enforceSchema=False)
+    df = spark.read.schema(_text(columns)).option("columnPruning", "false").csv(path, header=True, mode="FAILFAST", enforceSchema=False)
     df = df.select(*columns, F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("__start"))
     df = df.withColumn("__id", F.monotonically_increasing_id())
     splits = df.groupBy("file", "__start").agg(F.min("__id").alias("__first"), F.count("*").alias("__n"))
