@@ -9,13 +9,15 @@ from tallyfloor.catalog.base import big, cte, r, read, register
 from tallyfloor.catalog.resampling import P_OR, orders_prepared
 from tallyfloor.functions import bounds
 from tallyfloor.functions.states import class_binary
+from tallyfloor.operators.settle import settle
 from tallyfloor.operators import forecast as fc, information as info, ordering, panel as pn, regression as rg, resample as rs, summaries as sm
 
 SM = 5.0
 
 
 def split_rows(spark, sf):
-    p = prepared(spark, sf)
+    """Train, validation, test and everything before the test window, from one written table."""
+    p = settle(prepared(spark, sf))
     return p.where("split = 'train'"), p.where("split = 'validation'"), p.where("split = 'test'"), p.where("split <> 'test'")
 
 
@@ -29,9 +31,9 @@ def _sql_mean(tag, train, states, k=SM):
 """
 
 
-def means(spark, sf):
+def means(spark, sf, rows=None):
     """Test rows with both state-mean forecasts and their errors."""
-    _, _, test, pre = split_rows(spark, sf)
+    _, _, test, pre = rows or split_rows(spark, sf)
     out = test
     for tag, st in (("0", ["zl"]), ("1", ["zl", "b"])):
         out = fc.score(fc.state_mean(fc.cells(pre, ["unit", *st], "y"), out, "unit", st, SM, f"p{tag}"), "y", f"p{tag}", tag)
@@ -85,7 +87,7 @@ def _(spark, sf):
 
 
 def contrast(spark, sf):
-    p = means(spark, sf).withColumn("d", F.col("squared_error_integer0") - F.col("squared_error_integer1"))
+    p = settle(means(spark, sf).select("block", (F.col("squared_error_integer0") - F.col("squared_error_integer1")).alias("d")))
     point = p.agg(F.avg("d").alias("d"))
     reps = rs.bootstrap_losses(rs.loss_blocks(p, {"d": "d"}), test_weights(spark), ["d"], rows=80)
     return rs.normal_interval(point, reps, [], "d")
@@ -124,10 +126,11 @@ LT = (*PREP, "pre AS (SELECT * FROM prep WHERE split<>'test')", sql_info("pre",
 
 
 def local_theory(spark, sf):
-    pre = split_rows(spark, sf)[3]
+    rows = split_rows(spark, sf)
+    pre = rows[3]
     c = info.conditional_information(info.joint_counts(pre, ["zl"], "b", "y", ["unit"]), ["zl"], "b", "y", ["unit"])
     floors = bounds.attach_floors(c.select("unit", "h0", "hb"), "h0", "hb").select("unit", "delta_l")
-    gains = means(spark, sf).groupBy("unit").agg(F.avg(F.col("squared_error_integer0") - F.col("squared_error_integer1")).alias("delta_mse"))
+    gains = means(spark, sf, rows).groupBy("unit").agg(F.avg(F.col("squared_error_integer0") - F.col("squared_error_integer1")).alias("delta_mse"))
     return floors.join(gains, "unit").withColumn("grp", F.col("unit") % 7)
 
 
@@ -136,9 +139,10 @@ def _(spark, sf):
     return local_theory(spark, sf).select("unit", "delta_l", "delta_mse")
 
 
-@register("k10_local_classes")
+@register("k10_local_classes", cte(*LT, "md AS (SELECT median(ROUND(delta_l,9)) AS a, median(ROUND(delta_mse,9)) AS b FROM lt)") + "SELECT CASE WHEN ROUND(delta_l,9)>a THEN 'high_theory' ELSE 'low_theory' END || '__' || CASE WHEN ROUND(delta_mse,9)>b THEN 'high_empirical' ELSE 'low_empirical' END AS median_class, COUNT(*) AS units FROM lt, md GROUP BY 1")
 def _(spark, sf):
-    t = ordering.median_classes(local_theory(spark, sf), "delta_l", "delta_mse")
+    t = local_theory(spark, sf).withColumns({"delta_l": F.round("delta_l", 9), "delta_mse": F.round("delta_mse", 9)})
+    t = ordering.median_classes(t, "delta_l", "delta_mse")
     return t.groupBy("median_class").agg(F.count("*").alias("units"))
 
 
@@ -153,7 +157,7 @@ def _(spark, sf):
 def _(spark, sf):
     from tallyfloor.operators.nulls import TIE
 
-    p = means(spark, sf).withColumn("d", F.col("squared_error_integer0") - F.col("squared_error_integer1"))
+    p = settle(means(spark, sf).select("block", (F.col("squared_error_integer0") - F.col("squared_error_integer1")).alias("d")))
     reps = rs.bootstrap_losses(rs.loss_blocks(p, {"d": "d"}), test_weights(spark), ["d"], rows=80)
     return reps.withColumn("o", p.agg(F.avg("d")).scalar()).agg(F.count("*").alias("replicates"), F.count_if(F.col("d") >= F.col("o") - TIE).alias("exceed"))
 
@@ -175,8 +179,6 @@ def _(spark, sf):
 
 @register("k11_theory_regression")
 def _(spark, sf):
-    from tallyfloor.operators.settle import settle
-
     return rg.ols_group_effects(settle(local_theory(spark, sf)), "delta_mse", "delta_l", "grp")
 
 

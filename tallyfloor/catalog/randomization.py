@@ -6,21 +6,24 @@ from pyspark.sql import functions as F
 
 from tallyfloor.catalog.base import *  # noqa: F403
 from tallyfloor.catalog.base import big, cte, r, read, register
+from tallyfloor.catalog.core import _DIG
 from tallyfloor.catalog.resampling import P_OR, orders_prepared
 from tallyfloor.functions import bounds
 from tallyfloor.functions.draws import draw
 from tallyfloor.operators import information as info, nulls, ordering, spatial as sp
+from tallyfloor.operators.settle import settle
 
 R = 12
 B = ["dow", "zl"]
 
 
-def series(spark, sf, extra=()):
-    return nulls.unit_series(prepared(spark, sf), ["unit"], "period", B, "b", "y", extra)
+def rows_once(spark, sf):
+    """The prepared rows as a written table, for queries that read them several times."""
+    return settle(prepared(spark, sf).select("unit", "period", "pos", *B, "b", "y"))
 
 
-def observed(spark, sf):
-    return info.conditional_information(info.joint_counts(prepared(spark, sf), B, "b", "y"), B, "b", "y")
+def observed(p):
+    return info.conditional_information(info.joint_counts(p, B, "b", "y"), B, "b", "y")
 
 
 REP = f"rp AS (SELECT i AS rep FROM range(1,{R + 1}) t(i))"
@@ -53,15 +56,14 @@ tn AS (SELECT rb.rep, rb.dow, rb.zl, rb.b, ra.y FROM rb JOIN ra USING (dow, zl,
 DESIGNS = {"temporal": T_SQL, "circular": C_SQL, "series": S_SQL, "matched": G_SQL, "state": M_SQL}
 
 
-def surrogate(spark, sf, design, keys=()):
-    s = series(spark, sf)
+def surrogate(p, design, keys=()):
+    s = nulls.unit_series(p, ["unit"], "period", B, "b", "y")
     if design == "temporal":
         return nulls.temporal_blocks(s, "unit", R, 7, "temporal", keys, B)
     if design == "circular":
         return nulls.circular_shift(s, "unit", R, 5, "circular", keys, B)
     if design == "series":
         return nulls.series_permutation(s, "unit", R, "series", keys, B)
-    p = prepared(spark, sf)
     if design == "matched":
         strata = nulls.block_strata(p.withColumn("hol", F.col("dow") == 0), "unit", "pos", "period", "zl", "hol", 7, 3)
         return nulls.matched_blocks(s, strata, "unit", R, 7, "matched", keys, B)
@@ -72,17 +74,19 @@ _CNT = "SELECT rep, CAST(dow AS BIGINT) AS dow, CAST(zl AS BIGINT) AS zl, CAST(b
 for _i, (_name, _key) in enumerate([("temporal", "i01_temporal_blocks"), ("series", "i02_series_permutation"), ("circular", "i03_circular_shift"), ("matched", "i04_matched_blocks"), ("state", "i05_state_matched")]):
 
     def _q(spark, sf, d=_name):
-        return surrogate(spark, sf, d).groupBy("rep", *B, "b", "y").agg(F.count("*").alias("n"))
+        return surrogate(prepared(spark, sf), d).groupBy("rep", *B, "b", "y").agg(F.count("*").alias("n"))
 
     register(_key, cte(*PREP, REP, DESIGNS[_name]) + _CNT)(_q)
 
 
-def null_all(spark, sf):
+def null_all(p):
+    """All three designs go through one set of counts."""
     out = None
     for d in ("temporal", "series", "circular"):
-        n = nulls.with_observed(nulls.null_information(surrogate(spark, sf, d), B), observed(spark, sf)).withColumn("design", F.lit(d))
+        n = surrogate(p, d).groupBy("rep", *B, "b", "y").agg(F.count("*").alias("n")).withColumn("design", F.lit(d))
         out = n if out is None else out.unionByName(n)
-    return out
+    null = nulls.null_information(out, B, ["design"], counted=True)
+    return null.withColumn("cmi", observed(p).select("h0").scalar() - F.col("hb"))
 
 
 def _sql_null(design, tag):
@@ -95,14 +99,14 @@ _NULLS = (*PREP, REP, sql_info("prep", [], ["dow", "zl"], "b", "y", "1", "ob"),
 
 @register("i06_null_information", cte(*_NULLS) + f"SELECT design, nl.rep, CAST(nl.n AS BIGINT) AS n, {r('nl.hb','hb')}, {r('ob.h0-nl.hb','cmi')}, {big('nl.side_atoms','side_atoms')}, {big('nl.singleton_atoms','singleton_atoms')} FROM nl, ob")
 def _(spark, sf):
-    return null_all(spark, sf).select("design", "rep", "n", "hb", "cmi", "side_atoms", "singleton_atoms")
+    return null_all(rows_once(spark, sf)).select("design", "rep", "n", "hb", "cmi", "side_atoms", "singleton_atoms")
 
 
 def summary_all(spark, sf):
-    obs = observed(spark, sf)
+    p = rows_once(spark, sf)
+    obs, null = observed(p), null_all(p)
     from tallyfloor.operators.summaries import constant_keyed
 
-    null = null_all(spark, sf)
     return nulls.null_summary(null, constant_keyed(obs, "design", ["temporal", "series", "circular"]), ["design"])
 
 
@@ -119,7 +123,7 @@ _LOCAL = (*PREP, REP, T_SQL, sql_info("tn", ["unit", "rep"], ["zl"], "b", "y", "
 
 
 def local_null(spark, sf):
-    p = prepared(spark, sf)
+    p = rows_once(spark, sf)
     s = nulls.unit_series(p, ["unit"], "period", ["zl"], "b", "y")
     obs = info.conditional_information(info.joint_counts(p, ["zl"], "b", "y", ["unit"]), ["zl"], "b", "y", ["unit"])
     sur = nulls.temporal_blocks(s, "unit", R, 7, "temporal", ["unit"], ["zl"])
@@ -160,22 +164,33 @@ def _(spark, sf):
 
 @register("i10_three_estimators", cte(*PREP, REP, T_SQL, sql_info("tn", ["rep"], ["dow", "zl"], "b", "y", "1", "i")) + f"SELECT rep, {r('cmi','miller_madow')}, {r('cmi_plugin','plugin')} FROM i")
 def _(spark, sf):
-    counts = surrogate(spark, sf, "temporal").groupBy("rep", *B, "b", "y").agg(F.count("*").alias("n"))
+    counts = surrogate(prepared(spark, sf), "temporal").groupBy("rep", *B, "b", "y").agg(F.count("*").alias("n"))
     a = info.conditional_information(counts, B, "b", "y", ["rep"]).select("rep", F.col("cmi").alias("miller_madow"), F.col("cmi_plugin").alias("plugin"))
     return a
 
 
-@register("i10_jeffreys_on_surrogates")
+_JEF = f"""
+a AS (SELECT rep, dow, zl, b, y, COUNT(*)+0.5 AS a FROM tn GROUP BY ALL),
+zb AS (SELECT rep, dow, zl, b, SUM(a) AS a FROM a GROUP BY ALL), zy AS (SELECT rep, dow, zl, y, SUM(a) AS a FROM a GROUP BY ALL),
+z AS (SELECT rep, dow, zl, SUM(a) AS a FROM a GROUP BY ALL),
+g AS (SELECT rep, 'zby' AS t, a FROM a UNION ALL SELECT rep, 'zb', a FROM zb UNION ALL SELECT rep, 'zy', a FROM zy UNION ALL SELECT rep, 'z', a FROM z),
+s AS (SELECT rep, t, SUM(a) AS total, SUM(CAST(a AS DOUBLE)*{_DIG('CAST(a AS DOUBLE)')}) AS g FROM g GROUP BY ALL),
+w AS (SELECT rep, MAX(total) AS total, (MAX(g) FILTER (WHERE t='z') - MAX(g) FILTER (WHERE t='zy'))/(MAX(total)*ln(2.0)) AS h0, (MAX(g) FILTER (WHERE t='zb') - MAX(g) FILTER (WHERE t='zby'))/(MAX(total)*ln(2.0)) AS hb FROM s GROUP BY rep)
+"""
+
+
+@register("i10_jeffreys_on_surrogates", cte(*PREP, REP, T_SQL, _JEF) + f"SELECT rep, {r('h0','h0')}, {r('hb','hb')}, {r('h0-hb','cmi')} FROM w")
 def _(spark, sf):
-    counts = surrogate(spark, sf, "temporal").groupBy("rep", *B, "b", "y").agg(F.count("*").alias("n"))
+    counts = surrogate(prepared(spark, sf), "temporal").groupBy("rep", *B, "b", "y").agg(F.count("*").alias("n"))
     return info.jeffreys_information(counts, B, "b", "y", ["rep"])
 
 
 @register("i11_support_shift", cte(*_NULLS) + f"SELECT design, {r('AVG(nl.side_atoms)','null_atoms')}, {r('STDDEV_SAMP(nl.side_atoms)','null_atoms_sd')}, {r('AVG(nl.side_atoms)-MAX(ob.side_atoms)','atom_shift')}, {r('AVG(nl.singleton_atoms*1e0/nl.n)-MAX(ob.singleton_atoms*1e0/ob.n)','singleton_shift')} FROM nl, ob GROUP BY design")
 def _(spark, sf):
-    obs = observed(spark, sf)
+    p = rows_once(spark, sf)
+    obs = observed(p)
     a, s = obs.select("side_atoms").scalar(), obs.select("singleton_share").scalar()
-    n = null_all(spark, sf).groupBy("design").agg(F.avg("side_atoms").alias("null_atoms"), F.stddev_samp("side_atoms").alias("null_atoms_sd"), F.avg("singleton_share").alias("ss"))
+    n = null_all(p).groupBy("design").agg(F.avg("side_atoms").alias("null_atoms"), F.stddev_samp("side_atoms").alias("null_atoms_sd"), F.avg("singleton_share").alias("ss"))
     return n.select("design", "null_atoms", "null_atoms_sd", (F.col("null_atoms") - a).alias("atom_shift"), (F.col("ss") - s).alias("singleton_shift"))
 
 

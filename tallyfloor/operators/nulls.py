@@ -145,11 +145,11 @@ def state_matched(rows: DataFrame, row_key: Sequence[str], reps: int, label: str
     return ranked.join(layout, cell).select(*keys, "rep", *base, F.col(side).alias("b"), met.alias("y"))
 
 
-def null_information(surrogate: DataFrame, base: Sequence[str], keys: Sequence[str] = (), with_base: bool = False) -> DataFrame:
+def null_information(surrogate: DataFrame, base: Sequence[str], keys: Sequence[str] = (), with_base: bool = False, counted: bool = False) -> DataFrame:
     """hb, support and (with ``with_base``) h0 per replicate. The base entropy does not change
-    under any design, so by default only the augmented side is counted."""
+    under any design, so by default only the augmented side is counted. ``counted`` marks a table of counts ``n``."""
     k = [*keys, "rep"]
-    counts = surrogate.groupBy(*k, *base, "b", "y").agg(F.count("*").alias("n"))
+    counts = surrogate if counted else surrogate.groupBy(*k, *base, "b", "y").agg(F.count("*").alias("n"))
     long = info.by_information_set(counts, k, base, "b", "y", "n", with_base=with_base)
     z = [c for c in long.columns if c.startswith("z") and c[1:].isdigit()]
     out = info.information_from_sums(info.entropy_sums(long.repartition(*k, *z), k), k)

@@ -23,7 +23,7 @@ def category_differences(df: DataFrame, category: str, rep: str, metric: str) ->
     b = df.select(F.col(category).alias("category_b"), rep, F.col(metric).alias("__b"))
     return a.join(b, rep).where("category_a < category_b").select(
         "category_a", "category_b", rep, (F.col("__a") - F.col("__b")).alias("difference")
-    ).withColumnRenamed("difference", "difference")
+    )
 
 
 def spearman_bootstrap(df: DataFrame, unit: str, x: str, y: str, reps: int, label: str) -> DataFrame:
