@@ -110,7 +110,7 @@ def _(spark, sf):
     return rs.stratum_balance(mem, blocks)
 
 
-@register("f08_not_nested", "SELECT CAST(0 AS BIGINT) AS missing")
+@register("f08_not_nested", cte(_UNI, _ORD, _sql_membership(), "f AS (SELECT DISTINCT fraction FROM mem)", "nx AS (SELECT fraction, LEAD(fraction) OVER (ORDER BY fraction) AS wider FROM f)") + "SELECT COUNT(*) AS missing FROM mem JOIN nx USING (fraction) LEFT JOIN mem m2 ON m2.rep=mem.rep AND m2.block=mem.block AND m2.fraction=nx.wider WHERE nx.wider IS NOT NULL AND m2.block IS NULL")
 def _(spark, sf):
     mem = members(spark, sf)[2]
     parts = [rs.not_nested(mem, a, b) for a, b in zip(_FRACTIONS, _FRACTIONS[1:])]

@@ -588,7 +588,21 @@ def _(spark, sf):
     return ck.key_relation(read(spark, sf, "orders").select(F.col("o_custkey").alias("k")), read(spark, sf, "customer").select(F.col("c_custkey").alias("k")), ["k"])
 
 
-@register("n03_panel_integrity", " UNION ALL ".join(f"SELECT '{c}' AS \"check\", {v}e0 AS expected, {v}e0 AS observed, 'PASS' AS status" for c, v in (("rows_over_units", 30), ("unequal_length", 0), ("wrong_range", 0), ("negative", 0), ("lag_identity", 0), ("first_lag_null", 0))))
+_PI = """
+pu AS (SELECT unit, COUNT(*) AS days, MIN(period) AS lo, MAX(period) AS hi, SUM(y) AS sy, SUM(y1) AS sl, arg_max(y, period) AS last, MIN(y) AS low, COUNT(*) FILTER (WHERE y1 IS NULL) AS nulls FROM lagged GROUP BY unit)
+"""
+_PI_ROWS = {
+    "rows_over_units": ("30", "SUM(days)*1e0/COUNT(*)"), "unequal_length": ("0", "COUNT(*) FILTER (WHERE days<>30)"),
+    "wrong_range": ("0", f"COUNT(*) FILTER (WHERE lo<>DATE '{EV_START}' OR hi<>DATE '{EV_END}')"), "negative": ("0", "COUNT(*) FILTER (WHERE low<0)"),
+    "lag_identity": ("0", "COUNT(*) FILTER (WHERE sl<>sy-last)"), "first_lag_null": ("0", "COUNT(*) FILTER (WHERE nulls<>1)"),
+}
+
+
+def _sql_checks(rows, src):
+    return " UNION ALL ".join(f"SELECT '{c}' AS \"check\", {e}e0 AS expected, CAST({o} AS DOUBLE) AS observed, CASE WHEN {o} = {e} THEN 'PASS' ELSE 'FAIL' END AS status FROM {src}" for c, (e, o) in rows.items())
+
+
+@register("n03_panel_integrity", cte(P_EV, _PI) + _sql_checks(_PI_ROWS, "pu"))
 def _(spark, sf):
     return ck.panel_integrity(events_panel(spark, sf), "unit", "period", "y", "y1", EV_START, EV_END)
 
@@ -601,7 +615,9 @@ def _(spark, sf):
     return ck.expect(day.unionByName(week), {"spread": (F.max("t") - F.min("t"), 0)})
 
 
-@register("n05_estimate_identities", " UNION ALL ".join(f"SELECT '{c}' AS \"check\", 0e0 AS expected, 0e0 AS observed, 'PASS' AS status" for c in ("cmi_identity", "floor_order", "correction_sign")))
+@register("n05_estimate_identities", cte(*_SPLITI, f"g AS (SELECT *, {sql_floor('GREATEST(h0,0)')} AS l0, {sql_floor('LEAST(GREATEST(hb,0),GREATEST(h0,0))')} AS lb FROM i)") + _sql_checks({
+    "cmi_identity": ("0", "COUNT(*) FILTER (WHERE abs(cmi-(h0-hb))>1e-12)"), "floor_order": ("0", "COUNT(*) FILTER (WHERE lb>l0)"),
+    "correction_sign": ("0", "COUNT(*) FILTER (WHERE h0<h0_plugin-1e-12 OR hb<hb_plugin-1e-12)")}, "g"))
 def _(spark, sf):
     t = bounds.attach_floors(by_split_dow(spark, sf), "h0", "hb")
     return ck.expect(t, {

@@ -57,10 +57,6 @@ def panel_integrity(panel: DataFrame, unit: str, period: str, y: str, y1: str, s
         F.min(y).alias("low"), F.count_if(F.col(y1).isNull()).alias("nulls"),
     )
     days = F.datediff(F.lit(end).cast("date"), F.lit(start).cast("date")) + 1
-    return _integrity(per_unit, days, start, end)
-
-
-def _integrity(per_unit: DataFrame, days: Column, start: str, end: str) -> DataFrame:
     bad = F.count_if
     wrong = (F.col("lo") != F.lit(start).cast("date")) | (F.col("hi") != F.lit(end).cast("date"))
     return expect(
