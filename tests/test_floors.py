@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tallyfloor.functions import bounds, special
 
-# Published (h0, hb, l0, lb) of the two 24-row halves, three cities each.
+# Published (h0, hb, l0, lb) of fourteen specifications.
 GOLDEN = [
     (0.7721618382038633, 0.7301647642273128, 0.15349067569914757, 0.1416102460780021),
     (0.6635849437114615, 0.5996926434813296, 0.12367875115014211, 0.10745807538601623),
