@@ -631,3 +631,13 @@ def _(spark, sf):
 def _(spark, sf):
     n = events_panel(spark, sf).groupBy("unit").agg(F.count("*").alias("c"))
     return ck.require(ck.expect(n, {"unequal_length": (F.max("c") - F.min("c"), 0)}))
+
+
+@register("e40_shared_token_columns", "SELECT 'doc_id' AS name, (SELECT COUNT(doc_id) FROM documents) AS left_values, (SELECT COUNT(doc_id) FROM labels) AS right_values")
+def _(spark, sf):
+    a, b = read(spark, sf, "documents"), read(spark, sf, "labels")
+    out = None
+    for c in au.shared_token_columns([a, b], ["id", "text"]):
+        part = a.agg(F.lit(c).alias("name"), F.count(c).alias("left_values")).withColumn("right_values", b.agg(F.count(c)).scalar())
+        out = part if out is None else out.unionByName(part)
+    return out
