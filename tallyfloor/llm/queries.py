@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import digest_index, interleave, kneser_ney, packing, quality_rules, simhash, token_files, token_trie
+from . import byte_bpe, digest_index, interleave, kneser_ney, packing, ppm, quality_rules, simhash, token_files, token_trie
 from .common import read, ship
 
 
@@ -25,6 +25,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_sharding": _over(interleave.query, "documents"),
     "op5_packing": _over(packing.query, "documents"),
     "op6_simhash": _over(simhash.query, "documents"),
+    "op7_byte_bpe": _over(byte_bpe.query, "documents"),
+    "op8_lm_scoring": _over(ppm.query, "documents"),
     "op9_quality_classifier": _over(kneser_ney.query, "documents", "labels"),
     "op10_exact_dedup": _over(digest_index.query, "documents"),
 }
