@@ -28,20 +28,22 @@ def _(spark, sf):
     return cl.resolve_columns(raw, {"station_id": ["station number", "start station id"], "station_name": ["station name", "name"], "lat": ["latitude", "lat"]})
 
 
-@register("b02_clean_text", "SELECT page_id, NULLIF(TRIM(substr(html, 1, 40)), '') AS head, NULLIF(TRIM(' ' || substr(url, 60) || ' '), '') AS tail FROM pages")
+@register("b02_clean_text", "SELECT page_id, md5(NULLIF(regexp_replace(CASE page_id % 5 WHEN 0 THEN chr(9) || ' ' || chr(10) ELSE chr(9) || html || chr(13) || chr(10) END, '^\\s+|\\s+$', '', 'g'), '')) AS page, NULLIF(regexp_replace(chr(9) || url || ' ', '^\\s+|\\s+$', '', 'g'), '') AS address FROM pages")
 def _(spark, sf):
-    return read(spark, sf, "pages").select("page_id", cl.clean_text(F.substring("html", 1, 40)).alias("head"), cl.clean_text(F.concat(F.lit(" "), F.expr("substr(url, 60)"), F.lit(" "))).alias("tail"))
+    page = F.when(F.col("page_id") % 5 == 0, F.lit("\t \n")).otherwise(F.concat(F.lit("\t"), "html", F.lit("\r\n")))
+    return read(spark, sf, "pages").select("page_id", F.md5(cl.clean_text(page)).alias("page"), cl.clean_text(F.concat(F.lit("\t"), "url", F.lit(" "))).alias("address"))
 
 
 @register("b03_safe_casts", """
-SELECT o_orderkey, TRY_CAST(CASE WHEN o_orderkey % 7 = 0 THEN 'n/a' ELSE CAST(o_totalprice AS VARCHAR) END AS DOUBLE) AS price,
+SELECT o_orderkey, CASE WHEN o_orderkey % 7 <> 0 AND o_orderkey % 11 <> 0 AND o_orderkey % 13 <> 0 THEN o_totalprice END AS price,
 CASE WHEN o_orderkey % 3 = 2 THEN NULL ELSE strftime(o_orderdate, '%Y-%m-%d %H:%M:%S') END AS at FROM orders""")
 def _(spark, sf):
     d = F.col("o_orderdate")
     text = F.when(F.col("o_orderkey") % 3 == 0, F.date_format(d, "yyyy-MM-dd HH:mm:ss")).when(
         F.col("o_orderkey") % 3 == 1, F.date_format(d, "M/d/yyyy HH:mm")
     ).otherwise(F.lit("unknown"))
-    raw = F.when(F.col("o_orderkey") % 7 == 0, F.lit("n/a")).otherwise(F.col("o_totalprice").cast("string"))
+    key, price = F.col("o_orderkey"), F.col("o_totalprice").cast("string")
+    raw = F.when(key % 7 == 0, F.lit("n/a")).when(key % 11 == 0, F.lit("NaN")).when(key % 13 == 0, F.concat(price, F.lit("d"))).otherwise(F.concat(F.lit("\t"), price))
     return read(spark, sf, "orders").select(
         "o_orderkey", cl.safe_double(raw).alias("price"),
         cl.safe_timestamp(text, ["yyyy-MM-dd HH:mm:ss", "M/d/yyyy HH:mm"]).cast("string").alias("at"),

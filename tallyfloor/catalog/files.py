@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import functions as F
 
 from tallyfloor.catalog.base import *  # noqa: F403
@@ -23,18 +25,65 @@ def _(spark, sf):
     return fl.file_manifest(spark, sf, "*.parquet").select("name", "bytes", "sha256", "copies", "role")
 
 
-def orders_csv(spark, sf):
+def orders_csv(spark, sf, long=False):
+    """Orders as CSV lines. Where the key leaves 3 of 10 the last field is missing; ``long`` adds lines with a field too many."""
     path = scratch(spark, "csv")
-    read(spark, sf, "orders").select("o_orderkey", "o_custkey", "o_orderpriority").write.csv(path, header=True)
-    return path
+    line = F.concat_ws(",", F.col("o_orderkey").cast("string"), F.col("o_custkey").cast("string"), F.when(F.col("o_orderkey") % 10 != 3, F.concat(F.lit('"'), "o_orderpriority", F.lit('"'))))
+    if long:
+        line = F.when(F.col("o_orderkey") % 10 == 7, F.concat(line, F.lit(","))).otherwise(line)
+    head = F.lit(",".join(COLS))
+    parts = read(spark, sf, "orders").select(line.alias("value")).withColumn("part", F.pmod(F.xxhash64("value"), F.lit(8)))
+    heads = spark.range(8).select(head.alias("value"), F.col("id").alias("part"))
+    both = heads.withColumn("first", F.lit(0)).unionByName(parts.withColumn("first", F.lit(1)))
+    both.repartition(8, "part").sortWithinPartitions("part", "first").select("value", "part").write.partitionBy("part").text(path)
+    return f"{path}/*"
 
 
 COLS = ["o_orderkey", "o_custkey", "o_orderpriority"]
 
 
-@register("a04_tolerant_csv", "SELECT o_orderpriority, COUNT(*) AS n, CAST(SUM(o_custkey) AS BIGINT) AS s FROM orders GROUP BY 1")
+def orders_zips(spark, sf):
+    """Eight archives of orders, each with a CSV member and what a desktop system adds. Every tenth line is short."""
+    path, columns = scratch(spark, "zip"), COLS
+    spark._jvm.org.apache.hadoop.fs.Path(path).getFileSystem(spark._jsc.hadoopConfiguration()).mkdirs(spark._jvm.org.apache.hadoop.fs.Path(path))
+
+    def write(batches):
+        import io
+        import uuid
+        import zipfile
+
+        import pandas as pd
+        from pyarrow import fs
+
+        system, root = fs.FileSystem.from_uri(path) if ":" in path else (fs.LocalFileSystem(), path)
+        rows = pd.concat([pd.DataFrame(columns=columns), *batches])
+        lines = [",".join(columns)] + [f"{k},{c}" if k % 10 == 3 else f"{k},{c},{p}" for k, c, p in rows.itertuples(index=False)]
+        held = io.BytesIO()
+        with zipfile.ZipFile(held, "w") as z:
+            z.writestr("orders/part.csv", "\ufeff" + "\n".join(lines) + "\n")
+            z.writestr("__MACOSX/orders/._part.csv", "x")
+        name = f"{uuid.uuid4().hex}.zip"
+        with system.open_output_stream(f"{root}/{name}") as f:
+            f.write(held.getvalue())
+        yield pd.DataFrame({"name": [name]})
+
+    names = read(spark, sf, "orders").select(*columns).repartition(8, "o_orderkey").mapInPandas(write, "name string")
+    return path, [r["name"] for r in names.collect()]
+
+
+@register("a03_zip_csv", "SELECT CASE WHEN o_orderkey % 10 <> 3 THEN o_orderpriority END AS o_orderpriority, COUNT(*) AS n, CAST(SUM(o_custkey) AS BIGINT) AS s, true AS numbered FROM orders GROUP BY 1")
+def _(spark, sf):
+    path, names = orders_zips(spark, sf)
+    df = fl.read_zip_csv(spark, path, COLS).withColumn("name", F.element_at(F.split("path", "/"), -1)).where(F.col("name").isin(names))
+    per = df.groupBy("name").agg(F.count("*").alias("n"), F.max("row_number").alias("hi"), F.count_distinct("row_number").alias("d"))
+    fine = per.agg(F.bool_and((F.col("hi") == F.col("n")) & (F.col("d") == F.col("n"))).alias("numbered"))
+    by = df.groupBy("o_orderpriority").agg(F.count("*").alias("n"), F.sum(F.col("o_custkey").cast("long")).alias("s"))
+    return by.withColumn("numbered", fine.scalar())
+
+
+@register("a04_tolerant_csv", "SELECT CASE WHEN o_orderkey % 10 <> 3 THEN o_orderpriority END AS o_orderpriority, COUNT(*) AS n, CAST(SUM(o_custkey) AS BIGINT) AS s FROM orders WHERE o_orderkey % 10 <> 7 GROUP BY 1")
 def _(spark, sf):
-    df = fl.read_csv_tolerant(spark, orders_csv(spark, sf), COLS)
+    df = fl.read_csv_tolerant(spark, orders_csv(spark, sf, long=True), COLS)
     return df.groupBy("o_orderpriority").agg(F.count("*").alias("n"), F.sum(F.col("o_custkey").cast("long")).alias("s"))
 
 
@@ -76,10 +125,10 @@ def _(spark, sf):
     return spark.read.csv(path, header=True, schema="o_orderpriority string, n long")
 
 
-@register("a10_parquet_inventory", "SELECT 'orders' AS name, COUNT(*) AS rows FROM orders UNION ALL SELECT 'lineitem', COUNT(*) FROM lineitem")
+@register("a10_parquet_inventory", " UNION ALL ".join(f"SELECT '{t}' AS name, COUNT(*) AS rows FROM {t}" for t in _T))
 def _(spark, sf):
-    parts = [fl.parquet_inventory(spark, f"{sf}/{t}.parquet").select(F.regexp_extract("file", r"([a-z]+)\.parquet", 1).alias("name"), "rows") for t in ("orders", "lineitem")]
-    return parts[0].unionByName(parts[1])
+    parts = [fl.parquet_inventory(spark, f"{sf}/{t}.parquet").groupBy(F.lit(t).alias("name")).agg(F.sum("rows").alias("rows")) for t in _T]
+    return functools.reduce(lambda a, b: a.unionByName(b), parts)
 
 
 @register("e45_other_cell_size", None)

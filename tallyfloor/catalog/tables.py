@@ -160,10 +160,16 @@ def _(spark, sf):
     return audited(spark, sf)
 
 
-@register("e09_audit_trips", "SELECT l_returnflag AS file, COUNT(*) AS rows, COUNT(*)-COUNT(DISTINCT l_orderkey) AS repeats, CAST(0 AS BIGINT) AS no_start, COUNT(*) FILTER (WHERE l_linenumber>5) AS no_end, COUNT(*) FILTER (WHERE l_linenumber<=5 AND l_shipdate < o_orderdate) AS reversed, CAST(0 AS BIGINT) AS blank_rows FROM lineitem JOIN orders ON o_orderkey=l_orderkey GROUP BY 1")
+@register("e09_audit_trips", """
+WITH t AS (SELECT l_returnflag AS file, l_linenumber = 7 AS blank, l_orderkey, o_orderdate AS s, CASE WHEN l_linenumber <= 5 THEN l_shipdate END AS e FROM lineitem JOIN orders ON o_orderkey = l_orderkey)
+SELECT file, COUNT(*) AS physical_rows, COUNT(*) FILTER (WHERE blank) AS blank_rows, COUNT(*) FILTER (WHERE NOT blank) AS rows,
+COUNT(*) FILTER (WHERE NOT blank) - COUNT(DISTINCT CASE WHEN NOT blank THEN l_orderkey END) AS repeats, CAST(0 AS BIGINT) AS no_start,
+COUNT(*) FILTER (WHERE NOT blank AND e IS NULL) AS no_end, COUNT(*) FILTER (WHERE NOT blank AND e < s) AS reversed, COUNT(*) FILTER (WHERE NOT blank AND e <= s) AS not_positive,
+strftime(MIN(CASE WHEN NOT blank THEN s END), '%Y-%m-%d %H:%M:%S') AS first_start, strftime(MAX(CASE WHEN NOT blank THEN s END), '%Y-%m-%d %H:%M:%S') AS last_start FROM t GROUP BY 1""")
 def _(spark, sf):
     j = read(spark, sf, "lineitem").select("l_orderkey", "l_returnflag", "l_linenumber", "l_shipdate").join(read(spark, sf, "orders").select("o_orderkey", "o_orderdate"), F.col("o_orderkey") == F.col("l_orderkey"))
-    j = j.withColumns({"file": F.col("l_returnflag"), "e": F.when(F.col("l_linenumber") <= 5, F.col("l_shipdate"))})
+    full = F.col("l_linenumber") != 7  # the last line of an order stands for a blank row
+    j = j.select(F.col("l_returnflag").alias("file"), *[F.when(full, F.col(c)).alias(c) for c in ("l_orderkey", "o_orderdate")], F.when(F.col("l_linenumber") <= 5, F.col("l_shipdate")).alias("e"))
     return au.audit_trips(j, ["file"], "o_orderdate", "e", ["l_orderkey"], "l_orderkey")
 
 

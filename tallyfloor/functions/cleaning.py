@@ -9,8 +9,8 @@ from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 
 def clean_text(c: Column) -> Column:
-    """Trim; an empty string becomes null."""
-    return F.nullif(F.trim(c.cast("string")), F.lit(""))
+    """Take white space off both ends; an empty string becomes null."""
+    return F.nullif(F.regexp_replace(c.cast("string"), r"(?U)^\s+|\s+$", ""), F.lit(""))
 
 
 def normal_header(name: str) -> str:
@@ -34,8 +34,10 @@ def resolve_columns(
 
 
 def safe_double(c: Column) -> Column:
-    """Number or null."""
-    return clean_text(c).try_cast("double")
+    """Number or null; only decimal notation counts as a number, not type suffixes or names of special values."""
+    text = clean_text(c)
+    number = text.rlike(r"^[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?$")
+    return F.when(number, text.try_cast("double"))
 
 
 def safe_timestamp(c: Column, formats: Sequence[str]) -> Column:

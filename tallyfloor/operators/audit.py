@@ -35,7 +35,7 @@ def quarantine_trips(df: DataFrame, start: str, month: str, raw: Sequence[str])
     return _with_reasons(df, {
         "blank_row": blank,
         "invalid_start": ~blank & t.isNull(),
-        "outside_month": t.isNotNull() & (F.date_format(t, "yyyy-MM") != F.col(month)),
+        "outside_month": t.isNotNull() & F.coalesce(F.date_format(t, "yyyy-MM") != F.col(month), F.lit(True)),
     })
 
 
@@ -116,12 +116,19 @@ def audit_events(df: DataFrame, file: str, at: str, lat: str, lon: str, kind: st
 
 
 def audit_trips(df: DataFrame, file: Sequence[str], start: str, end: str, identity: Sequence[str], trip: str | None = None) -> DataFrame:
-    """Counters per file and member: missing times, end before start, blank rows, repeats."""
-    key = F.col(trip).cast("string") if trip else row_signature(identity)
-    s, e = F.col(start), F.col(end)
-    flags = {"no_start": s.isNull(), "no_end": e.isNull(), "reversed": F.coalesce(e < s, F.lit(False)), "blank_rows": is_blank(*identity)}
-    per = df.groupBy(*file, key.alias("__key")).agg(F.count("*").alias("n"), *[F.count_if(c).alias(f) for f, c in flags.items()])
-    return per.groupBy(*file).agg(F.sum("n").alias("rows"), (F.sum("n") - F.count("*")).alias("repeats"), *[F.sum(f).alias(f) for f in flags])
+    """Counters per file and member: physical and blank rows; over the rows that are not blank their number, repeats (of the trip id where
+    there is one), missing times, ends before starts, durations that are not positive, and the first and last start."""
+    key = F.coalesce(F.col(trip).cast("string"), row_signature(identity)) if trip else row_signature(identity)
+    s, e, blank = F.col(start), F.col(end), F.col("__blank")
+    flags = {"no_start": s.isNull(), "no_end": e.isNull(), "reversed": F.coalesce(e < s, F.lit(False)), "not_positive": F.coalesce(e <= s, F.lit(False))}
+    own = df.withColumn("__blank", is_blank(*identity))
+    per = own.groupBy(*file, "__blank", F.when(~blank, key).alias("__key")).agg(
+        F.count("*").alias("n"), F.min(s).alias("lo"), F.max(s).alias("hi"), *[F.count_if(c & ~blank).alias(f) for f, c in flags.items()])
+    full = F.when(~blank, F.col("n"))
+    return per.groupBy(*file).agg(
+        F.sum("n").alias("physical_rows"), F.coalesce(F.sum(F.when(blank, F.col("n"))), F.lit(0)).alias("blank_rows"),
+        F.coalesce(F.sum(full), F.lit(0)).alias("rows"), (F.coalesce(F.sum(full), F.lit(0)) - F.count(full)).alias("repeats"),
+        *[F.sum(f).alias(f) for f in flags], F.min(F.when(~blank, F.col("lo"))).alias("first_start"), F.max(F.when(~blank, F.col("hi"))).alias("last_start"))
 
 
 def issue_list(audit: DataFrame, keys: Sequence[str], rules: Mapping[str, tuple[str, str, str]]) -> DataFrame:

@@ -68,7 +68,9 @@ def bootstrap_losses(blocks: DataFrame, weights: DataFrame, columns: Sequence[st
 
 def normal_interval(point: DataFrame, reps: DataFrame, keys: Sequence[str], metric: str, level: float = 0.95,
                     low: float | None = None, high: float | None = None) -> DataFrame:
-    """Point estimate with a normal interval centred on it, bias, percentiles and p-values."""
+    """Point estimate with a normal interval centred on it, bias, percentiles and p-values. Replicates that are not finite
+    don't count; with fewer than two that are, there is no standard error."""
+    reps = reps.where(F.abs(F.col(metric).cast("double")) < F.lit(float("inf")))
     zcrit, a = NormalDist().inv_cdf(0.5 + level / 2), 1 - level
     keys = list(keys)
     stats = [

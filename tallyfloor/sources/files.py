@@ -7,6 +7,7 @@ from collections.abc import Iterator, Sequence
 from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F, types as T
 
 from tallyfloor.operators.audit import retained_and_excluded
+from tallyfloor.operators.settle import settle
 
 
 def list_inputs(spark: SparkSession, root: str, glob: str) -> DataFrame:
@@ -75,19 +76,31 @@ def _text(columns: Sequence[str]) -> T.StructType:
     return T.StructType([T.StructField(c, T.StringType()) for c in columns])
 
 
+def _scan(spark: SparkSession, path: str, columns: Sequence[str]) -> DataFrame:
+    """The columns as text, short lines padded with nulls, and ``__long``: whether a line has more fields than there are columns.
+    A line with another number of fields comes with its raw text, in which separators outside quotes are counted."""
+    df = spark.read.schema(_text([*columns, "__raw"])).option("columnPruning", "false").csv(
+        path, header=True, mode="PERMISSIVE", enforceSchema=False, columnNameOfCorruptRecord="__raw", escape='"')
+    bare = F.regexp_replace("__raw", '"([^"]|"")*"', "")
+    fields = F.length(bare) - F.length(F.replace(bare, F.lit(","), F.lit(""))) + 1
+    whole = F.length(F.concat_ws("", *columns)) >= 0  # always true; it has every field of a line parsed
+    return df.withColumn("__long", F.coalesce(fields > len(columns), F.lit(False)) & whole)
+
+
 def read_csv_tolerant(spark: SparkSession, path: str, columns: Sequence[str]) -> DataFrame:
-    """All text; lines that do not fit are left out; the file of each row is kept."""
-    df = spark.read.schema(_text(columns)).option("columnPruning", "false").csv(path, header=True, mode="DROPMALFORMED", enforceSchema=False)
+    """All text; lines with too few fields are padded with nulls, lines with too many are left out; the file of each row is kept."""
+    df = _scan(spark, path, columns).where("NOT __long")
     return df.select(*columns, F.col("_metadata.file_path").alias("file"))
 
 
 def read_csv_strict(spark: SparkSession, path: str, columns: Sequence[str]) -> DataFrame:
-    """All text; a bad line fails the job; rows are numbered from 1 in each file.
+    """All text; a line with too many fields fails the job, one with too few is padded with nulls; rows are numbered from 1 in each file.
 
     Rows keep their order inside a split, so a number is the place in the split plus the rows
     of the splits before it. Only one total per split takes part in the running sum.
     """
-    df = spark.read.schema(_text(columns)).option("columnPruning", "false").csv(path, header=True, mode="FAILFAST", enforceSchema=False)
+    broken = F.raise_error(F.concat(F.lit("MALFORMED_RECORD, too many fields: "), "__raw")).cast("boolean")
+    df = _scan(spark, path, columns).where(F.when(F.col("__long"), broken).otherwise(True))
     df = df.select(*columns, F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("__start"))
     df = df.withColumn("__id", F.monotonically_increasing_id())
     splits = df.groupBy("file", "__start").agg(F.min("__id").alias("__first"), F.count("*").alias("__n"))
@@ -104,19 +117,15 @@ def write_partitioned(df: DataFrame, path: str, by: Sequence[str]) -> None:
 
 
 def write_retained_and_excluded(df: DataFrame, retained: str, excluded: str, by: Sequence[str]) -> None:
-    """Both sides of a quarantined frame from one evaluation."""
-    df = df.persist()
-    try:
-        good, bad = retained_and_excluded(df)
-        write_partitioned(good, retained, by)
-        write_partitioned(bad, excluded, by)
-    finally:
-        df.unpersist()
+    """Both sides of a quarantined frame from one evaluation, which is written once to the shared folder."""
+    good, bad = retained_and_excluded(settle(df))
+    write_partitioned(good, retained, by)
+    write_partitioned(bad, excluded, by)
 
 
 def write_table_csv(df: DataFrame, path: str) -> None:
     """A small result table as one gzip CSV; meant for summaries, not for panels."""
-    df.coalesce(1).write.mode("overwrite").csv(path, header=True, compression="gzip")
+    df.repartition(1).write.mode("overwrite").csv(path, header=True, compression="gzip")
 
 
 def parquet_inventory(spark: SparkSession, root: str) -> DataFrame:

@@ -45,7 +45,7 @@ def test_row_ranks_split_ties(skewed, monkeypatch):
     out = ordering.row_ranks(df, "v", "i", "r", ["g"]).toPandas()
     for g, part in out.groupby("g"):
         want = pdf[pdf.g == g].sort_values(["v", "i"]).i.tolist()
-        assert part.sort_values("r").i.tolist() == want and part.r.tolist().sort() == list(range(1, len(part) + 1)).sort()
+        assert part.sort_values("r").i.tolist() == want and sorted(part.r.tolist()) == list(range(1, len(part) + 1))
 
 
 @pytest.mark.parametrize("small", [0, 10**6])
