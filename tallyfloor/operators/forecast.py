@@ -75,8 +75,9 @@ SMALL_LEVELS = 100_000  # levels of a feature whose coefficients may be broadcas
 class LogLinear:
     """A fitted model: the intercept and one table of coefficients per feature."""
 
-    def __init__(self, features: Sequence[str], intercept: float, tables: dict[str, DataFrame], sizes: dict[str, int]):
-        self.features, self.intercept, self.tables, self.sizes = list(features), intercept, tables, sizes
+    def __init__(self, features: Sequence[str], intercept: float, tables: dict[str, DataFrame], sizes: dict[str, int], clip: float | None = None):
+        self.features, self.intercept, self.tables, self.sizes, self.clip = list(features), intercept, tables, sizes, clip
+        self.sweeps = 0
 
     def attach(self, rows: DataFrame, how: str = "inner") -> DataFrame:
         """Rows with ``b_<feature>`` and ``eta``. A table is broadcast only if its counted size
@@ -85,20 +86,21 @@ class LogLinear:
             t = self.tables[f]
             rows = rows.join(F.broadcast(t) if self.sizes[f] <= SMALL_LEVELS else t, f, how)
         eta = sum((F.coalesce(F.col(f"b_{f}"), F.lit(0.0)) for f in self.features), F.lit(self.intercept))
-        return rows.withColumn("eta", F.greatest(F.least(eta, F.lit(20.0)), F.lit(-20.0)))
+        return rows.withColumn("eta", eta if self.clip is None else F.greatest(F.least(eta, F.lit(self.clip)), F.lit(-self.clip)))
 
     def predict(self, rows: DataFrame, out: str = "prediction") -> DataFrame:
         done = self.attach(rows, "left").withColumn(out, F.exp("eta"))
         return done.drop("eta", *[f"b_{f}" for f in self.features])
 
 
-def fit_log_linear(cell: DataFrame, features: Sequence[str], l2: float, dispersion: float | None = None, sweeps: int = 12) -> LogLinear:
+def fit_log_linear(cell: DataFrame, features: Sequence[str], l2: float, dispersion: float | None = None, tolerance: float = 1e-8, most_sweeps: int = 500) -> LogLinear:
     """Log-link count model on one-hot features with a ridge on everything but the intercept:
     Poisson, or NB2 when a dispersion is given.
 
     The levels of one feature split the cells, so the scoring step of a whole feature is one
     group-by over the cells, whatever the number of levels; no design matrix is built. Each new
-    table of coefficients is written, so the plan of a step never grows.
+    table of coefficients is written, so the plan of a step never grows. Sweeps over the features go on until
+    no gradient of the mean loss exceeds ``tolerance``; a model that has not come so far after ``most_sweeps`` fails.
     """
     import math
 
@@ -107,7 +109,7 @@ def fit_log_linear(cell: DataFrame, features: Sequence[str], l2: float, dispersi
     total = cell.agg(F.sum("cell_n").alias("cell_n"), F.sum("cell_sum").alias("cell_sum")).first()
     size = float(total["cell_n"])
     tables = {f: settle(cell.select(f).distinct().withColumn(f"b_{f}", F.lit(0.0))) for f in features}
-    model = LogLinear(features, math.log(max(float(total["cell_sum"]) / size, 1e-6)), tables, {f: t.count() for f, t in tables.items()})
+    model = LogLinear(features, math.log(max(float(total["cell_sum"]) / size, 1e-6)), tables, {f: t.count() for f, t in tables.items()}, None if r is None else 20.0)
 
     mu = F.exp("eta")
     if r is None:
@@ -115,19 +117,26 @@ def fit_log_linear(cell: DataFrame, features: Sequence[str], l2: float, dispersi
     else:
         g, h = r * (F.col("cell_sum") - F.col("cell_n") * mu) / (r + mu), F.col("cell_n") * r * mu / (r + mu)
     G, H = F.col("__g"), F.col("__h")
-    for _ in range(sweeps):
+    while True:
+        worst = 0.0
         for f in features:
             # One Newton step for the levels of f together with the intercept: the levels are
             # independent given the intercept's move, so it is eliminated by two sums over levels.
             b = F.first(f"b_{f}")
             level = settle(model.attach(cell).groupBy(f).agg(
                 b.alias("__b"), (F.sum(g) / size - l2 * b).alias("__g"), (F.sum(h) / size).alias("__h"), (F.sum(g) / size).alias("__raw")))
-            top, bottom = level.agg(F.sum(F.col("__raw")) - F.sum(H * G / (H + l2)), F.sum(H * l2 / (H + l2))).first()
+            top, bottom, steep, tilt = level.agg(
+                F.sum(F.col("__raw")) - F.sum(H * G / (H + l2)), F.sum(H * l2 / (H + l2)), F.max(F.abs(G)), F.abs(F.sum("__raw"))).first()
+            worst = max(worst, steep, tilt)
             move = max(-2.0, min(2.0, top / bottom))
             step = (G - H * move) / (H + l2)
             model.tables[f] = level.select(f, (F.col("__b") + F.greatest(F.least(step, F.lit(2.0)), F.lit(-2.0))).alias(f"b_{f}"))
             model.intercept += move
-    return model
+        model.sweeps += 1
+        if worst <= tolerance:
+            return model
+        if model.sweeps == most_sweeps:
+            raise RuntimeError(f"not converged after {most_sweeps} sweeps: the largest gradient is {worst}")
 
 
 def boost_poisson(cell: DataFrame, features: Sequence[str], rounds: int, learning_rate: float, l2: float, depth: int = 4,

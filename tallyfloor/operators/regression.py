@@ -7,32 +7,34 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, functions as F
 
 from tallyfloor.functions.special import normal_tail, t_tail_two_sided
+from tallyfloor.operators.settle import settle
 
 
 def ols_group_effects(df: DataFrame, y: str, x: str, group: str) -> DataFrame:
     """Slope with one effect per group and leverage-adjusted (HC3) standard error.
 
     Group effects are taken out by group means, which gives the same slope and leverages
-    as dummies and works for any number of groups.
+    as dummies and works for any number of groups. Two reads of the rows: one for the moments of each
+    group, whose sums give the slope, and one for the errors.
     """
-    m = df.groupBy(group).agg(F.avg(x).alias("__mx"), F.avg(y).alias("__my"), F.count("*").alias("__g"))
-    d = df.join(m, group).select(
-        group, "__g", (F.col(x) - F.col("__mx")).alias("u"), (F.col(y) - F.col("__my")).alias("v"), F.col(y).alias("__y"))
-    s = d.agg(
-        F.sum(F.col("u") * F.col("u")).alias("sxx"), F.sum(F.col("u") * F.col("v")).alias("sxy"),
-        F.count("*").alias("observations"), F.avg("__y").alias("__m"),
-    )
-    groups = m.agg(F.count("*")).scalar()
-    sxx, slope = s.select("sxx").scalar(), s.select(F.col("sxy") / F.col("sxx")).scalar()
-    e = F.col("v") - slope * F.col("u")
-    h = 1 / F.col("__g") + F.col("u") * F.col("u") / sxx
+    n = F.count("*")
+    groups = settle(df.groupBy(group).agg(
+        n.alias("__g"), F.avg(x).alias("__mx"), F.avg(y).alias("__my"), (n * F.var_pop(x)).alias("__xx"),
+        (n * F.covar_pop(x, y)).alias("__xy"), (n * F.var_pop(y)).alias("__yy")))
+    size = F.col("__g")
+    t = groups.agg(
+        F.sum(size).alias("n"), n.alias("groups"), F.sum("__xx").alias("xx"), F.sum("__xy").alias("xy"), F.sum("__yy").alias("yy"),
+        (F.sum(size * F.col("__my")) / F.sum(size)).alias("grand")).first()
+    if not t["n"] or not t["xx"]:
+        raise ValueError("the predictor does not vary inside any group")
+    slope, sxx = t["xy"] / t["xx"], t["xx"]
+    between = groups.agg(F.sum(size * (F.col("__my") - t["grand"]) ** 2)).first()[0]
+    u, v = F.col(x) - F.col("__mx"), F.col(y) - F.col("__my")
+    e, h = v - slope * u, 1 / size + u * u / sxx
     adj = e / F.greatest(1 - h, F.lit(2.220446049250313e-16))
-    grand = s.select("__m").scalar()
-    out = d.agg(
-        F.count("*").alias("observations"), F.max(slope).alias("slope"),
-        F.sqrt(F.sum(F.col("u") * F.col("u") * adj * adj) / (F.max(sxx) * F.max(sxx))).alias("hc3_se"),
-        (1 - F.sum(e * e) / F.sum((F.col("__y") - grand) ** 2)).alias("r_squared"),
-    ).withColumn("groups", groups)
+    out = df.join(groups.select(group, "__g", "__mx", "__my"), group).agg(
+        n.alias("observations"), F.lit(slope).alias("slope"), (F.sqrt(F.sum(u * u * adj * adj)) / sxx).alias("hc3_se"),
+        (1 - F.sum(e * e) / (t["yy"] + between)).alias("r_squared"), F.lit(t["groups"]).cast("long").alias("groups"))
     out = out.withColumns({
         "df": (F.col("observations") - F.col("groups") - 1).cast("int"),
         "t": F.when(F.col("hc3_se") > 0, F.col("slope") / F.col("hc3_se")),
