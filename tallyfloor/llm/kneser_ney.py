@@ -218,8 +218,8 @@ def classify(docs: DataFrame, labels: DataFrame, trusted_docs: int = TRUSTED_DOC
 
 
 def filtered(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
-    """The rows of ``docs`` that are not rejected, with their columns; rows without an id go by the verdict on their text only if
-    all such rows agree, else they stay."""
+    """The rows of ``docs`` that are not rejected, with their columns. Verdicts are joined by id: rows without one stay, and of rows that share
+    one all go if any is rejected."""
     gone = classify(docs, labels, **options).where("NOT kept AND doc_id IS NOT NULL").select("doc_id").distinct()
     return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
 

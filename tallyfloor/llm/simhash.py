@@ -99,13 +99,15 @@ def plan(bits: np.ndarray, rows: int, distance: int, most_parts: int | None = No
 
     By the generalised pigeonhole principle, if the radii of m groups add up to distance - m + 1 (a radius of -1 skips a group),
     two fingerprints within the distance agree to within the radius on some group. For each m, dynamic programming over
-    (group, radii spent) finds the radii with the fewest estimated candidates plus probes; the cheapest m is taken."""
+    (group, radii spent) finds the radii with the fewest estimated candidates plus probes; the cheapest m is taken. However crowded
+    signatures are, their members emit their neighbours at one bit once, which bounds what candidates can cost."""
     best: tuple[float, list[tuple[list[int], int]]] = (float("inf"), [])
     for m in range(1, (most_parts or distance + 2) + 1):
         groups, total = group_bits(bits, m), distance - m + 1
         state: dict[int, tuple[float, list[int]]] = {0: (0.0, [])}
         for g in groups:
-            cost = {r: 0.0 if r < 0 else float(rows) * (1 + variants(len(g), r)) + float(rows) ** 2 / 2 * pair_share(bits, g, r) for r in range(-1, distance + 1)}
+            met = lambda r: min(float(rows) ** 2 / 2 * pair_share(bits, g, r), float(rows) * (BITS + 1) / m)
+            cost = {r: 0.0 if r < 0 else float(rows) * (1 + variants(len(g), r)) + met(r) for r in range(-1, distance + 1)}
             then: dict[int, tuple[float, list[int]]] = {}
             for spent, (so_far, radii) in state.items():
                 for r, c in cost.items():
@@ -157,11 +159,11 @@ def links(distinct: DataFrame, distance: int = 2, bucket: int = BUCKET, probes:
     a = small.select("sig", F.col("fp").alias("a"))
     b = small.where("own").select("sig", F.col("fp").alias("b"))
     differ = F.bit_count(F.col("a").bitwiseXOR(F.col("b")))
-    found = a.join(b, "sig").where((F.col("a") != F.col("b")) & (differ <= distance)).select("a", "b").distinct()
+    found = a.join(b, "sig").where((F.col("a") < F.col("b")) & (differ <= distance)).select("a", "b").distinct()
     large = met.where(F.col("n") > bucket).select("fp").distinct()
-    half = settle(large.select("fp", F.explode(_flipped(F.col("fp"), [0, *(_mask([i]) for i in range(BITS))])).alias("key")))
-    first = half.groupBy("key").agg(F.min("fp").alias("a"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    wide = half.join(first, "key").where(F.col("fp") != F.col("a")).select("a", F.col("fp").alias("b")).distinct()
+    half = large.select("fp", F.explode(_flipped(F.col("fp"), [0, *(_mask([i]) for i in range(BITS))])).alias("key"))
+    shared = half.groupBy("key").agg(F.min("fp").alias("a"), F.collect_set("fp").alias("own")).where("size(own) > 1")  # 65 at most
+    wide = shared.select("a", F.explode("own").alias("b")).where("a <> b").distinct()
     return found.unionByName(wide)
 
 
