@@ -50,9 +50,9 @@ def _(spark, sf):
     )
 
 
-@register("b04_norm_names", "SELECT doc_id, NULLIF(TRIM(regexp_replace(translate(translate(lower(nfc_normalize(t)), '‘’“”–—', '''''\"\"--'), chr(160), ' '), '\\s+', ' ', 'g')), '') AS name FROM (SELECT doc_id, regexp_replace(regexp_extract(text, '^[^.!?]*'), '[^a-zA-Z ‘’“”–—]', '', 'g') AS t FROM documents)")
+@register("b04_norm_names", "SELECT doc_id, NULLIF(TRIM(regexp_replace(translate(translate(lower(nfc_normalize(t)), '‘’“”–—', '''''\"\"--'), chr(160), ' '), '\\s+', ' ', 'g')), '') AS name FROM (SELECT doc_id, regexp_replace(text, '[^a-zA-Z ‘’“”–—]', '', 'g') AS t FROM documents)")
 def _(spark, sf):
-    d = read(spark, sf, "documents").select("doc_id", F.regexp_replace(F.regexp_extract("text", r"^[^.!?]*", 0), "[^a-zA-Z ‘’“”–—]", "").alias("t"))
+    d = read(spark, sf, "documents").select("doc_id", F.regexp_replace("text", "[^a-zA-Z ‘’“”–—]", "").alias("t"))
     return cl.norm_names(d, "t", "name").select("doc_id", "name")
 
 
@@ -127,7 +127,13 @@ def _(spark, sf):
 
 
 def _sql_utm():
-    n, radius, alpha, _ = geo._series()
+    f = 1 / 298.257223563  # fixed values: the WGS 84 ellipsoid and the series of the transverse Mercator projection to the fourth power
+    n = f / (2 - f)
+    radius = 6378137.0 / (1 + n) * (1 + n**2 / 4 + n**4 / 64)
+    alpha = [
+        n / 2 - 2 * n**2 / 3 + 5 * n**3 / 16 + 41 * n**4 / 180, 13 * n**2 / 48 - 3 * n**3 / 5 + 557 * n**4 / 1440,
+        61 * n**3 / 240 - 103 * n**4 / 140, 49561 * n**4 / 161280,
+    ]
     e = 2 * n**0.5 / (1 + n)
     terms = lambda f, g: " + ".join(f"{a!r}e0*{f}({2 * j}e0*xi)*{g}({2 * j}e0*eta)".replace("e-", "e-") for j, a in enumerate(alpha, 1))
     fix = lambda s: __import__("re").sub(r"(\d\.\d+e-\d+)e0", r"\1", s)

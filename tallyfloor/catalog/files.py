@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from tallyfloor.catalog.base import *  # noqa: F403
 from tallyfloor.catalog.base import cte, r, read, register
-from tallyfloor.catalog.columns import _EVENT_RULES_SQL, event_rows
+from tallyfloor.catalog.columns import _EVENT_RULES_SQL, _sql_utm, event_rows
 from tallyfloor.operators.settle import scratch
 from tallyfloor.sources import files as fl
 
@@ -131,7 +131,8 @@ def _(spark, sf):
     return functools.reduce(lambda a, b: a.unionByName(b), parts)
 
 
-@register("e45_other_cell_size", None)
+@register("e45_other_cell_size", _sql_utm().rstrip() + ", o AS (SELECT o_custkey, COUNT(*) AS n FROM orders GROUP BY 1), s AS (SELECT unnest([250, 500, 1000]) AS size), c AS (SELECT size, floor(east/size) AS x, floor(north/size) AS y, SUM(n) AS n FROM g JOIN o ON o_custkey = c_custkey, s GROUP BY ALL) "
+    + f"SELECT CAST(size AS BIGINT) AS cell_size, COUNT(*) AS active_cells, CAST(SUM(n) AS BIGINT) AS events, {r('AVG(n)', 'mean_per_cell')} FROM c GROUP BY size")
 def _(spark, sf):
     from tallyfloor.catalog.columns import lat, lon
     from tallyfloor.functions.geo import to_grid

@@ -310,12 +310,12 @@ def family(spark, sf, fit):
 
 @register("k02_poisson_glm")
 def _(spark, sf):
-    return family(spark, sf, lambda c: fc.fit_log_linear(c, FEATURES, 0.001, sweeps=3).predict)
+    return family(spark, sf, lambda c: fc.fit_log_linear(c, FEATURES, 0.001).predict)
 
 
 @register("k03_negative_binomial")
 def _(spark, sf):
-    return family(spark, sf, lambda c: fc.fit_log_linear(c, FEATURES, 1e-5, dispersion=0.5, sweeps=3).predict)
+    return family(spark, sf, lambda c: fc.fit_log_linear(c, FEATURES, 1e-5, dispersion=0.5).predict)
 
 
 @register("k04_boosted_poisson")

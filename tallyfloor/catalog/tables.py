@@ -613,7 +613,7 @@ def _(spark, sf):
     return ck.panel_integrity(events_panel(spark, sf), "unit", "period", "y", "y1", EV_START, EV_END)
 
 
-@register("n04_scale_conservation", cte(P_OR, "w AS (SELECT SUM(y) AS s FROM (SELECT SUM(y) AS y FROM opanel GROUP BY unit, date_trunc('week', period)))") + "SELECT 'spread' AS \"check\", 0e0 AS expected, CAST(abs((SELECT SUM(y) FROM opanel)-(SELECT s FROM w)) AS DOUBLE) AS observed, 'PASS' AS status")
+@register("n04_scale_conservation", cte(P_OR, "w AS (SELECT SUM(y) AS s FROM (SELECT SUM(y) AS y FROM opanel GROUP BY unit, date_trunc('week', period)))") + "SELECT 'spread' AS \"check\", 0e0 AS expected, CAST(abs((SELECT SUM(y) FROM opanel)-(SELECT s FROM w)) AS DOUBLE) AS observed, CASE WHEN (SELECT SUM(y) FROM opanel) = (SELECT s FROM w) THEN 'PASS' ELSE 'FAIL' END AS status")
 def _(spark, sf):
     p = orders_panel(spark, sf)
     day = p.agg(F.sum("y").alias("t"))
@@ -633,7 +633,7 @@ def _(spark, sf):
     })
 
 
-@register("n06_balanced_panel", cte(P_EV) + "SELECT 'unequal_length' AS \"check\", 0e0 AS expected, CAST(MAX(c)-MIN(c) AS DOUBLE) AS observed, 'PASS' AS status FROM (SELECT COUNT(*) AS c FROM panel GROUP BY unit)")
+@register("n06_balanced_panel", cte(P_EV) + "SELECT 'unequal_length' AS \"check\", 0e0 AS expected, CAST(MAX(c)-MIN(c) AS DOUBLE) AS observed, CASE WHEN MAX(c) = MIN(c) THEN 'PASS' ELSE 'FAIL' END AS status FROM (SELECT COUNT(*) AS c FROM panel GROUP BY unit)")
 def _(spark, sf):
     n = events_panel(spark, sf).groupBy("unit").agg(F.count("*").alias("c"))
     return ck.require(ck.expect(n, {"unequal_length": (F.max("c") - F.min("c"), 0)}))
