@@ -14,7 +14,7 @@ from .quality_rules import let
 #: Cells of the rank map, so that a look-up passes over a few entries only.
 CELLS = 1 << 15
 #: Words that make up more than 1 / FREQUENT of all are looked up in the row (fewer than FREQUENT can be that frequent).
-FREQUENT = 1 << 18
+FREQUENT = 1 << 20
 
 
 @functools.cache
@@ -99,31 +99,20 @@ def pre_tokens(text: Column, pattern: str) -> Column:
 def encode(docs: DataFrame, ranks: str, pattern: str, frequent: int = FREQUENT) -> DataFrame:
     """doc_id, ids (decimal, joined by commas) for each row, as a byte-level BPE library gives them for the pattern's matches.
 
-    Distinct pre-tokens are counted and each is folded once. Those above a share of 1 / ``frequent`` of all go into a literal map and are
-    looked up in the row. The others' occurrences, each word of which has at most that share, are joined with their ids and come back
-    to their row by its tag, so no word is a hot key.
+    Distinct pre-tokens are counted; those above a share of 1 / ``frequent`` of all are folded once and go into a literal map, in which
+    every row looks its pre-tokens up. What is rarer is folded where it stands, so texts are never shuffled and no word is a hot key.
 
     Null and empty texts have no ids, null ids stay null, repeated rows are each encoded, other columns are ignored, and an empty table
     gives no rows. A pre-token of n bytes takes time that grows with n squared. Letters are those of the Java runtime's Unicode."""
     bpe = Bpe(ranks)
+    code = lambda word: F.array_join(bpe.fold(word), ",")
     words = docs.select(F.explode(pre_tokens(F.col("text"), pattern)).alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("c"))
     words = settle(words)
     total = words.agg(F.sum("c")).first()[0] or 0
-    coded = settle(words.repartition("word").select("word", "c", F.array_join(bpe.fold(F.col("word")), ",").alias("code")))
-    common = {r["word"]: r["code"] for r in coded.where(F.col("c") * frequent > total).select("word", "code").collect()}  # fewer than ``frequent``
-    known = F.from_json(F.lit(_cells(common)), "array<map<string,string>>")
-    own = docs.select(F.monotonically_increasing_id().alias("tag"), F.col("doc_id").cast("long").alias("doc_id"), pre_tokens(F.col("text"), pattern).alias("words"))
-    placed = own.withColumn("placed", F.transform("words", lambda w, i: F.struct(i.alias("at"), _look_up(known, w).alias("code"), w.alias("word"))))
-    split = settle(placed.select(
-        "tag", "doc_id",
-        F.transform(F.filter("placed", lambda x: x["code"].isNotNull()), lambda x: F.struct(x["at"].alias("at"), x["code"].alias("code"))).alias("found"),
-        F.transform(F.filter("placed", lambda x: x["code"].isNull()), lambda x: F.struct(x["at"].alias("at"), x["word"].alias("word"))).alias("open"),
-    ))
-    rest = split.select("tag", F.inline("open")).join(coded.where(F.col("c") * frequent <= total).select("word", "code").hint("merge"), "word")
-    rest = rest.groupBy("tag").agg(F.collect_list(F.struct("at", "code")).alias("more"))  # of one document
-    joined = split.select("tag", "doc_id", "found").join(rest, "tag", "left")
-    every = F.sort_array(F.concat("found", F.coalesce("more", F.array().cast("array<struct<at:int,code:string>>"))))
-    return joined.select("doc_id", F.array_join(F.transform(every, lambda x: x["code"]), ",").alias("ids"))
+    common = words.where(F.col("c") * frequent > total).repartition("word").select("word", code(F.col("word")).alias("code")).collect()  # fewer than ``frequent``
+    known = F.from_json(F.lit(_cells({r["word"]: r["code"] for r in common})), "array<map<string,string>>")
+    codes = F.transform(pre_tokens(F.col("text"), pattern), lambda w: F.coalesce(_look_up(known, w), code(w)))
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.array_join(codes, ",").alias("ids"))
 
 
 def decode(encoded: DataFrame, ranks: str) -> DataFrame:

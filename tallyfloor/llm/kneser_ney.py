@@ -13,13 +13,15 @@ from .common import scratch, settle
 from .quality_rules import trusted_ids, words_of
 
 #: Trusted documents and words that the model is fitted on at most. They bound it at any size of the corpus.
-TRUSTED_DOCS, TRUSTED_WORDS = 4_000, 1_500_000
-#: Parts of the model's tables.
-SHARDS = 8
+TRUSTED_DOCS, TRUSTED_WORDS = 4_000, 1_000_000
+#: Parts of the model's tables, and the tables: discounted shares (a) and what is left to the lower order (g, the gap).
+SHARDS, KINDS = 8, ("a3", "g3", "a2", "g2", "a1")
 #: Quantile of trusted texts' log-perplexity in a language, and how many spreads (that quantile less the median) a text may lie above it.
 QUANTILE, SLACK = 0.99, 0.6
 #: Tokens at the median that temper the verdict on a short text.
 PRIOR_TOKENS = 20
+#: Bytes of text that a task scores at a time.
+BLOCK = 2 << 20
 #: Cells of the log10 scale on which quantiles are counted.
 GRID = 1000
 
@@ -88,7 +90,7 @@ def train(docs: DataFrame, trusted: DataFrame, folder: str, max_words: int = TRU
     t3, _ = _parts(three, ["x", "y"])
     t2, _ = _parts(two, ["y"])
     t1, left = _parts(one, [])
-    row = lambda df, kind, key, value: df.select(F.lit(kind).alias("kind"), key.alias("key"), value.alias("value"))
+    row = lambda df, kind, key, value: df.select(F.lit(KINDS.index(kind)).cast("tinyint").alias("kind"), key.alias("key"), value.alias("value"))
     tables = [
         row(t3, "a3", F.xxhash64("x", "y", "z"), F.col("a")), row(t3.select("x", "y", "back").distinct(), "g3", F.xxhash64("x", "y"), F.col("back")),
         row(t2, "a2", F.xxhash64("y", "z"), F.col("a")), row(t2.select("y", "back").distinct(), "g2", F.col("y"), F.col("back")),
@@ -106,15 +108,15 @@ def _load(folder: str) -> dict[tuple[str, int], tuple[np.ndarray, np.ndarray]]:
     from pyarrow import fs
 
     system, root = fs.FileSystem.from_uri(folder) if ":" in folder else (fs.LocalFileSystem(), folder)
-    t = ds.dataset(root, filesystem=system, format="parquet").to_table()
-    kind, shard = t["kind"].to_numpy(zero_copy_only=False), t["shard"].to_numpy()
-    key, value = t["key"].to_numpy(), t["value"].to_numpy()
-    out = {}
-    for k in ("a3", "g3", "a2", "g2", "a1"):
+    files, out = ds.dataset(root, filesystem=system, format="parquet"), {}
+    for k, name in enumerate(KINDS):
+        t = files.to_table(columns=["key", "value"], filter=ds.field("kind") == k)
+        key, value = t["key"].to_numpy(), t["value"].to_numpy()
+        shard = key % SHARDS
         for s in range(SHARDS):
-            own = np.flatnonzero((kind == k) & (shard == s))
+            own = np.flatnonzero(shard == s)
             own = own[np.argsort(key[own])]
-            out[k, s] = (key[own], value[own])
+            out[name, s] = (key[own], value[own])
     return out
 
 
@@ -144,7 +146,7 @@ def score(docs: DataFrame, folder: str, left: float, words: float) -> DataFrame:
             texts, at = b.column(2), 0
             while at < len(b):
                 stop, size, sizes, flat = at, 0, [], []
-                while stop < len(b) and size < 4 << 20:
+                while stop < len(b) and size < BLOCK:
                     t = texts[stop].as_py() or b""
                     w = np.fromiter((digest(x, 42) for x in t.split()), np.uint64).view(np.int64)
                     flat.append(np.concatenate([[START, START], w, [END]]).astype(np.int64))

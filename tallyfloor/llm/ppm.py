@@ -21,7 +21,7 @@ CONTEXTS = 1 << 19
 #: Words above a share of 1 / FREQUENT of all words are looked up in the task: fewer than FREQUENT.
 FREQUENT = 1 << 20
 #: Bytes that a task counts or scores at a time.
-BLOCK = 4 << 20
+BLOCK = 2 << 20
 
 #: Bytes that UTF-8 never has: before a text, and its end.
 BEFORE, END = 0xFE, 0xFF
