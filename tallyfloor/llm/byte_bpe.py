@@ -12,7 +12,7 @@ from .common import settle
 from .quality_rules import let
 
 #: Cells of the rank map, so that a look-up passes over a few entries only.
-CELLS = 1 << 15
+CELLS = 1 << 14
 #: Words that make up more than 1 / FREQUENT of all are looked up in the row (fewer than FREQUENT can be that frequent).
 FREQUENT = 1 << 20
 
@@ -41,7 +41,7 @@ class Bpe:
     """Encoding and decoding expressions for a vocabulary of byte pieces with ranks.
 
     Bytes are written in hexadecimal, two characters each, so pieces are strings whose concatenation is that of their bytes. The
-    ranks are one literal: an array of maps."""
+    ranks are one literal, an array of maps, which an expression binds once."""
 
     def __init__(self, path: str):
         ranks = _ranks(path)
@@ -51,16 +51,17 @@ class Bpe:
             pieces[v] = k.hex().upper()
         self.pieces = F.from_json(F.lit(json.dumps(pieces)), "array<string>")
 
-    def rank(self, piece: Column) -> Column:
-        return _look_up(self.literal, piece)
+    def bound(self, body) -> Column:
+        """``body`` of a function that gives a word's ids, with the ranks at hand."""
+        return let(self.literal, lambda ranks: body(functools.partial(self._fold, lambda piece: _look_up(ranks, piece))))
 
-    def fold(self, word: Column) -> Column:
+    def _fold(self, rank, word: Column) -> Column:
         """Ids of one pre-token: from its single bytes, the adjacent pair of the lowest rank (the first of equal ones) is merged as long as
         there is one. The state holds the pieces and the rank of each adjacent pair; a merge looks up only the two new pairs."""
 
         def start(parts: Column) -> Column:
             n = F.size(parts)
-            pairs = F.zip_with(F.slice(parts, 1, n - 1), F.slice(parts, 2, n - 1), lambda a, b: self.rank(F.concat(a, b)))
+            pairs = F.zip_with(F.slice(parts, 1, n - 1), F.slice(parts, 2, n - 1), lambda a, b: rank(F.concat(a, b)))
             return F.struct(parts.alias("parts"), F.when(n > 1, pairs).otherwise(F.array().cast("array<int>")).alias("ranks"))
 
         def merge(state: Column, at: Column) -> Column:
@@ -68,8 +69,8 @@ class Bpe:
             rest = F.size(parts)
 
             def put(new: Column) -> Column:
-                left = F.when(at > 1, F.array(self.rank(F.concat(F.get(parts, at - 2), new)))).otherwise(F.array().cast("array<int>"))
-                right = F.when(at + 1 < rest, F.array(self.rank(F.concat(new, F.get(parts, at + 1))))).otherwise(F.array().cast("array<int>"))
+                left = F.when(at > 1, F.array(rank(F.concat(F.get(parts, at - 2), new)))).otherwise(F.array().cast("array<int>"))
+                right = F.when(at + 1 < rest, F.array(rank(F.concat(new, F.get(parts, at + 1))))).otherwise(F.array().cast("array<int>"))
                 return F.struct(
                     F.concat(F.slice(parts, F.lit(1), at - 1), F.array(new), F.slice(parts, at + 2, rest)).alias("parts"),
                     F.concat(F.slice(ranks, F.lit(1), F.greatest(at - 2, F.lit(0))), left, right, F.slice(ranks, at + 2, rest)).alias("ranks"),
@@ -84,11 +85,11 @@ class Bpe:
         spelled = F.hex(word.cast("binary"))
         bytes_of = lambda h: F.transform(F.sequence(F.lit(1), F.length(h) - 1, F.lit(2)), lambda i: F.substr(h, i, F.lit(2)))
         merged = let(let(spelled, bytes_of), lambda parts: F.aggregate(F.sequence(F.lit(1), F.size(parts)), start(parts), step)["parts"])
-        return F.when(F.length(word) > 0, F.transform(merged, self.rank)).otherwise(F.array().cast("array<int>"))
+        return F.when(F.length(word) > 0, F.transform(merged, lambda piece: rank(piece))).otherwise(F.array().cast("array<int>"))
 
     def decode(self, ids: Column) -> Column:
         """The bytes that ids stand for: their pieces in a row."""
-        return F.unhex(F.array_join(F.transform(ids, lambda i: F.get(self.pieces, i)), ""))
+        return F.unhex(F.array_join(let(self.pieces, lambda pieces: F.transform(ids, lambda i: F.get(pieces, i))), ""))
 
 
 def pre_tokens(text: Column, pattern: str) -> Column:
@@ -105,13 +106,13 @@ def encode(docs: DataFrame, ranks: str, pattern: str, frequent: int = FREQUENT)
     Null and empty texts have no ids, null ids stay null, repeated rows are each encoded, other columns are ignored, and an empty table
     gives no rows. A pre-token of n bytes takes time that grows with n squared. Letters are those of the Java runtime's Unicode."""
     bpe = Bpe(ranks)
-    code = lambda word: F.array_join(bpe.fold(word), ",")
     words = docs.select(F.explode(pre_tokens(F.col("text"), pattern)).alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("c"))
     words = settle(words)
     total = words.agg(F.sum("c")).first()[0] or 0
-    common = words.where(F.col("c") * frequent > total).repartition("word").select("word", code(F.col("word")).alias("code")).collect()  # fewer than ``frequent``
+    common = words.where(F.col("c") * frequent > total).repartition("word").select("word", F.array_join(bpe.bound(lambda fold: fold(F.col("word"))), ",").alias("code")).collect()  # fewer than ``frequent``
     known = F.from_json(F.lit(_cells({r["word"]: r["code"] for r in common})), "array<map<string,string>>")
-    codes = F.transform(pre_tokens(F.col("text"), pattern), lambda w: F.coalesce(_look_up(known, w), code(w)))
+    found = pre_tokens(F.col("text"), pattern)
+    codes = bpe.bound(lambda fold: let(known, lambda k: F.transform(found, lambda w: F.coalesce(_look_up(k, w), F.array_join(fold(w), ",")))))
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.array_join(codes, ",").alias("ids"))
 
 
