@@ -9,6 +9,7 @@ from tallyfloor.catalog.base import big, cte, r, read, register
 from tallyfloor.catalog.columns import _EVENT_RULES_SQL, event_rows
 from tallyfloor.catalog.resampling import P_OR, orders_panel, orders_prepared
 from tallyfloor.functions import bounds, calendars, special
+from tallyfloor.functions.states import split_label
 from tallyfloor.operators import audit as au, checks as ck, information as info, ordering, panel as pn, repair as rp, stations as st, summaries as sm
 
 B = ["dow", "zl"]
@@ -226,6 +227,28 @@ def _(spark, sf):
     return pn.to_weekly(orders_panel(spark, sf), ["unit"], "period", ["y", "x"], complete_only=False)
 
 
+_LABEL = lambda c: f"CASE WHEN {c} <= DATE '{OR_TRAIN_END}' THEN 'train' WHEN {c} <= DATE '{OR_VALID_END}' THEN 'validation' ELSE 'test' END"
+
+
+@register("e23_weekly_split", cte(P_OR, "wk AS (SELECT unit, CAST(date_trunc('week', period) AS DATE) AS a, MAX(period) AS b, SUM(y) AS y FROM opanel GROUP BY unit, date_trunc('week', period))")
+    + " UNION ALL ".join(f"SELECT '{k}' AS split_by, {_LABEL(c)} AS split, COUNT(*) AS weeks, CAST(SUM(y) AS BIGINT) AS y FROM wk GROUP BY ALL" for k, c in (("start", "a"), ("end", "b"))))
+def _(spark, sf):
+    label = lambda c: split_label(c, OR_TRAIN_END, OR_VALID_END)
+    parts = []
+    for by in ("start", "end"):
+        weeks = pn.to_weekly(orders_panel(spark, sf), ["unit"], "period", ["y"], complete_only=False, split=label, split_by=by)
+        parts.append(weeks.groupBy(F.lit(by).alias("split_by"), "split").agg(F.count("*").alias("weeks"), F.sum("y").alias("y")))
+    return parts[0].unionByName(parts[1])
+
+
+@register("d01_window_disposition", f"""
+SELECT CASE WHEN CAST(l_shipdate AS DATE) < DATE '{OR_START}' THEN 'before' WHEN CAST(l_shipdate AS DATE) > DATE '{OR_END}' THEN 'after' ELSE 'inside' END AS place,
+COUNT(*) AS rows, CAST(SUM(l_linenumber) AS BIGINT) AS l_linenumber FROM lineitem GROUP BY 1""")
+def _(spark, sf):
+    shipped = read(spark, sf, "lineitem").select(F.to_date("l_shipdate").alias("period"), "l_linenumber")
+    return pn.window_disposition(shipped, "period", ["l_linenumber"], OR_START, OR_END)
+
+
 @register("e24_week_bounds", "WITH b AS (SELECT c_nationkey AS unit, CAST(MIN(o_orderdate) AS DATE) AS lo, CAST(MAX(o_orderdate) AS DATE) AS hi FROM orders JOIN customer ON o_custkey=c_custkey GROUP BY 1), f AS (SELECT unit, lo + CAST((8-isodow(lo))%7 AS INTEGER) AS first, hi - CAST(CASE WHEN isodow(hi)=7 THEN 6 ELSE isodow(hi)+6 END AS INTEGER) AS last FROM b) SELECT CAST(unit AS BIGINT) AS unit, CAST(first AS VARCHAR) AS first, CAST(last AS VARCHAR) AS last, CAST((last-first)//7+1 AS BIGINT) AS weeks FROM f")
 def _(spark, sf):
     o = read(spark, sf, "orders").select("o_custkey", F.to_date("o_orderdate").alias("d")).join(read(spark, sf, "customer").select("c_custkey", F.col("c_nationkey").alias("unit")), F.col("o_custkey") == F.col("c_custkey"))

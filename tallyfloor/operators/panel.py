@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
@@ -55,6 +55,13 @@ def densify(
     )
 
 
+def window_disposition(counts: DataFrame, period: str, measures: Sequence[str], start: str, end: str) -> DataFrame:
+    """What a calendar from ``start`` to ``end`` takes in and leaves out: rows and sums by place (before, inside, after, or undated)."""
+    first, last = F.lit(start).cast("date"), F.lit(end).cast("date")
+    place = F.when(F.col(period).isNull(), "undated").when(F.col(period) < first, "before").when(F.col(period) > last, "after").otherwise("inside")
+    return counts.groupBy(place.alias("place")).agg(F.count("*").alias("rows"), *[F.coalesce(F.sum(m), F.lit(0)).alias(m) for m in measures])
+
+
 def add_lags(df: DataFrame, unit: Sequence[str], period: str, lags: Mapping[str, tuple[str, int]]) -> DataFrame:
     """Strict lags on a dense panel; the first ``k`` periods of each unit are null."""
     w = W.partitionBy(*unit).orderBy(period)
@@ -133,8 +140,11 @@ def to_weekly(
     measures: Sequence[str],
     flags: Sequence[str] = (),
     complete_only: bool = True,
+    split: Callable[[Column], Column] | None = None,
+    split_by: str = "start",
 ) -> DataFrame:
-    """Sums per unit and Monday week; ``period_end`` is the last day present."""
+    """Sums per unit and Monday week; ``period_end`` is the last day present. ``split`` labels each week by its
+    start or, with ``split_by`` "end", by its end."""
     out = (
         df.withColumn("period_start", week_start(F.col(period)))
         .groupBy(*unit, "period_start")
@@ -145,4 +155,6 @@ def to_weekly(
             *[F.max(f).alias(f"contains_{f}") for f in flags],
         )
     )
+    if split is not None:
+        out = out.withColumn("split", split(F.col({"start": "period_start", "end": "period_end"}[split_by])))
     return out.where(F.col("days_in_period") == 7) if complete_only else out
