@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import dataclasses
 import functools
 from collections.abc import Iterable, Iterator
 
@@ -9,6 +10,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
+from .arrays import open_array, write_array
 from .common import scratch, settle
 from .quality_rules import trusted_ids, words_of
 
@@ -73,10 +75,9 @@ def _parts(counts: DataFrame, context: list[str]) -> tuple[DataFrame, list[float
     return counts.join(sums, context).withColumns({"a": (F.col("c") - own) / F.col("total"), "back": F.col("left") / F.col("total")}), d
 
 
-def train(docs: DataFrame, trusted: DataFrame, folder: str, max_words: int = TRUSTED_WORDS) -> tuple[float, float]:
+def train(docs: DataFrame, trusted: DataFrame, folder: str, max_words: int = TRUSTED_WORDS) -> "Model":
     """Counts three-word runs of the trusted documents, derives the lower orders' continuation counts, joins counts with the sums of
-    their contexts, and writes all tables in ``SHARDS`` parts sorted by key below ``folder``. Returns the share of the
-    unigrams left to unseen words and the number of distinct words."""
+    their contexts, and writes all tables in ``SHARDS`` parts sorted by key below ``folder``."""
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(trusted), "doc_id")
     own = settle(own.select("doc_id", F.transform(words_of(F.col("text")), lambda w: F.xxhash64(w)).alias("w")))
     upto = Window.orderBy(F.xxhash64("doc_id"), "doc_id").rowsBetween(Window.unboundedPreceding, 0)  # at most TRUSTED_DOCS rows
@@ -97,27 +98,42 @@ def train(docs: DataFrame, trusted: DataFrame, folder: str, max_words: int = TRU
         row(t1, "a1", F.col("z"), F.col("a")),
     ]
     model = functools.reduce(DataFrame.unionByName, tables).withColumn("shard", F.pmod("key", F.lit(SHARDS)).cast("int"))
-    model.repartition(SHARDS, "shard").sortWithinPartitions("shard", "kind", "key").write.parquet(folder)
-    return left[0], float(one.count())
+
+    def write(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        batches = list(batches)  # a shard of the bounded model
+        t = pa.Table.from_batches(batches).cast(schema) if batches else schema.empty_table()
+        kind, shard, key, value = (t[c].to_numpy() for c in ("kind", "shard", "key", "value"))
+        rows = []
+        for s in np.unique(shard):
+            for k in np.unique(kind):
+                own = (kind == k) & (shard == s)
+                rows.append((int(k), int(s), write_array(folder, key[own]), write_array(folder, value[own])))
+        yield pa.RecordBatch.from_pylist([dict(zip(("kind", "shard", "keys", "values"), r)) for r in rows], parts)
+
+    schema = pa.schema([("kind", pa.int8()), ("key", pa.int64()), ("value", pa.float64()), ("shard", pa.int32())])
+    parts = pa.schema([("kind", pa.int32()), ("shard", pa.int32()), ("keys", pa.string()), ("values", pa.string())])
+    spread = model.repartition(SHARDS, "shard").sortWithinPartitions("shard", "kind", "key")
+    files = spread.mapInArrow(write, "kind int, shard int, keys string, values string").collect()  # SHARDS x KINDS rows
+    names = tuple(sorted((KINDS[r["kind"]], r["shard"], r["keys"], r["values"]) for r in files))
+    return Model(folder, names, left[0], float(one.count()))
+
+
+@dataclasses.dataclass(frozen=True)
+class Model:
+    """Where the tables are, the share of the unigrams left to unseen words, and the number of distinct words."""
+
+    folder: str
+    names: tuple[tuple[str, int, str, str], ...]
+    left: float
+    words: float
 
 
 @functools.lru_cache(1)
-def _load(folder: str) -> dict[tuple[str, int], tuple[np.ndarray, np.ndarray]]:
+def _load(folder: str, names: tuple) -> dict[tuple[str, int], tuple[np.ndarray, np.ndarray]]:
     """The worker's copy of the tables: sorted keys and values of each kind and shard."""
-    import pyarrow.dataset as ds
-    from pyarrow import fs
-
-    system, root = fs.FileSystem.from_uri(folder) if ":" in folder else (fs.LocalFileSystem(), folder)
-    files, out = ds.dataset(root, filesystem=system, format="parquet"), {}
-    for k, name in enumerate(KINDS):
-        t = files.to_table(columns=["key", "value"], filter=ds.field("kind") == k)
-        key, value = t["key"].to_numpy(), t["value"].to_numpy()
-        shard = key % SHARDS
-        for s in range(SHARDS):
-            own = np.flatnonzero(shard == s)
-            own = own[np.argsort(key[own])]
-            out[name, s] = (key[own], value[own])
-    return out
+    nothing = (np.empty(0, np.int64), np.empty(0))
+    out = {(kind, shard): nothing for kind in KINDS for shard in range(SHARDS)}
+    return out | {(kind, shard): (open_array(folder, keys), open_array(folder, values)) for kind, shard, keys, values in names}
 
 
 def _join(model: dict, kind: str, keys: np.ndarray, missing: float) -> np.ndarray:
@@ -135,13 +151,13 @@ def _join(model: dict, kind: str, keys: np.ndarray, missing: float) -> np.ndarra
     return out[place]
 
 
-def score(docs: DataFrame, folder: str, left: float, words: float) -> DataFrame:
+def score(docs: DataFrame, fitted: Model) -> DataFrame:
     """doc_id, lang, n_tokens (words and one end), log10_prob for each row, in the task that reads it."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
 
-        model, digest = _load(folder), xxhash.xxh64_intdigest
+        model, digest = _load(fitted.folder, fitted.names), xxhash.xxh64_intdigest
         for b in batches:
             texts, at = b.column(2), 0
             while at < len(b):
@@ -157,7 +173,7 @@ def score(docs: DataFrame, folder: str, left: float, words: float) -> DataFrame:
                 x, y, z = h[:-2], h[1:-1], h[2:]
                 inside = np.concatenate([np.r_[np.ones(n, bool), np.zeros(2, bool)] for n in sizes])[:-2]
                 x, y, z = x[inside], y[inside], z[inside]
-                p = _join(model, "a1", z, 0.0) + left / (words + 1)
+                p = _join(model, "a1", z, 0.0) + fitted.left / (fitted.words + 1)
                 p = _join(model, "a2", hash_longs(y, z), 0.0) + _join(model, "g2", y, 1.0) * p
                 p = _join(model, "a3", hash_longs(x, y, z), 0.0) + _join(model, "g3", hash_longs(x, y), 1.0) * p
                 total = np.add.reduceat(np.log10(p), np.r_[0, np.cumsum(sizes)[:-1]])
@@ -206,9 +222,8 @@ def classify(docs: DataFrame, labels: DataFrame, trusted_docs: int = TRUSTED_DOC
     Null texts are empty (one end token), a null language is one of its own, languages without trusted texts use the threshold over all, null ids are
     never trusted, repeated rows are each judged, without labels all is kept, and other columns are ignored."""
     trusted = settle(trusted_ids(labels.where(_fit_fold()), trusted_docs))
-    folder = scratch(docs.sparkSession, "kneser-ney")
-    left, words = train(docs, trusted, folder, trusted_words)
-    scored = settle(score(docs, folder, left, words).withColumn("rate", -F.col("log10_prob") / F.col("n_tokens")))
+    fitted = train(docs, trusted, scratch(docs.sparkSession, "kneser-ney"), trusted_words)
+    scored = settle(score(docs, fitted).withColumn("rate", -F.col("log10_prob") / F.col("n_tokens")))
     by_lang, (middle, limit) = thresholds(scored, labels, quantile, slack)
     by_lang = settle(by_lang)  # a row for each language
     same = scored["lang"].eqNullSafe(by_lang["lang"])

@@ -137,8 +137,8 @@ def test_classifier_is_the_model(spark, tmp_path):
     train = ["the cat sat on the mat", "the cat ate the rat", "a dog sat on the cat and the dog ate", "the cat sat on a hat", "it is on the mat"]
     texts = ["the cat sat on the mat", "a zebra ate the cat", "", "mat", "the the the", "the cat sat"]
     docs = spark.createDataFrame([(i, t, "en") for i, t in enumerate(train + texts)], "doc_id long, text string, lang string")
-    left, words = kneser_ney.train(docs, spark.range(len(train)).withColumnRenamed("id", "doc_id"), f"{tmp_path}/model")
-    got = {r["doc_id"]: r["log10_prob"] for r in kneser_ney.score(docs, f"{tmp_path}/model", left, words).collect()}
+    fitted = kneser_ney.train(docs, spark.range(len(train)).withColumnRenamed("id", "doc_id"), f"{tmp_path}/model")
+    got = {r["doc_id"]: r["log10_prob"] for r in kneser_ney.score(docs, fitted).collect()}
     for i, t in enumerate(texts):
         assert got[len(train) + i] == pytest.approx(plain_kneser_ney(train, t), abs=1e-9)
 
