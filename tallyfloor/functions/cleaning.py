@@ -71,17 +71,9 @@ def norm_names(df: DataFrame, column: str, out: str) -> DataFrame:
 
     fold.__annotations__ = {"batches": Iterator[pd.Series], "return": Iterator[pd.Series]}
     folded = F.pandas_udf(fold, T.StringType())
-    odd = F.col(column).rlike(r"[^\x00-\x7F]")
-    names = (
-        df.where(odd).select(column).distinct().select(
-            F.col(column).alias("__raw"), folded(F.col(column)).alias("__folded")
-        )
-    )
-    return (
-        df.join(names, F.when(odd, F.col(column)) == F.col("__raw"), "left")
-        .withColumn(out, plain_name(F.coalesce("__folded", column)))
-        .drop("__raw", "__folded")
-    )
+    odd = F.coalesce(F.col(column).rlike(r"[^\x00-\x7F]"), F.lit(False))
+    plain = df.where(~odd).withColumn(out, plain_name(F.col(column)))
+    return plain.unionByName(df.where(odd).withColumn(out, plain_name(folded(F.col(column)))))
 
 
 def station_id(c: Column) -> Column:
