@@ -9,8 +9,8 @@ from collections.abc import Iterable, Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-#: Nodes and pre-tokens that one worker holds before it starts a new trie; results do not depend on it.
-MAX_NODES = 400_000
+#: Nodes that one worker holds before it starts a new trie, and terminals it remembers for each of them; results do not depend on either.
+MAX_NODES, TERMINALS = 400_000, 1.5
 
 RESULT = "n_words long, n_tokens long, log_prob double"
 
@@ -25,12 +25,13 @@ class TokenTrie:
     def __init__(self, log_p: dict[str, float], byte_log_p: float, max_nodes: int = MAX_NODES):
         self.log_p, self.byte_log_p, self.max_nodes = log_p, byte_log_p, max_nodes
         self.longest = max(map(len, log_p), default=1)
+        self.terminal: dict[str, tuple[int, float]] = {}
         self.clear()
 
     def clear(self) -> None:
+        """Starts a new trie; what terminals hold stays known."""
         self.children: list[dict[str, int]] = [{}]
         self.score, self.tokens = [0.0], [0]
-        self.terminal: dict[str, tuple[int, float]] = {}
 
     def insert(self, word: str) -> tuple[int, float]:
         """Token count and score of a pre-token, stored at its terminal node."""
@@ -67,9 +68,10 @@ class TokenTrie:
         for w in words:
             got = known.get(w)
             if got is None:
-                if len(self.score) + len(known) > self.max_nodes:
+                if len(self.score) > self.max_nodes:
                     self.clear()
-                    known = self.terminal
+                if len(known) > TERMINALS * self.max_nodes:
+                    known.clear()
                 got = self.insert(w)
             total += got[0]
             score += got[1]
