@@ -10,14 +10,19 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from .common import scratch, settle
 
 #: Bytes of the longest context.
 ORDER = 5
-#: Contexts of one length above two that hold more than 1 / CONTEXTS of all training bytes are kept: fewer than that many for each length.
-CONTEXTS = 1 << 19
+#: Contexts up to this length are read by every task of the model; their number is bounded by the alphabet. Longer ones are partitioned.
+SHORT = 2
+#: Distinct grams of a task of the model, about.
+GRAMS = 1 << 18
+#: Bytes of text that share a list of distinct grams.
+CHUNK = 16 << 20
 #: Words above a share of 1 / FREQUENT of all words are looked up in the task: fewer than FREQUENT.
 FREQUENT = 1 << 20
 #: Bytes that a task counts or scores at a time.
@@ -44,18 +49,20 @@ def gram_keys(texts: list[bytes], order: int = ORDER) -> tuple[np.ndarray, np.nd
     return keys[flat[order:] != BEFORE], np.array([len(t) + 1 for t in texts])
 
 
-def _blocks(batches: Iterable[pa.RecordBatch]) -> Iterator[tuple[list, list[bytes]]]:
-    """Rows of about BLOCK bytes: the ids and the texts with A-Z lower-cased."""
+def _blocks(batches: Iterable[pa.RecordBatch]) -> Iterator[tuple[int, list, list[bytes]]]:
+    """Rows of about BLOCK bytes and one chunk: the chunk, the ids and the texts with A-Z lower-cased."""
     for b in batches:
-        ids, texts, size = [], [], 0
-        for i, t in zip(b.column(0), b.column(1)):
+        ids, texts, size, at = [], [], 0, None
+        chunks = b.column(2).to_pylist() if b.num_columns > 2 else [0] * len(b)
+        for i, t, chunk in zip(b.column(0), b.column(1), chunks):
+            if ids and (size >= BLOCK or chunk != at):
+                yield at, ids, texts
+                ids, texts, size = [], [], 0
+            at = chunk
             ids.append(i.as_py()), texts.append((t.as_py() or b"").lower())
             size += len(texts[-1])
-            if size >= BLOCK:
-                yield ids, texts
-                ids, texts, size = [], [], 0
         if ids:
-            yield ids, texts
+            yield at, ids, texts
 
 
 def _narrow(docs: DataFrame) -> DataFrame:
@@ -74,7 +81,7 @@ def word_counts(docs: DataFrame, most: int = 400_000) -> DataFrame:
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = (Counter(), Counter())
-        for ids, texts in _blocks(batches):
+        for _, ids, texts in _blocks(batches):
             for i, t in zip(ids, texts):
                 words = [*t.split(), END_WORD]
                 counts[1].update(words)
@@ -97,47 +104,99 @@ def _merged(keys: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarra
     return k[first], np.add.reduceat(c, first) if len(k) else c
 
 
-def gram_counts(docs: DataFrame, order: int = ORDER, most: int = 1 << 21) -> DataFrame:
-    """key, c over the documents to learn from: how often each byte followed the ``order`` bytes before it."""
+def chunked(docs: DataFrame, size: int = CHUNK) -> DataFrame:
+    """doc_id, text, chunk: rows that a task reads one after the other share a chunk of about ``size`` bytes."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        chunk, filled = TaskContext.get().partitionId() << 32, 0
+        for b in batches:
+            own = []
+            for n in pc.fill_null(pc.binary_length(b.column(1)), 0).to_pylist():
+                if filled >= size:
+                    chunk, filled = chunk + 1, 0
+                own.append(chunk)
+                filled += n + 1
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(own, pa.int64())], names=["doc_id", "text", "chunk"])
 
-    def rows(k: np.ndarray, c: np.ndarray) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(k.view(np.int64)), pa.array(c, pa.int64())], names=["key", "c"])
+    return settle(_narrow(docs).mapInArrow(run, "doc_id long, text binary, chunk long"))
+
+
+def chunk_grams(texts: DataFrame, order: int = ORDER, most: int = 1 << 21) -> DataFrame:
+    """chunk, key, c for the distinct grams of each chunk: how often each byte followed the ``order`` bytes before it in documents to learn
+    from (zero for those that only others have). A chunk's gram may have several rows."""
+
+    def rows(chunk: int, k: np.ndarray, c: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(np.full(len(k), chunk, np.int64)), pa.array(k.view(np.int64)), pa.array(c, pa.int64())], names=["chunk", "key", "c"])
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys, counts = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
-        for ids, texts in _blocks(batches):
-            own = [t for i, t in zip(ids, texts) if learns(i)]
-            if own:
-                k, c = np.unique(gram_keys(own, order)[0], return_counts=True)
-                k, c = _merged([*keys, k], [*counts, c])
-                keys, counts = [k], [c]
-                if len(k) > most:
-                    yield rows(k, c)
-                    keys, counts = [k[:0]], [c[:0]]
-        yield rows(keys[0], counts[0])
-
-    return settle(_narrow(docs).mapInArrow(run, "key long, c long").groupBy("key").agg(F.sum("c").alias("c")))
-
-
-def write_trie(grams: DataFrame, folder: str, order: int = ORDER, contexts: int = CONTEXTS) -> None:
-    """Writes the trie's nodes below ``folder``: for each length of context the bytes that followed it, with counts.
-
-    The longest contexts count every occurrence; a shorter one counts a byte once for each longer context that it followed, as it is asked
-    only when those have failed. Contexts of more than two bytes are kept above a share of 1 / ``contexts`` of all bytes; what follows the
-    others is predicted from their suffixes."""
-    level, out, total = grams.select("key", "c", F.col("c").alias("n")), [], None
-    for length in range(order, -1, -1):
-        if length < order:
-            short = F.col("key").bitwiseAND(F.lit((1 << 8 * (length + 1)) - 1).cast("long")).alias("key")
-            level = settle(level.groupBy(short).agg(F.count(F.lit(1)).alias("c"), F.sum("n").alias("n")))
-        if total is None:
-            total = level.agg(F.sum("n")).first()[0] or 0
-        own = level.withColumn("context", F.shiftright("key", 8))
-        if length > 2:
-            kept = own.groupBy("context").agg(F.sum("n").alias("n")).where(F.col("n") * contexts > total).select("context")
-            own = own.join(kept, "context", "left_semi")
-        out.append(own.select(F.lit(length).alias("length"), "key", "c"))
-    functools.reduce(DataFrame.unionByName, out).write.parquet(folder)
+        at, k, c = 0, np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        for chunk, ids, own in _blocks(batches):
+            if len(k) and (chunk != at or len(k) > most):
+                yield rows(at, k, c)
+                k, c = k[:0], c[:0]
+            at, keys, counts = chunk, [k], [c]
+            for kind in (True, False):
+                some = [t for i, t in zip(ids, own) if learns(i) is kind]
+                if some:
+                    found, n = np.unique(gram_keys(some, order)[0], return_counts=True)
+                    keys.append(found), counts.append(n if kind else np.zeros(len(n), np.int64))
+            k, c = _merged(keys, counts)
+        yield rows(at, k, c)
+
+    return settle(texts.select("doc_id", "text", "chunk").mapInArrow(run, "chunk long, key long, c long"))
+
+
+def write_short(grams: DataFrame, folder: str, length: int) -> None:
+    """Writes what followed the contexts of ``length`` bytes and fewer, with counts, below ``folder``. A byte counts once for each longer context
+    that it followed, as a context is asked only when the longer ones have failed."""
+    low = lambda j: F.col("key").bitwiseAND(F.lit((1 << 8 * (j + 1)) - 1).cast("long")).alias("key")
+    level, out = grams.where("c > 0").select(low(length + 1)).distinct(), []
+    for j in range(length, -1, -1):
+        level = settle(level.groupBy(low(j)).agg(F.count(F.lit(1)).alias("c")))
+        out.append(level.select(F.lit(j).alias("length"), "key", "c"))
+    if out:
+        functools.reduce(DataFrame.unionByName, out).write.parquet(folder)
+
+
+def long_levels(keys: np.ndarray, seen: np.ndarray, order: int, shortest: int, least: float = 0.0) -> dict[int, tuple[np.ndarray, np.ndarray]]:
+    """What followed contexts of ``order`` down to ``shortest`` bytes, with counts, from distinct grams and their occurrences. The longest contexts count
+    every occurrence, shorter ones as in :func:`write_short`. Contexts with ``least`` occurrences or fewer are left out."""
+    out, counts = {}, seen
+    for j in range(order, shortest - 1, -1):
+        if j < order:
+            keys, place = np.unique(keys & np.uint64((1 << 8 * (j + 1)) - 1), return_inverse=True)
+            counts, seen = np.bincount(place, minlength=len(keys)), np.bincount(place, seen, len(keys))
+        _, place = np.unique(keys >> np.uint64(8), return_inverse=True)
+        kept = np.bincount(place, seen)[place] > least if len(keys) else np.zeros(0, bool)
+        out[j] = keys[kept], counts[kept]
+    return out
+
+
+def gram_scores(grams: DataFrame, folder: str, order: int = ORDER, contexts: int | None = None) -> DataFrame:
+    """key, log_p for each of the distinct ``grams`` (key, c; a written table).
+
+    Grams meet in tasks by the last bytes of their context, so that a task has all that is known of the longer contexts of its grams; the
+    number of tasks follows the number of grams. All contexts are used; with ``contexts``, those of more than ``SHORT`` bytes only above
+    a share of 1 / ``contexts`` of all training bytes."""
+    rows, total = grams.agg(F.count(F.lit(1)), F.sum("c")).first()
+    short, least = min(SHORT, order - 1), (total or 0) / contexts if contexts else 0.0
+    write_short(grams, folder, short)
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts = [(b.column(0).to_numpy().view(np.uint64), b.column(1).to_numpy()) for b in batches]
+        if parts:
+            keys, c = (np.concatenate(x) for x in zip(*parts))
+            at = np.argsort(keys)
+            keys, c = keys[at], c[at]
+            trie = Trie(load_short(folder, short) | long_levels(keys[c > 0], c[c > 0], order, short + 1, least), order)
+            for k in range(0, len(keys), 1 << 16):
+                own = keys[k : k + (1 << 16)]
+                yield pa.RecordBatch.from_arrays([pa.array(own.view(np.int64)), pa.array(trie.log_p(own))], names=["key", "log_p"])
+
+    suffix = F.shiftright("key", 8).bitwiseAND(F.lit((1 << 8 * (short + 1)) - 1).cast("long"))
+    return grams.select("key", "c").repartition(rows // GRAMS + 1, suffix).mapInArrow(run, "key long, log_p double")
 
 
 # --- the model in a task ------------------------------------------------------------------
@@ -213,9 +272,8 @@ class Trie:
 
     def score(self, texts: list[bytes]) -> np.ndarray:
         """log10 probability of each text and its end."""
-        keys, sizes = gram_keys(texts, self.order)
-        distinct, place = np.unique(keys, return_inverse=True)
-        return np.add.reduceat(self.log_p(distinct)[place], np.r_[0, np.cumsum(sizes)[:-1]])
+        grams = np.unique(gram_keys(texts, self.order)[0])
+        return score(texts, (grams, self.log_p(grams)), self.order)
 
 
 def _table(folder: str):
@@ -227,12 +285,31 @@ def _table(folder: str):
 
 
 @functools.lru_cache(1)
-def load_trie(folder: str, order: int) -> Trie:
-    t = _table(folder)
-    if not t.num_rows:
-        return Trie({}, order)
-    length, key, c = t["length"].to_numpy(), t["key"].to_numpy().view(np.uint64), t["c"].to_numpy()
-    return Trie({j: (key[length == j], c[length == j]) for j in range(order + 1)}, order)
+def load_short(folder: str, length: int) -> dict[int, tuple[np.ndarray, np.ndarray]]:
+    t = _table(folder) if length >= 0 else None
+    if not t:
+        return {}
+    n, key, c = t["length"].to_numpy(), t["key"].to_numpy().view(np.uint64), t["c"].to_numpy()
+    return {j: (key[n == j], c[n == j]) for j in range(length + 1)}
+
+
+@functools.lru_cache(1)
+def load_chunk(folder: str, chunk: int) -> tuple[np.ndarray, np.ndarray]:
+    """The sorted distinct grams of a chunk and their log10 probabilities."""
+    t = _table(f"{folder}/chunk={chunk}")
+    key, value = t["key"].to_numpy().view(np.uint64), t["log_p"].to_numpy()
+    at = np.argsort(key)
+    return key[at], value[at]
+
+
+def score(texts: list[bytes], known: tuple[np.ndarray, np.ndarray], order: int = ORDER) -> np.ndarray:
+    """log10 probability of each text and its end, from those of all grams of their chunk."""
+    keys, sizes = gram_keys(texts, order)
+    distinct, place = np.unique(keys, return_inverse=True)
+    at, hit = _find(known[0], distinct)
+    if not hit.all():
+        raise ValueError("a gram of a text is not among those of its chunk")
+    return np.add.reduceat(known[1][at][place], np.r_[0, np.cumsum(sizes)[:-1]])
 
 
 @functools.lru_cache(1)
@@ -241,28 +318,32 @@ def load_words(folder: str) -> tuple[dict[bytes, int], np.ndarray]:
     return {w: i for i, w in enumerate(t["word"].to_pylist())}, t["learned"].to_numpy()
 
 
-def scores(docs: DataFrame, order: int = ORDER, contexts: int = CONTEXTS, frequent: int = FREQUENT) -> DataFrame:
+def scores(docs: DataFrame, order: int = ORDER, contexts: int | None = None, frequent: int = FREQUENT, chunk: int = CHUNK) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score for each row.
 
-    Words and byte contexts are counted over all documents to learn from. A task scores its rows with the trie, whose size ``contexts``
-    bounds, and looks frequent words up; each text's rarer words are joined with their counts, and since none of those has more than 1 / ``frequent``
-    of all words, no key is hot.
+    Words and byte contexts are counted over all documents to learn from, and all contexts are used unless ``contexts`` bounds them. The distinct
+    grams of each ``chunk`` of texts are joined with their probabilities under the partitioned model and written for the chunk; a gram has
+    a few rows for each chunk, so no key is hot. A task scores its rows with their chunk's grams and looks frequent words up; each text's rarer words
+    are joined with their counts, and none of those has more than 1 / ``frequent`` of all words.
 
     Null and empty texts have the end alone; a null id counts as an empty text of its digits; repeated rows are each scored and each learned from;
     other columns are ignored; an empty table gives no rows, and without documents to learn from every byte is equally likely."""
     spark = docs.sparkSession
     words = word_counts(docs)
     n_train, n_all, distinct = (r or 0 for r in words.agg(F.sum("learned"), F.sum("c"), F.count_if(F.col("learned") > 0)).first())
-    word_folder, trie_folder = scratch(spark, "ppm-words"), scratch(spark, "ppm-trie")
+    word_folder, short_folder, gram_folder = (scratch(spark, f"ppm-{k}") for k in ("words", "short", "grams"))
     words.where(F.col("c") * frequent > n_all).select("word", "learned").write.parquet(word_folder)
-    write_trie(gram_counts(docs, order), trie_folder, order, contexts)
+    texts = chunked(docs, chunk)
+    lists = chunk_grams(texts, order)
+    model = gram_scores(settle(lists.groupBy("key").agg(F.sum("c").alias("c"))), short_folder, order, contexts)
+    named = lists.select("chunk", "key").join(model.hint("merge"), "key").repartition("chunk")
+    named.sortWithinPartitions("chunk").write.partitionBy("chunk").parquet(gram_folder)
     whole = math.log10(n_train + distinct + 1)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        trie = load_trie(trie_folder, order)
         number, learned = load_words(word_folder)
         gain, known = np.append(np.log10(learned + 1.0), 0.0), np.append(learned > 0, False)
-        for ids, texts in _blocks(batches):
+        for at, ids, texts in _blocks(batches):
             tokens, base, hits, rare = [], [], [], []
             for t in texts:
                 own = [*t.split(), END_WORD]
@@ -271,11 +352,11 @@ def scores(docs: DataFrame, order: int = ORDER, contexts: int = CONTEXTS, freque
                 rare.append([{"word": w, "n": n} for w, n in Counter(own[k] for k in np.flatnonzero(code < 0).tolist()).items()])
             yield pa.RecordBatch.from_arrays([
                 pa.array(ids, pa.int64()), pa.array([not learns(i) for i in ids]), pa.array(tokens, pa.int64()), pa.array(hits, pa.int64()), pa.array(base),
-                pa.array(rare, pa.list_(pa.struct([("word", pa.binary()), ("n", pa.int64())]))), pa.array(trie.score(texts)),
+                pa.array(rare, pa.list_(pa.struct([("word", pa.binary()), ("n", pa.int64())]))), pa.array(score(texts, load_chunk(gram_folder, at), order)),
             ], names=["doc_id", "held_out", "n_tokens", "hits", "gain", "rare", "score"])
 
     kind = "doc_id long, held_out boolean, n_tokens long, hits long, gain double, rare array<struct<word:binary,n:bigint>>, score double"
-    scored = settle(_narrow(docs).mapInArrow(run, kind).withColumn("tag", F.monotonically_increasing_id()))
+    scored = settle(texts.select("doc_id", "text", "chunk").mapInArrow(run, kind).withColumn("tag", F.monotonically_increasing_id()))
     rest = scored.select("tag", F.inline("rare")).join(words.where(F.col("c") * frequent <= n_all).select("word", "learned").hint("merge"), "word")
     more = rest.groupBy("tag").agg(F.sum(F.when(F.col("learned") > 0, F.col("n")).otherwise(0)).alias("more"), F.sum(F.col("n") * F.log10(F.col("learned") + 1.0)).alias("rise"))
     base = F.col("gain") + F.coalesce("rise", F.lit(0.0)) - F.col("n_tokens") * F.lit(whole)

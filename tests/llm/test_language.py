@@ -228,6 +228,18 @@ def test_scores_of_odd_rows(spark, odd, odd_rows, frequent):
     check_ppm(spark, short, [(r[0], r[1]) for r in odd_rows if len(r[1] or "") < 3000], frequent=frequent)
 
 
+def test_rare_contexts_of_a_large_corpus_are_used(spark):
+    rows = [(i, "lorem ipsum " * 5000) for i in range(14)] + [(i, f"word{i} qzxvkj") for i in range(14, 40)]
+    assert sum(len(t) for i, t in rows if ppm.learns(i)) > 1 << 19
+    check_ppm(spark, spark.createDataFrame(rows, "doc_id long, text string"), rows, order=5)
+
+
+@pytest.mark.parametrize("order", [1, 2, 4])
+def test_scores_of_many_chunks(spark, documents, order):
+    docs = documents.orderBy("doc_id").limit(60)
+    check_ppm(spark, docs.repartition(2), [(r["doc_id"], r["text"]) for r in docs.collect()], order=order, chunk=2000)
+
+
 def test_model_beats_the_base_on_held_out_texts():
     import pyarrow.parquet as pq
 
