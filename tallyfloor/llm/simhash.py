@@ -39,15 +39,16 @@ def fingerprint(text: bytes | None, width: int = 3) -> int:
 
 
 def fingerprints(docs: DataFrame, width: int = 3) -> DataFrame:
-    """doc_id, fp (the 64 bits as a long) for each row."""
+    """doc_id, tag, fp (the 64 bits as a long) for each row; ``tag`` is that of ``docs``, or one that tells rows apart once the result is written."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            fp = np.fromiter((fingerprint(t.as_py(), width) for t in b.column(1)), np.uint64, len(b))
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fp.view(np.int64))], names=["doc_id", "fp"])
+            fp = np.fromiter((fingerprint(t.as_py(), width) for t in b.column(2)), np.uint64, len(b))
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(fp.view(np.int64))], names=["doc_id", "tag", "fp"])
 
-    narrow = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
-    return narrow.mapInArrow(run, "doc_id long, fp long")
+    tag = F.col("tag") if "tag" in docs.columns else F.monotonically_increasing_id()
+    narrow = docs.select(F.col("doc_id").cast("long").alias("doc_id"), tag.cast("long").alias("tag"), F.col("text").cast("binary").alias("text"))
+    return narrow.mapInArrow(run, "doc_id long, tag long, fp long")
 
 
 # --- the plan -----------------------------------------------------------------------------
@@ -167,37 +168,37 @@ def links(distinct: DataFrame, distance: int = 2, bucket: int = BUCKET, probes:
     return found.unionByName(wide)
 
 
-def near_duplicates(docs: DataFrame, distance: int = 2, bucket: int = BUCKET) -> DataFrame:
-    """doc_id, fp, component_id for each row: the smallest doc_id that links of at most ``distance`` differing bits reach.
-
-    Copies share a fingerprint and are one node from the start. Null and blank texts have fingerprint zero, null ids
-    are never the smallest (a component of null ids only has a null id), repeated rows are each returned, and other columns
-    are ignored."""
+def _labelled(docs: DataFrame, distance: int, bucket: int) -> DataFrame:
+    """doc_id, tag, fp and ``low`` for each row of docs (doc_id, text and maybe tag): the least row of its component as (has no id, doc_id, tag)."""
     own = settle(fingerprints(docs))
-    nodes = settle(own.groupBy("fp").agg(F.min("doc_id").alias("low"), F.count(F.lit(1)).alias("n")))
+    nodes = settle(own.groupBy("fp").agg(F.min(F.struct(F.col("doc_id").isNull().alias("lacks"), "doc_id", "tag")).alias("low"), F.count(F.lit(1)).alias("n")))
     roots = connected(settle(links(nodes.select("fp"), distance, bucket)), "fp", "root")
     named = nodes.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     named = settle(named)
     lows = settle(named.where("root <> fp").groupBy("root").agg(F.min("low").alias("least"), F.count(F.lit(1)).alias("members")))
-    heads = named.where("root = fp").join(lows.select(F.col("root").alias("fp"), "least"), "fp", "left").select("fp", "n", F.least("low", "least").alias("component_id"))
+    heads = named.where("root = fp").join(lows.select(F.col("root").alias("fp"), "least"), "fp", "left").select("fp", "n", F.least("low", "least").alias("low"))
     heads = settle(heads)
-    tails = keyed_join(named.where("root <> fp").select("fp", "n", "root"), settle(heads.select(F.col("fp").alias("root"), "component_id").join(lows, "root")), "root", "members", named.count())
-    labels = settle(heads.unionByName(tails.select("fp", "n", "component_id")))
-    return keyed_join(own, labels, "fp", "n", own.count()).select("doc_id", "fp", "component_id")
+    tails = keyed_join(named.where("root <> fp").select("fp", "n", "root"), settle(heads.select(F.col("fp").alias("root"), "low").join(lows, "root")), "root", "members", named.count())
+    labels = settle(heads.unionByName(tails.select("fp", "n", "low")))
+    return keyed_join(own, labels, "fp", "n", own.count()).select("doc_id", "tag", "fp", "low")
+
+
+def near_duplicates(docs: DataFrame, distance: int = 2, bucket: int = BUCKET) -> DataFrame:
+    """doc_id, fp, component_id for each row: the smallest doc_id that links of at most ``distance`` differing bits reach.
+
+    Copies share a fingerprint and are one node from the start. Null and blank texts have fingerprint zero, null ids
+    are never the smallest (a component of null ids only has a null id), repeated rows are each returned, and other columns
+    are ignored."""
+    return _labelled(docs.select("doc_id", "text"), distance, bucket).select("doc_id", "fp", F.col("low.doc_id").alias("component_id"))
 
 
 def deduplicate(docs: DataFrame) -> DataFrame:
-    """``docs`` with one row of each component, that of the smallest doc_id. Of rows that share it, and of those without any id
-    in a component, one stays."""
-    found = settle(near_duplicates(docs))
-    gone = found.where(F.col("doc_id") != F.col("component_id")).select("doc_id")
-    kept = docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
-    stay = found.where(F.col("doc_id").eqNullSafe(F.col("component_id")))
-    if stay.groupBy("doc_id").count().where("count > 1").limit(1).count() or found.where("doc_id IS NULL").limit(1).count():
-        rest = [c for c in docs.columns if c != "doc_id"]
-        least = kept.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.min(F.struct(*rest)).alias("_row"))
-        kept = least.select(*[F.col("doc_id") if c == "doc_id" else F.col(f"_row.`{c}`").alias(c) for c in docs.columns])
-    return kept
+    """``docs`` with one row of each component: that of the smallest doc_id, and of rows that share it, or of those of a component without any
+    id, the first in the order of reading. Rows are told apart by a tag, so ids may be null or repeated."""
+    tagged = settle(docs.select(F.monotonically_increasing_id().alias("tag"), F.struct(*docs.columns).alias("row")))
+    found = _labelled(tagged.select("tag", "row.doc_id", "row.text"), 2, BUCKET)
+    gone = settle(found.where(F.col("tag") != F.col("low.tag")).select("tag"))  # its written size tells the planner how to join it
+    return tagged.join(gone, "tag", "left_anti").select("row.*")
 
 
 def query(spark, docs: DataFrame) -> DataFrame:

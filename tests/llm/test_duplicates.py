@@ -175,3 +175,20 @@ def test_chain_and_star(spark):
 
 def test_near_of_nothing(spark, nothing):
     assert simhash.query(spark, nothing).count() == 0 and simhash.deduplicate(nothing).count() == 0
+
+
+def test_near_kept_rows_are_one_for_each_component(spark, odd, odd_rows):
+    root = plain_components([(k, f) for k, f in enumerate(plain_fingerprint(r[1]) for r in odd_rows)])
+    best = {}
+    for i, f in ((r[0], plain_fingerprint(r[1])) for r in odd_rows):
+        best[root[f]] = min(best.get(root[f], (True, 0)), (i is None, i or 0))
+    kept = simhash.deduplicate(odd).collect()
+    assert collections.Counter(root[plain_fingerprint(r["text"])] for r in kept) == collections.Counter(best.keys())
+    assert all((r["doc_id"] is None, r["doc_id"] or 0) == best[root[plain_fingerprint(r["text"])]] for r in kept)
+
+
+def test_near_keeps_clean_rows_without_own_ids(spark):
+    texts = ["the quick brown fox jumps over it", "an entirely different line of words here", "numbers one two three four five six", "yet more text about other things"]
+    rows = [(None, texts[0]), (None, texts[1]), (7, texts[2]), (7, texts[3]), (None, texts[3])]
+    kept = simhash.deduplicate(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((r["doc_id"] or 0, r["text"]) for r in kept) == sorted([(0, texts[0]), (0, texts[1]), (7, texts[2]), (7, texts[3])])
