@@ -20,6 +20,8 @@ TRUSTED_DOCS, TRUSTED_WORDS = 4_000, 1_000_000
 SHARDS, KINDS = 8, ("a3", "g3", "a2", "g2", "a1")
 #: Quantile of trusted texts' log-perplexity in a language, and how many spreads (that quantile less the median) a text may lie above it.
 QUANTILE, SLACK = 0.99, 0.6
+#: Texts with the overall quantiles that temper the quantiles of a language with few held-out ones.
+PRIOR_TEXTS = 20
 #: Tokens at the median that temper the verdict on a short text.
 PRIOR_TOKENS = 20
 #: Bytes of text that a task scores at a time.
@@ -77,12 +79,19 @@ def _parts(counts: DataFrame, context: list[str]) -> tuple[DataFrame, list[float
 
 def train(docs: DataFrame, trusted: DataFrame, folder: str, max_words: int = TRUSTED_WORDS) -> "Model":
     """Counts three-word runs of the trusted documents, derives the lower orders' continuation counts, joins counts with the sums of
-    their contexts, and writes all tables in ``SHARDS`` parts sorted by key below ``folder``."""
+    their contexts, and writes all tables in ``SHARDS`` parts sorted by key below ``folder``. Documents are taken in the order of their hashes; one that
+    does not fit into what is left of ``max_words`` is passed over, and if none fits, that is an error."""
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(trusted), "doc_id")
     own = settle(own.select("doc_id", F.transform(words_of(F.col("text")), lambda w: F.xxhash64(w)).alias("w")))
-    upto = Window.orderBy(F.xxhash64("doc_id"), "doc_id").rowsBetween(Window.unboundedPreceding, 0)  # at most TRUSTED_DOCS rows
-    fit = own.select("doc_id", F.size("w").alias("n")).withColumn("_sum", F.sum("n").over(upto)).where(F.col("_sum") <= max_words).select("doc_id").distinct()
-    w = own.join(fit, "doc_id").select(F.concat(F.array(F.lit(START), F.lit(START)).cast("array<long>"), F.col("w"), F.array(F.lit(END)).cast("array<long>")).alias("w"))
+    sizes = own.groupBy("doc_id").agg(F.sum(F.size("w")).alias("n")).orderBy(F.xxhash64("doc_id"), "doc_id").collect()  # at most TRUSTED_DOCS rows
+    fit, words = [], 0
+    for r in sizes:
+        if words + r["n"] <= max_words:
+            fit.append((r["doc_id"],))
+            words += r["n"]
+    if sizes and not fit:
+        raise ValueError(f"no trusted document has {max_words} words or fewer, so the model would be fitted on nothing")
+    w = own.join(F.broadcast(own.sparkSession.createDataFrame(fit, "doc_id long")), "doc_id").select(F.concat(F.array(F.lit(START), F.lit(START)).cast("array<long>"), F.col("w"), F.array(F.lit(END)).cast("array<long>")).alias("w"))
     runs = w.select(F.inline(F.transform(F.sequence(F.lit(1), F.size("w") - 2), lambda i: F.struct(
         F.element_at("w", i).alias("x"), F.element_at("w", i + 1).alias("y"), F.element_at("w", i + 2).alias("z")))))
     three = settle(runs.groupBy("x", "y", "z").agg(F.count(F.lit(1)).alias("c")))
@@ -194,7 +203,8 @@ def _fit_fold():
 def thresholds(scored: DataFrame, labels: DataFrame, quantile: float = QUANTILE, slack: float = SLACK) -> tuple[DataFrame, tuple[float, float]]:
     """lang, middle, limit: the median log10 perplexity of a language's documents that are labelled good and in the half that the model has not seen, and their
     quantile plus ``slack`` times its distance from the median. All such documents count, in cells of 1 / GRID; the second value is the
-    same over all languages, for those without any."""
+    same over all languages, for those without any. A language's median and quantile are drawn to those over all by ``PRIOR_TEXTS`` texts, so
+    that a few texts do not set a threshold alone."""
     held_out = labels.where("quality = 1 AND coalesce(toxic, 0) = 0").where(~_fit_fold()).select(F.col("doc_id").cast("long").alias("doc_id")).distinct()
     cells = scored.join(held_out, "doc_id").groupBy("lang", F.floor(F.col("rate") * GRID).alias("cell")).agg(F.count(F.lit(1)).alias("n"))
     cells = settle(cells)  # a row for each language and cell
@@ -203,15 +213,15 @@ def thresholds(scored: DataFrame, labels: DataFrame, quantile: float = QUANTILE,
         w = Window.partitionBy(*keys, F.lit(0))
         tally = cells.groupBy(*keys, "cell").agg(F.sum("n").alias("n"))
         part = tally.withColumn("below", F.sum("n").over(w.orderBy("cell"))).withColumn("all", F.sum("n").over(w))
-        return part.where(F.col("below") >= share * F.col("all")).groupBy(*keys).agg(((F.min("cell") + 1) / GRID).alias("v"))
-
-    one = lambda keys: (at(0.5, keys).withColumnRenamed("v", "middle"), at(quantile, keys).withColumnRenamed("v", "top"))
-    mid, top = one(["lang"])
+        return part.where(F.col("below") >= share * F.col("all")).groupBy(*keys).agg(((F.min("cell") + 1) / GRID).alias("v"), F.first("all").alias("texts"))
+
+    m, u = ((t.first() or [0.0])[0] for t in (at(0.5, []), at(quantile, [])))
+    if m is None or not cells.limit(1).count():
+        m, u = 0.0, float("inf")
+    drawn = lambda over: (F.col("texts") * F.col("v") + PRIOR_TEXTS * F.lit(over)) / (F.col("texts") + PRIOR_TEXTS)
+    mid = at(0.5, ["lang"]).select("lang", drawn(m).alias("middle"))
+    top = at(quantile, ["lang"]).select("lang", drawn(u).alias("top"))
     both = mid.join(top, mid["lang"].eqNullSafe(top["lang"])).select(mid["lang"], "middle", (F.col("top") + slack * (F.col("top") - F.col("middle"))).alias("limit"))
-    every = [t.first() for t in one([])]
-    if every[0] is None or every[0][0] is None:
-        return both, (0.0, float("inf"))
-    m, u = every[0][0], every[1][0]
     return both, (m, u + slack * (u - m))
 
 

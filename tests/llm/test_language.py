@@ -143,6 +143,30 @@ def test_classifier_is_the_model(spark, tmp_path):
         assert got[len(train) + i] == pytest.approx(plain_kneser_ney(train, t), abs=1e-9)
 
 
+def test_a_long_trusted_text_is_passed_over(spark, tmp_path):
+    ids = [r["id"] for r in spark.range(6).orderBy(F.xxhash64("id")).collect()]
+    texts = ["word " * 60, "the cat sat on the mat", "the cat ate the rat", "a dog sat on the cat", "it is on the mat", "the cat sat"]
+    docs = spark.createDataFrame([(i, t, "en") for i, t in zip(ids, texts)], "doc_id long, text string, lang string")
+    trusted = docs.select("doc_id")
+    fitted = kneser_ney.train(docs, trusted, f"{tmp_path}/model", max_words=50)
+    got = {r["doc_id"]: r["log10_prob"] for r in kneser_ney.score(docs, fitted).collect()}
+    for i, t in zip(ids, texts):
+        assert got[i] == pytest.approx(plain_kneser_ney(texts[1:], t), abs=1e-9)
+    with pytest.raises(ValueError):
+        kneser_ney.train(docs, trusted.where(F.col("doc_id") == ids[0]), f"{tmp_path}/none", max_words=50)
+
+
+def test_one_held_out_text_does_not_set_a_threshold(spark):
+    ids = [r["doc_id"] for r in spark.range(600).withColumnRenamed("id", "doc_id").where(~kneser_ney._fit_fold()).collect()]
+    rows = [(i, "en", 3.0 + k / 1000) for k, i in enumerate(ids[1:])] + [(ids[0], "xx", 9.0)]
+    scored = spark.createDataFrame(rows, "doc_id long, lang string, rate double")
+    labels = spark.createDataFrame([(i, 1, 0) for i in ids], "doc_id long, quality int, toxic int")
+    by_lang, (middle, limit) = kneser_ney.thresholds(scored, labels)
+    limits = {r["lang"]: r["limit"] for r in by_lang.collect()}
+    assert limits["xx"] < limit + 0.6 and abs(limits["en"] - limit) < 0.05
+    assert kneser_ney.thresholds(scored, labels.limit(0))[1] == (0.0, float("inf"))
+
+
 def test_classifier_separates_held_out_labels(spark):
     sf = "/root/testdata/sf0.01"
     docs, labels = (spark.read.parquet(f"{sf}/{t}.parquet") for t in ("documents", "labels"))
