@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import byte_bpe, digest_index, interleave, kneser_ney, packing, ppm, quality_rules, simhash, spelling, token_files, token_trie
+from . import byte_bpe, digest_index, interleave, kneser_ney, lexical, packing, ppm, quality_rules, simhash, spelling, token_files, token_trie
 from .common import read, ship
 
 
@@ -30,6 +30,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_quality_classifier": _over(kneser_ney.query, "documents", "labels"),
     "op10_exact_dedup": _over(digest_index.query, "documents"),
     "op11_spelling": _over(spelling.query, "documents"),
+    "op12_lexical_search": _over(lexical.query, "documents", "benchmark"),
 }
 
-SQL: dict[str, str] = {"op10_exact_dedup": digest_index.SQL}
+SQL: dict[str, str] = {"op10_exact_dedup": digest_index.SQL, "op12_lexical_search": lexical.SQL}
