@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import byte_bpe, digest_index, interleave, kneser_ney, lexical, packing, ppm, quality_rules, simhash, spelling, token_files, token_trie
+from . import byte_bpe, digest_index, interleave, kneser_ney, lexical, packing, ppm, quality_rules, simhash, spelling, superminhash, token_files, token_trie
 from .common import read, ship
 
 
@@ -31,6 +31,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_exact_dedup": _over(digest_index.query, "documents"),
     "op11_spelling": _over(spelling.query, "documents"),
     "op12_lexical_search": _over(lexical.query, "documents", "benchmark"),
+    "op13_superminhash": _over(superminhash.query, "documents"),
 }
 
 SQL: dict[str, str] = {"op10_exact_dedup": digest_index.SQL, "op12_lexical_search": lexical.SQL}
