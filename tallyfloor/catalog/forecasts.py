@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import functions as F
 
 from tallyfloor.catalog.base import *  # noqa: F403
@@ -10,7 +12,7 @@ from tallyfloor.catalog.resampling import P_OR, orders_prepared
 from tallyfloor.functions import bounds
 from tallyfloor.functions.states import class_binary
 from tallyfloor.operators.settle import settle
-from tallyfloor.operators import forecast as fc, information as info, ordering, panel as pn, regression as rg, resample as rs, summaries as sm
+from tallyfloor.operators import boosting, forecast as fc, information as info, ordering, panel as pn, regression as rg, resample as rs, summaries as sm
 
 SM = 5.0
 
@@ -320,4 +322,68 @@ def _(spark, sf):
 
 @register("k04_boosted_poisson")
 def _(spark, sf):
-    return family(spark, sf, lambda c: fc.boost_poisson(c, FEATURES, 4, 0.3, 1.0)[1])
+    return family(spark, sf, lambda c: boosting.fit(c, FEATURES, [boosting.Setting(0.1, 31, 10.0)]).predict)
+
+
+# Candidate settings of the four families: fixed values.
+SMOOTHING = (0.0, 5.0, 20.0, 100.0)
+RIDGES = (0.0001, 0.001, 0.01, 0.1, 1.0)
+DISPERSIONS, NB_RIDGE = (0.1, 0.5, 1.0, 2.0), 1e-5
+TREES = (boosting.Setting(0.05, 15, 1.0), boosting.Setting(0.05, 31, 10.0), boosting.Setting(0.1, 15, 10.0), boosting.Setting(0.1, 31, 10.0))
+CANDIDATES = {
+    "state_mean": SMOOTHING, "poisson_glm": [fc.Ridge(a) for a in RIDGES],
+    "negative_binomial_glm": [fc.Ridge(NB_RIDGE, d) for d in DISPERSIONS], "boosted_poisson": TREES,
+}
+INFORMATION = {"baseline": ["unit", "dow", "zl"], "side_aware": FEATURES}
+
+
+def fit_families(df, features, candidates, rounds=250):
+    """Predictors of every candidate of every family, fitted to the same cells; log-linear models of both families in one grid."""
+    cell = settle(fc.cells(df, features, "y"))
+    states = [f for f in features if f != "unit"]
+    out = {name: [] for name in candidates}
+    out["state_mean"] = [lambda rows, k=k: fc.state_mean(cell, rows, "unit", states, k) for k in candidates["state_mean"]]
+    grid = [(name, c) for name in ("poisson_glm", "negative_binomial_glm") for c in candidates[name]]
+    for (name, _), model in zip(grid, fc.fit_log_linear_grid(cell, features, [c for _, c in grid], 1e-6)):
+        out[name].append(model.predict)
+    trees = boosting.fit(cell, features, candidates["boosted_poisson"], rounds)
+    out["boosted_poisson"] = [lambda rows, k=k: trees.predict(rows, setting=k) for k in range(len(candidates["boosted_poisson"]))]
+    return out
+
+
+def tuned_families(rows):
+    """Validation errors of all candidates with both information sets (train only)."""
+    train, valid, _, _ = rows
+    parts = [fc.tune(fit_families(train, f, CANDIDATES), valid, f, "y").withColumn("information_set", F.lit(name)) for name, f in INFORMATION.items()]
+    return settle(parts[0].unionByName(parts[1]))
+
+
+@register("k06_tune_families")
+def _(spark, sf):
+    return tuned_families(split_rows(spark, sf)).select("family", "information_set", "candidate", "n", "mse_integer", "mse_continuous", "mae_integer", "selected")
+
+
+@register("k07_family_contrasts")
+def _(spark, sf):
+    """Each family tuned on validation rows, fitted again with them and scored once on the test rows, with and without the side
+    state: the paired gain with its bootstrap interval, and q over the families."""
+    rows = split_rows(spark, sf)
+    _, _, test, pre = rows
+    chosen = {(r["family"], r["information_set"]): r["candidate"] for r in tuned_families(rows).where("selected").collect()}  # 4 families x 2 sets
+    fitted = {
+        name: fit_families(pre, f, {fam: [c[chosen[fam, name]]] for fam, c in CANDIDATES.items()}) for name, f in INFORMATION.items()
+    }
+    parts = []
+    for fam in CANDIDATES:
+        p = test
+        for name, tag in (("baseline", "0"), ("side_aware", "1")):
+            p = fc.score(fitted[name][fam][0](p).withColumnRenamed("prediction", f"p{tag}"), "y", f"p{tag}", tag)
+        parts.append(p.select(
+            F.lit(fam).alias("family"), "block", F.col("squared_error_integer0").alias("e0"), F.col("squared_error_integer1").alias("e1"),
+            (F.col("squared_error_integer0") - F.col("squared_error_integer1")).alias("d")))
+    losses = settle(reduce(lambda a, b: a.unionByName(b), parts))
+    point = losses.groupBy("family").agg(F.count("*").alias("n"), F.avg("e0").alias("mse_baseline"), F.avg("e1").alias("mse_side_aware"), F.avg("d").alias("d"))
+    reps = rs.bootstrap_losses(rs.loss_blocks(losses, {"d": "d"}, ["family"]), test_weights(spark), ["d"], ["family"], rows=80)
+    interval = ordering.bh_adjust(rs.normal_interval(point, reps, ["family"], "d"), "p_greater", "q")
+    return point.drop("d").join(interval, "family").select(
+        "family", "n", "mse_baseline", "mse_side_aware", "point", "se", "ci_low", "ci_high", "nonpositive_share", "p_greater", "q")

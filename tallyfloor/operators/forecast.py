@@ -6,7 +6,10 @@ combination with its row count ``cell_n`` and target total ``cell_sum``. The lik
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import math
+from collections.abc import Callable, Mapping, Sequence
+from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
@@ -69,7 +72,8 @@ def seasonal_lag(df: DataFrame, unit: Sequence[str], period: str, y: str, lag: i
     return df.withColumn(out, F.lag(y, lag).over(W.partitionBy(*unit).orderBy(period)).cast("double"))
 
 
-SMALL_LEVELS = 100_000  # levels of a feature whose coefficients may be broadcast
+SMALL_LEVELS = 100_000  # levels of a feature, times settings, whose coefficients may be broadcast
+CLIP = 20.0  # bound of the linear predictor of NB2 models
 
 
 class LogLinear:
@@ -93,98 +97,108 @@ class LogLinear:
         return done.drop("eta", *[f"b_{f}" for f in self.features])
 
 
+@dataclass(frozen=True)
+class Ridge:
+    """Setting of a log-linear model: the ridge, and the dispersion of NB2 (None: Poisson)."""
+
+    l2: float
+    dispersion: float | None = None
+
+
 def fit_log_linear(cell: DataFrame, features: Sequence[str], l2: float, dispersion: float | None = None, tolerance: float = 1e-8, most_sweeps: int = 500) -> LogLinear:
-    """Log-link count model on one-hot features with a ridge on everything but the intercept:
-    Poisson, or NB2 when a dispersion is given.
+    """One model of :func:`fit_log_linear_grid`."""
+    return fit_log_linear_grid(cell, features, [Ridge(l2, dispersion)], tolerance, most_sweeps)[0]
+
+
+def fit_log_linear_grid(cell: DataFrame, features: Sequence[str], settings: Sequence[Ridge], tolerance: float = 1e-8, most_sweeps: int = 500) -> list[LogLinear]:
+    """Log-link count models on one-hot features with a ridge on everything but the intercept, one for each setting, fitted side by side.
 
     The levels of one feature split the cells, so the scoring step of a whole feature is one
-    group-by over the cells, whatever the number of levels; no design matrix is built. Each new
-    table of coefficients is written, so the plan of a step never grows. Sweeps over the features go on until
-    no gradient of the mean loss exceeds ``tolerance``; a model that has not come so far after ``most_sweeps`` fails.
+    group-by over the cells, whatever the number of levels; no design matrix is built. The setting is a key of that group-by, so a
+    grid takes as many steps as its slowest model. Each new table of coefficients is written, so the plan of a step never grows. Sweeps over the features go on until
+    no gradient of the mean loss exceeds ``tolerance``; a model that has come so far drops out, one that has not after ``most_sweeps`` fails.
     """
-    import math
-
     cell = settle(cell)
-    r = None if dispersion is None else 1.0 / dispersion
     total = cell.agg(F.sum("cell_n").alias("cell_n"), F.sum("cell_sum").alias("cell_sum")).first()
     size = float(total["cell_n"])
-    tables = {f: settle(cell.select(f).distinct().withColumn(f"b_{f}", F.lit(0.0))) for f in features}
-    model = LogLinear(features, math.log(max(float(total["cell_sum"]) / size, 1e-6)), tables, {f: t.count() for f, t in tables.items()}, None if r is None else 20.0)
-
-    mu = F.exp("eta")
-    if r is None:
-        g, h = F.col("cell_sum") - F.col("cell_n") * mu, F.col("cell_n") * mu
-    else:
-        g, h = r * (F.col("cell_sum") - F.col("cell_n") * mu) / (r + mu), F.col("cell_n") * r * mu / (r + mu)
+    start = math.log(max(float(total["cell_sum"]) / size, 1e-6))
+    intercepts, active, done = [start] * len(settings), list(range(len(settings))), {}
+    every = F.explode(F.array(*[F.lit(k) for k in active])).alias("setting")
+    tables = {f: settle(cell.select(f).distinct().select(f, every, F.lit(0.0).alias(f"b_{f}"))) for f in features}
+    sizes = {f: t.count() for f, t in tables.items()}
+
+    def by_setting(values, kind: str = "double") -> Column:
+        """A value for each setting that is still active."""
+        held = F.create_map(*[v for k in active for v in (F.lit(k), F.lit(values(k)).cast(kind))])
+        return F.element_at(held, F.col("setting"))
+
+    n, s, mu = F.col("cell_n"), F.col("cell_sum"), F.exp("eta")
+    r, l2 = F.col("__r"), F.col("__l2")
+    g = F.when(r.isNull(), s - n * mu).otherwise(r * (s - n * mu) / (r + mu))
+    h = F.when(r.isNull(), n * mu).otherwise(n * r * mu / (r + mu))
     G, H = F.col("__g"), F.col("__h")
-    while True:
-        worst = 0.0
+    for sweep in range(1, most_sweeps + 1):
+        worst = dict.fromkeys(active, 0.0)
         for f in features:
             # One Newton step for the levels of f together with the intercept: the levels are
             # independent given the intercept's move, so it is eliminated by two sums over levels.
+            rows = cell.withColumn("setting", F.explode(F.array(*[F.lit(k) for k in active])))
+            for other in features:
+                t = tables[other]
+                rows = rows.join(F.broadcast(t) if sizes[other] <= SMALL_LEVELS else t, [other, "setting"])
+            eta = sum((F.col(f"b_{o}") for o in features), by_setting(lambda k: intercepts[k]))
+            clipped = F.when(r.isNull(), eta).otherwise(F.greatest(F.least(eta, F.lit(CLIP)), F.lit(-CLIP)))
+            rows = rows.withColumns({
+                "__l2": by_setting(lambda k: settings[k].l2),
+                "__r": by_setting(lambda k: None if settings[k].dispersion is None else 1.0 / settings[k].dispersion),
+            }).withColumn("eta", clipped)
             b = F.first(f"b_{f}")
-            level = settle(model.attach(cell).groupBy(f).agg(
-                b.alias("__b"), (F.sum(g) / size - l2 * b).alias("__g"), (F.sum(h) / size).alias("__h"), (F.sum(g) / size).alias("__raw")))
-            top, bottom, steep, tilt = level.agg(
-                F.sum(F.col("__raw")) - F.sum(H * G / (H + l2)), F.sum(H * l2 / (H + l2)), F.max(F.abs(G)), F.abs(F.sum("__raw"))).first()
-            worst = max(worst, steep, tilt)
-            move = max(-2.0, min(2.0, top / bottom))
-            step = (G - H * move) / (H + l2)
-            model.tables[f] = level.select(f, (F.col("__b") + F.greatest(F.least(step, F.lit(2.0)), F.lit(-2.0))).alias(f"b_{f}"))
-            model.intercept += move
-        model.sweeps += 1
-        if worst <= tolerance:
-            return model
-        if model.sweeps == most_sweeps:
-            raise RuntimeError(f"not converged after {most_sweeps} sweeps: the largest gradient is {worst}")
-
-
-def boost_poisson(cell: DataFrame, features: Sequence[str], rounds: int, learning_rate: float, l2: float, depth: int = 4,
-                  min_rows: float = 50.0, bins: int = 64):
-    """Additive trees for the Poisson likelihood: each round fits a tree to the residuals of the
-    cells, weighted by their rows, and moves every leaf by its Newton step.
-
-    A category enters as the training mean of its level, the order in which trees split
-    categories, so a feature may have any number of levels. Returns (cells, predictor).
-    """
-    from pyspark.ml.feature import VectorAssembler
-    from pyspark.ml.regression import DecisionTreeRegressor
-
-    total = cell.agg(F.sum("cell_n").alias("cell_n"), F.sum("cell_sum").alias("cell_sum")).first()
-    size, base = float(total["cell_n"]), float(total["cell_sum"]) / float(total["cell_n"])
-    codes = {f: settle(cell.groupBy(f).agg((F.sum("cell_sum") / F.sum("cell_n")).alias(f"__c_{f}"))) for f in features}
-    assembler = VectorAssembler(inputCols=[f"__c_{f}" for f in features], outputCol="__x")
-
-    def encode(frame: DataFrame) -> DataFrame:
-        for f, table in codes.items():
-            frame = frame.join(table, f, "left").fillna(base, [f"__c_{f}"])
-        return assembler.transform(frame)
-
-    import math
-
-    work = settle(encode(cell).withColumn("eta", F.lit(math.log(max(base, 1e-9)))))
-    trees = []
-    for _ in range(rounds):
-        mu = F.exp("eta")
-        fit = work.withColumn("__label", F.col("cell_sum") / F.col("cell_n") - mu).withColumn("__w", F.col("cell_n").cast("double"))
-        tree = DecisionTreeRegressor(
-            featuresCol="__x", labelCol="__label", weightCol="__w", leafCol="__leaf", predictionCol="__p", maxDepth=depth,
-            maxBins=bins, minWeightFractionPerNode=min(0.49, min_rows / size), seed=1,
-        ).fit(fit)
-        leaves = tree.transform(fit).drop("__p")
-        step = learning_rate * F.sum(F.col("cell_sum") - F.col("cell_n") * mu) / (F.sum(F.col("cell_n") * mu) + l2)
-        moves = settle(leaves.groupBy("__leaf").agg(step.alias("__step")))
-        work = settle(leaves.join(F.broadcast(moves), "__leaf").withColumn("eta", F.col("eta") + F.col("__step")).drop("__leaf", "__step", "__label", "__w"))
-        trees.append((tree, moves))  # at most 2**depth leaves
-
-    def predict(rows: DataFrame, out: str = "prediction") -> DataFrame:
-        frame = encode(rows).withColumn("__eta", F.lit(math.log(max(base, 1e-9))))
-        for tree, moves in trees:
-            frame = tree.transform(frame).drop("__p").join(F.broadcast(moves), "__leaf", "left")
-            frame = frame.withColumn("__eta", F.col("__eta") + F.coalesce("__step", F.lit(0.0))).drop("__leaf", "__step")
-        return frame.withColumn(out, F.exp("__eta")).drop("__eta", "__x", *[f"__c_{f}" for f in features])
-
-    return work.drop("__x", *[f"__c_{f}" for f in features]), predict
+            level = settle(rows.groupBy("setting", f).agg(
+                b.alias("__b"), F.first("__l2").alias("__l2"), (F.sum(g) / size - F.first("__l2") * b).alias("__g"),
+                (F.sum(h) / size).alias("__h"), (F.sum(g) / size).alias("__raw")))
+            sums = level.groupBy("setting").agg(
+                F.sum(F.col("__raw")) - F.sum(H * G / (H + l2)), F.sum(H * l2 / (H + l2)), F.max(F.abs(G)), F.abs(F.sum("__raw"))).collect()
+            moves = {}
+            for k, top, bottom, steep, tilt in sums:
+                worst[k] = max(worst[k], steep, tilt)
+                moves[k] = max(-2.0, min(2.0, top / bottom))
+                intercepts[k] += moves[k]
+            step = (G - H * by_setting(lambda k: moves[k])) / (H + l2)
+            tables[f] = level.select(f, "setting", (F.col("__b") + F.greatest(F.least(step, F.lit(2.0)), F.lit(-2.0))).alias(f"b_{f}"))
+        for k in [k for k in active if worst[k] <= tolerance]:
+            own = {f: tables[f].where(F.col("setting") == k).drop("setting") for f in features}
+            done[k] = LogLinear(features, intercepts[k], own, sizes, None if settings[k].dispersion is None else CLIP)
+            done[k].sweeps = sweep
+        active = [k for k in active if k not in done]
+        if not active:
+            return [done[k] for k in range(len(settings))]
+    raise RuntimeError(f"not converged after {most_sweeps} sweeps: the largest gradients are {worst}")
+
+
+# --- families side by side ----------------------------------------------------------------
+
+
+def tune(fitted: Mapping[str, Sequence[Callable[[DataFrame], DataFrame]]], validation: DataFrame, features: Sequence[str], y: str) -> DataFrame:
+    """Validation errors of every candidate of every family (K6): family, candidate, n, mse_integer, mse_continuous, mae_integer and whether it is the one to
+    take: least integer error, then least continuous error, then the earlier candidate.
+
+    ``fitted`` holds for each family the candidates' predictors, functions that add ``prediction`` to rows. Validation rows are
+    compressed to cells by target value first, so candidates multiply cells and not rows."""
+    v = settle(validation.groupBy(*features, y).agg(F.count("*").alias("m")))
+    m, parts = F.col("m"), []
+    for name, predictors in fitted.items():
+        for k, predict in enumerate(predictors):
+            p = score(predict(v), y, "prediction")
+            parts.append(p.agg(
+                F.lit(name).alias("family"), F.lit(k).alias("candidate"), F.sum(m).alias("n"),
+                (F.sum(m * F.col("squared_error_integer")) / F.sum(m)).alias("mse_integer"),
+                (F.sum(m * F.col("squared_error_continuous")) / F.sum(m)).alias("mse_continuous"),
+                (F.sum(m * F.col("absolute_error_integer")) / F.sum(m)).alias("mae_integer"),
+            ))
+    errors = settle(reduce(DataFrame.unionByName, parts))
+    order = F.struct(F.round("mse_integer", 12), F.round("mse_continuous", 12), "candidate")
+    best = errors.groupBy("family").agg(F.min_by("candidate", order).alias("__best"))
+    return errors.join(best, "family").withColumn("selected", F.col("candidate") == F.col("__best")).drop("__best")
 
 
 def rolling_state_mean(df: DataFrame, unit: str, states: Sequence[str], period: str, y: str, smoothing: float) -> DataFrame:

@@ -169,8 +169,9 @@ TIE = 1e-12  # replicate and observed values this close count as equal
 
 
 def null_summary(null: DataFrame, observed: DataFrame, keys: Sequence[str], metric: str = "cmi") -> DataFrame:
-    """Mean, spread and 95 % range of the null, distance of the observed value, plus-one p."""
+    """Mean, spread and 95 % range of the null, distance of the observed value, plus-one p. Replicates that are not finite don't count."""
     keys = list(keys)
+    null = null.where(F.abs(F.col(metric).cast("double")) < F.lit(float("inf")))
     obs = observed.select(*keys, F.col(metric).alias("observed"))
     if keys:
         j = null.join(obs, keys)

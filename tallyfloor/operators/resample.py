@@ -66,11 +66,15 @@ def bootstrap_losses(blocks: DataFrame, weights: DataFrame, columns: Sequence[st
     )
 
 
+def _finite(metric: str) -> Column:
+    return F.abs(F.col(metric).cast("double")) < F.lit(float("inf"))
+
+
 def normal_interval(point: DataFrame, reps: DataFrame, keys: Sequence[str], metric: str, level: float = 0.95,
                     low: float | None = None, high: float | None = None) -> DataFrame:
     """Point estimate with a normal interval centred on it, bias, percentiles and p-values. Replicates that are not finite
     don't count; with fewer than two that are, there is no standard error."""
-    reps = reps.where(F.abs(F.col(metric).cast("double")) < F.lit(float("inf")))
+    reps = reps.where(_finite(metric))
     zcrit, a = NormalDist().inv_cdf(0.5 + level / 2), 1 - level
     keys = list(keys)
     stats = [
@@ -104,9 +108,9 @@ def normal_interval(point: DataFrame, reps: DataFrame, keys: Sequence[str], metr
 
 
 def centred_percentile_interval(point: DataFrame, reps: DataFrame, keys: Sequence[str], metric: str, level: float = 0.95) -> DataFrame:
-    """Point plus the quantiles of (replicate - replicate mean)."""
+    """Point plus the quantiles of (replicate - replicate mean). Replicates that are not finite don't count."""
     a = 1 - level
-    s = reps.groupBy(*keys).agg(
+    s = reps.where(_finite(metric)).groupBy(*keys).agg(
         F.avg(metric).alias("m"),
         F.expr(f"percentile(`{metric}`, array({a / 2!r}D, {1 - a / 2!r}D))").alias("q"),
     )
@@ -117,11 +121,13 @@ def centred_percentile_interval(point: DataFrame, reps: DataFrame, keys: Sequenc
 
 
 def percentile_interval(reps: DataFrame, keys: Sequence[str], metrics: Sequence[str], level: float = 0.95) -> DataFrame:
+    """Quantiles of each metric over its finite replicates; ``replicates`` counts all rows."""
     a = 1 - level
     aggs = []
     for m in metrics:
         for tag, p in (("low", a / 2), ("median", 0.5), ("high", 1 - a / 2)):
-            aggs.append(F.expr(f"percentile(`{m}`, {p!r}D)").alias(f"{m}_{tag}"))
+            aggs.append(F.expr(f"percentile(`__f_{m}`, {p!r}D)").alias(f"{m}_{tag}"))
+    reps = reps.withColumns({f"__f_{m}": F.when(_finite(m), F.col(m)) for m in metrics})
     return reps.groupBy(*keys).agg(F.count("*").alias("replicates"), *aggs)
 
 
