@@ -204,12 +204,25 @@ def _both_sides(pairs: DataFrame, table: DataFrame, *columns: str) -> DataFrame:
     return pairs.join(side("a"), "a").join(side("b"), "b")
 
 
+def _labels(links: DataFrame) -> DataFrame:
+    """node, root for the nodes of ``links``: the smallest node within a few steps. Equal labels mean connected; connected nodes that are far
+    apart may have different ones, which costs comparisons and no result."""
+    both = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    low = settle(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.col("a")).alias("root")))
+    for _ in range(2):
+        onward = low.select(F.col("node").alias("root"), F.col("root").alias("next"))
+        low = low.join(onward, "root").select("node", F.col("next").alias("root"))
+        around = both.join(low.select(F.col("node").alias("b"), "root"), "b").groupBy(F.col("a").alias("node")).agg(F.min("root").alias("near"))
+        low = settle(low.join(around, "node").select("node", F.least("root", "near").alias("root")))
+    return low
+
+
 class _Graph:
-    """The links found so far and the components they form."""
+    """The links found so far."""
 
     def __init__(self, docs: DataFrame, nodes: DataFrame, width: int, least: int):
         self.docs, self.nodes, self.width, self.least = docs, nodes, width, least
-        self.links = self.roots = None
+        self.links = self.labels = None
 
     def near(self, pairs: DataFrame) -> DataFrame:
         """Those of ``pairs`` (a, b; a written table) whose full sets are near, written."""
@@ -223,14 +236,14 @@ class _Graph:
         best = settle(_best_of_each(pairs))
         new = self.near(best)
         both = new.unionByName(new.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        low = settle(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.col("node")).alias("low")))
+        low = settle(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.col("a")).alias("low")))
         side = lambda s: low.select(F.col("node").alias(s), F.col("low").alias(f"low_{s}"))
         rest = pairs.select("a", "b").join(best, ["a", "b"], "left_anti").join(side("a"), "a", "left").join(side("b"), "b", "left")
         rest = settle(rest.where(F.coalesce("low_a", "a") != F.coalesce("low_b", "b")).select("a", "b"))
         if rest.limit(1).count():
             new = new.unionByName(self.near(rest))
         self.links = new if self.links is None else self.links.unionByName(new)
-        self.roots = settle(connected(self.links, "node", "root"))
+        self.labels = _labels(self.links)
 
 
 def _best_of_each(pairs: DataFrame) -> DataFrame:
@@ -243,7 +256,7 @@ def _components(docs: DataFrame, nodes: DataFrame, width: int, least: int) -> Da
     """node, root for the nodes (distinct sets) that links join; None without any link.
 
     Nodes meet in the bands that their signatures share. Within a band a few members, the pivots, are compared with all others that are not
-    yet in their component, and leave the band: they are done with it. A band ends when all that are left in it are in one component; else the next round takes
+    yet known to be in their component, and leave the band: they are done with it. A band ends when all that are left in it are in one component; else the next round takes
     ``GROWTH`` times as many pivots. So every two members of a band are compared or known to be connected, while a crowd of copies of one text, which links to
     its first pivots, costs a number of pairs in proportion to its size. Of the pairs whose signatures agree, each node's best is verified first; pairs that become
     connected by that need no verification."""
@@ -253,13 +266,13 @@ def _components(docs: DataFrame, nodes: DataFrame, width: int, least: int) -> Da
     graph, most, tested = _Graph(docs, nodes, width, least), FIRST, None
     sizes = (F.col("n_a") * 100 >= F.col("n_b") * least) & (F.col("n_b") * 100 >= F.col("n_a") * least)
     while True:
-        named = members
-        if graph.roots is not None:
-            named = members.join(graph.roots, "node", "left")
-        named = settle(named.withColumn("root", F.coalesce("root", "node") if graph.roots is not None else F.col("node")))
+        if graph.labels is None:
+            named = members.withColumn("root", F.col("node"))
+        else:
+            named = settle(members.join(graph.labels, "node", "left").withColumn("root", F.coalesce("root", "node")))
         alive = settle(named.groupBy("band").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count(F.lit(1)).alias("left"), F.min("turn").alias("first")).where("low <> high"))
         if alive.limit(1).count() == 0:
-            return graph.roots
+            return None if graph.links is None else connected(graph.links, "node", "root")
         live = settle(named.join(alive.select("band", "left", "first"), "band"))
         # the first in turn, and each other one with a chance of most / left
         share = F.pmod(F.col("turn"), F.lit(1 << 40)).cast("double") * F.col("left") < float((most - 1) * (1 << 40))
@@ -267,13 +280,11 @@ def _components(docs: DataFrame, nodes: DataFrame, width: int, least: int) -> Da
         pivots = live.where(chosen).select("band", F.col("node").alias("p"), F.col("root").alias("p_root"))
         met = live.select("band", "node", "root").join(pivots, "band").where("root <> p_root")
         pairs = met.select(F.least("node", "p").alias("a"), F.greatest("node", "p").alias("b")).distinct()
-        if tested is not None:
-            pairs = pairs.join(tested, ["a", "b"], "left_anti")
-        pairs = settle(pairs)
-        agreeing = settle(_agreeing(_both_sides(pairs, nodes, "n", "sig").where(sizes)))
+        agreeing = _agreeing(_both_sides(pairs, nodes, "n", "sig").where(sizes))
+        agreeing = settle(agreeing if tested is None else agreeing.join(tested, ["a", "b"], "left_anti"))
         if agreeing.limit(1).count():
             graph.verify(agreeing)
-        tested = pairs if tested is None else tested.unionByName(pairs)
+            tested = agreeing.select("a", "b") if tested is None else tested.unionByName(agreeing.select("a", "b"))
         members = settle(live.where(~chosen).select("band", "node", "size", "turn"))
         most *= GROWTH
 
