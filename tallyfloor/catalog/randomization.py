@@ -74,7 +74,8 @@ _CNT = "SELECT rep, CAST(dow AS BIGINT) AS dow, CAST(zl AS BIGINT) AS zl, CAST(b
 for _i, (_name, _key) in enumerate([("temporal", "i01_temporal_blocks"), ("series", "i02_series_permutation"), ("circular", "i03_circular_shift"), ("matched", "i04_matched_blocks"), ("state", "i05_state_matched")]):
 
     def _q(spark, sf, d=_name):
-        return surrogate(prepared(spark, sf), d).groupBy("rep", *B, "b", "y").agg(F.count("*").alias("n"))
+        moved = surrogate(prepared(spark, sf), d)
+        return moved if d == "state" else moved.groupBy("rep", *B, "b", "y").agg(F.count("*").alias("n"))  # the last design counts itself
 
     register(_key, cte(*PREP, REP, DESIGNS[_name]) + _CNT)(_q)
 
@@ -286,12 +287,55 @@ def _(spark, sf):
     return sp.moran_local(c, sp.queen_edges(c, "cell", "x", "y"), "cell", "v", R, "moran").select("cell", "z", "lag", "local_i", "permutation_mean", "p", "cluster")
 
 
-@register("j04_moran_by_region")
-def _(spark, sf):
+METRICS = {"mean_quantity": "AVG(l_quantity)", "lines": "CAST(COUNT(*) AS DOUBLE)", "mean_discount": "AVG(l_discount)"}
+_J4 = f"""
+ce AS (SELECT n_regionkey AS region, p_size//5 AS x, s_nationkey AS y, CAST((p_size//5)*1000 + s_nationkey AS BIGINT) AS cell, {', '.join(f'{e} AS {m}' for m, e in METRICS.items())}
+  FROM lineitem JOIN part ON p_partkey=l_partkey JOIN supplier ON s_suppkey=l_suppkey JOIN nation ON n_nationkey=s_nationkey GROUP BY ALL),
+ed AS (SELECT a.cell, b.cell AS nb FROM ce a JOIN ce b ON a.region=b.region AND abs(a.x-b.x)<=1 AND abs(a.y-b.y)<=1 AND a.cell<>b.cell),
+cl AS ({' UNION ALL '.join(f"SELECT region, '{m}' AS metric, cell, {m} AS v FROM ce" for m in METRICS)}),
+zz AS (SELECT region, metric, cell, (v-AVG(v) OVER w)/STDDEV_POP(v) OVER w AS z FROM cl WINDOW w AS (PARTITION BY region, metric)),
+lz AS (SELECT z.region, z.metric, z.cell, ANY_VALUE(z.z) AS z, AVG(n.z) AS lag FROM zz z LEFT JOIN ed ON ed.cell=z.cell LEFT JOIN zz n ON n.cell=ed.nb AND n.metric=z.metric GROUP BY ALL),
+ur AS (SELECT region, metric, cell, ROW_NUMBER() OVER (PARTITION BY region, metric ORDER BY cell) AS k FROM zz),
+dr AS (SELECT rep, region, metric, cell AS donor, ROW_NUMBER() OVER (PARTITION BY rep, region, metric ORDER BY {sql_draw("'moran'", "rep", "cell")}, cell) AS k FROM zz, rp),
+pz AS (SELECT rep, ur.region, ur.metric, ur.cell, zz.z FROM dr JOIN ur USING (region, metric, k) JOIN zz ON zz.cell=dr.donor AND zz.metric=ur.metric),
+pl AS (SELECT p.rep, p.region, p.metric, p.cell, ANY_VALUE(p.z) AS z, AVG(n.z) AS lag FROM pz p LEFT JOIN ed ON ed.cell=p.cell LEFT JOIN pz n ON n.cell=ed.nb AND n.rep=p.rep AND n.metric=p.metric GROUP BY ALL)
+"""
+_MORAN = "COUNT(*)*1e0/COUNT(lag)*SUM(z*COALESCE(lag,0))/SUM(z*z)"
+_J4_GLOBAL = f"""
+ob AS (SELECT region, metric, {_MORAN} AS i, COUNT(*) AS n, COUNT(lag) AS s0 FROM lz GROUP BY ALL HAVING COUNT(lag) > 0),
+sm AS (SELECT rep, region, metric, {_MORAN} AS s FROM pl GROUP BY ALL HAVING COUNT(lag) > 0),
+pv AS (SELECT region, metric, MAX(i) AS i, MAX(n) AS n, MAX(s0) AS s0, AVG(s) AS pm, (1e0+COUNT(*) FILTER (WHERE abs(s+1e0/(n-1)) >= abs(i+1e0/(n-1))-1e-12))/(1+COUNT(*)) AS p FROM sm JOIN ob USING (region, metric) GROUP BY ALL)
+"""
+
+
+def region_metrics(spark, sf):
+    """Cells of each region with three metrics, one below the other, and the neighbours inside a region."""
     nation = read(spark, sf, "nation").select(F.col("n_nationkey").cast("long").alias("y"), F.col("n_regionkey").cast("long").alias("region"))
-    c = cells(spark, sf).join(nation, "y")
-    out = sp.moran_global(c, sp.queen_edges(c, "cell", "x", "y", ["region"]), "cell", "v", R, "moran", ["region"])
-    return ordering.bh_adjust(out, "p", "q")
+    li = read(spark, sf, "lineitem").select("l_partkey", "l_suppkey", "l_quantity", "l_discount")
+    p = read(spark, sf, "part").select("p_partkey", F.floor(F.col("p_size") / 5).alias("x"))
+    s = read(spark, sf, "supplier").select("s_suppkey", F.col("s_nationkey").cast("long").alias("y"))
+    j = li.join(p, F.col("l_partkey") == F.col("p_partkey")).join(s, F.col("l_suppkey") == F.col("s_suppkey")).join(nation, "y")
+    measured = settle(j.groupBy("region", "x", "y", (F.col("x") * 1000 + F.col("y")).alias("cell")).agg(
+        F.avg("l_quantity").alias("mean_quantity"), F.count("*").cast("double").alias("lines"), F.avg("l_discount").alias("mean_discount")))
+    long = measured.select("region", "cell", F.explode(F.array(*[F.struct(F.lit(m).alias("metric"), F.col(m).alias("v")) for m in METRICS])).alias("e")).select("region", "cell", "e.*")
+    edges = sp.queen_edges(measured, "cell", "x", "y", ["region"]).withColumn("metric", F.explode(F.array(*[F.lit(m) for m in METRICS])))
+    return long, edges
+
+
+@register("j04_moran_by_region", cte(REP, _J4, _J4_GLOBAL, f"pq AS ({_BH('pv', 'p', 'region, metric')})") + f"SELECT CAST(region AS BIGINT) AS region, metric, {r('i','moran_i')}, n AS units, s0 AS non_islands, {r('pm','permutation_mean')}, {r('p','p')}, {r('q','q')} FROM pq")
+def _(spark, sf):
+    long, edges = region_metrics(spark, sf)
+    out = sp.moran_global(long, edges, "cell", "v", R, "moran", ["region", "metric"])
+    return ordering.bh_adjust(out, "p", "q").select("region", "metric", "moran_i", "units", "non_islands", "permutation_mean", "p", "q")
+
+
+@register("j04_clusters_by_region", cte(REP, _J4, "mn AS (SELECT region, metric, cell, AVG(z*lag) AS m FROM pl GROUP BY ALL)",
+    "pv AS (SELECT pl.region, pl.metric, pl.cell, (1e0+COUNT(*) FILTER (WHERE abs(pl.z*pl.lag-m) >= abs(lz.z*lz.lag-m)-1e-12))/(1+COUNT(*)) AS p FROM pl JOIN mn USING (region, metric, cell) JOIN lz USING (region, metric, cell) GROUP BY ALL)")
+    + "SELECT CAST(region AS BIGINT) AS region, metric, CASE WHEN lag IS NULL THEN 'island' WHEN z>=0 AND lag>=0 THEN 'high_high' WHEN z<0 AND lag<0 THEN 'low_low' WHEN z>=0 THEN 'high_low' ELSE 'low_high' END AS cluster, COUNT(*) AS cells, COUNT(*) FILTER (WHERE lag IS NOT NULL AND p <= 0.2) AS marked FROM lz LEFT JOIN pv USING (region, metric, cell) GROUP BY ALL")
+def _(spark, sf):
+    long, edges = region_metrics(spark, sf)
+    out = sp.moran_local(long, edges, "cell", "v", R, "moran", ["region", "metric"])
+    return out.groupBy("region", "metric", "cluster").agg(F.count("*").alias("cells"), F.count_if(F.col("p") <= 0.2).alias("marked"))
 
 
 @register("d15_nested_hierarchy", cte(L_SQL, "pr AS (SELECT x//2 AS px, y//2 AS py FROM (SELECT DISTINCT x, y FROM cl WHERE v > 20) GROUP BY 1,2 HAVING COUNT(*)=4)") + "SELECT CAST(px AS BIGINT) AS parent_x, CAST(py AS BIGINT) AS parent_y, CAST(px*2+i//2 AS BIGINT) AS child_x, CAST(py*2+j//2 AS BIGINT) AS child_y, CAST(px*4+i AS BIGINT) AS x, CAST(py*4+j AS BIGINT) AS y FROM pr, range(4) a(i), range(4) b(j)")

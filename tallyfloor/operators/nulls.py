@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from tallyfloor.functions.draws import draw, draw_below
 from tallyfloor.operators import information as info, ordering
+from tallyfloor.operators.settle import settle
 
 
 def unit_series(df: DataFrame, unit: Sequence[str], order: str, base: Sequence[str], side: str, target: str,
@@ -59,26 +60,29 @@ def circular_shift(series: DataFrame, unit: str, reps: int, minimum: int, label:
     return _emit(f, lambda p: F.pmod(p + F.col("shift"), F.col("t")), keys, base)
 
 
-def unit_permutation(units: DataFrame, unit: str, reps: int, label: str, group: Sequence[str] = ()) -> DataFrame:
-    """(rep, unit, donor): units matched by two ranks, one fixed and one random per replicate.
+def unit_permutation(units: DataFrame, unit: str, reps: int, label: str, group: Sequence[str] = (), carry: Sequence[str] = ()) -> DataFrame:
+    """(rep, unit, donor): units matched by two ranks, one fixed and one random per replicate; ``carry`` are columns of the donor that come along.
     Ranks are taken over ranges of values, so no task sees all units."""
     group = list(group)
-    base = units.select(*group, unit).distinct()
-    to = ordering.cumulative_counts(base, unit, group).select(*group, F.col(unit), F.col("n_below").alias("__r"))
+    base = units.select(*group, unit, *carry).distinct()
+    to = ordering.cumulative_counts(base.select(*group, unit), unit, group).select(*group, F.col(unit), F.col("n_below").alias("__r"))
     f = base.withColumn("rep", F.explode(F.sequence(F.lit(1), F.lit(reps))))
     f = f.withColumn("__d", draw(label, F.col("rep"), F.col(unit)))
     donors = ordering.row_ranks(f, "__d", unit, "__rank", ["rep", *group]).select(
-        "rep", *group, F.col(unit).alias("donor"), (F.col("__rank") - 1).alias("__r")
+        "rep", *group, F.col(unit).alias("donor"), *carry, (F.col("__rank") - 1).alias("__r")
     )
-    return donors.join(to, [*group, "__r"]).select(*group, "rep", unit, "donor")
+    return donors.join(to, [*group, "__r"]).select(*group, "rep", unit, "donor", *carry)
 
 
 def series_permutation(series: DataFrame, unit: str, reps: int, label: str, keys: Sequence[str], base: Sequence[str], group: Sequence[str] = ()) -> DataFrame:
-    """Units of a group exchange whole side series."""
+    """Units of a group exchange whole side series. What travels with a replicate is the donor's series, packed as one array of
+    single bytes (a code below 128 for each period); the receiver's own series joins last and once."""
     pairs = unit_permutation(series, unit, reps, label, group)
-    b = series.select(F.col(unit).alias("donor"), *group, F.transform("s", lambda e: e["b"]).alias("bs"))
-    j = pairs.join(series.select(*{unit, *keys, *group}, "s"), [unit, *group]).join(b, ["donor", *group])
-    rebuilt = F.transform("s", lambda e, i: F.struct(*[e[c].alias(c) for c in base], F.col("bs")[i].alias("b"), e["y"].alias("y")))
+    packed = F.transform("s", lambda e: F.when(e["b"].between(-128, 127), e["b"].cast("byte")).otherwise(F.raise_error(F.lit("side states must fit a byte")).cast("byte")))
+    b = series.select(F.col(unit).alias("donor"), *group, packed.alias("bs"))
+    j = pairs.join(b, ["donor", *group]).drop("donor").join(series.select(*{unit, *keys, *group}, "s"), [unit, *group])
+    kind = next(f.dataType for f in series.schema["s"].dataType.elementType if f.name == "b")
+    rebuilt = F.transform("s", lambda e, i: F.struct(*[e[c].alias(c) for c in base], F.col("bs")[i].cast(kind).alias("b"), e["y"].alias("y")))
     return j.select(*keys, "rep", F.explode(rebuilt).alias("e")).select(*keys, "rep", "e.*")
 
 
@@ -123,12 +127,17 @@ def matched_blocks(series: DataFrame, strata: DataFrame, unit: str, reps: int, l
     ).otherwise(p), keys, base)
 
 
-def state_matched(rows: DataFrame, row_key: Sequence[str], reps: int, label: str, keys: Sequence[str], base: Sequence[str], side: str, target: str) -> DataFrame:
-    """Side states change places inside each base state.
+BUCKET_BITS = 8  # leading bits of a draw that radix counts keep apart
 
-    Only who meets which target matters. Targets of a state are laid out in order, so the
-    random rank of a donor says which target it meets: ranks come from ranges of draws and the
-    layout is a few numbers per state. A state with a third of all rows is split like any other.
+
+def state_matched(rows: DataFrame, row_key: Sequence[str], reps: int, label: str, keys: Sequence[str], base: Sequence[str], side: str, target: str,
+                  bits: int = BUCKET_BITS) -> DataFrame:
+    """Side states change places inside each base state: counts (keys, rep, base.., b, y, n) of each replicate.
+
+    Targets of a state are laid out in order, so the random rank of a donor says which target it meets, and only the ranks at which
+    the target changes matter. Draws are counted by their leading bits first (partial sums; what moves is replicates x states x buckets).
+    A bucket whose ranks all meet one target is done with its count. The few in which the target changes, one for each change at most, are
+    looked at again: their rows, a 2**bits-th part for each change, are ranked inside the bucket. A state with a third of all rows is split like any other.
     """
     cell = [*keys, *base]
     layout = rows.groupBy(*cell, target).agg(F.count("*").alias("__n")).groupBy(*cell).agg(
@@ -137,12 +146,22 @@ def state_matched(rows: DataFrame, row_key: Sequence[str], reps: int, label: str
     tops = F.transform("__l", lambda e, i: F.struct(
         e["y"].alias("y"), F.aggregate(F.slice("__l", 1, i + 1), F.lit(0).cast("long"), lambda acc, o: acc + o["n"]).alias("top")))
     layout = layout.select(*cell, tops.alias("__tops"))
-    f = rows.select(*cell, side, *row_key, F.explode(F.sequence(F.lit(1), F.lit(reps))).alias("rep"))
+    meets = lambda rank: F.element_at(F.filter("__tops", lambda e: e["top"] >= rank), 1)["y"]
+    f = rows.select(*cell, F.col(side).alias("b"), *row_key, F.explode(F.sequence(F.lit(1), F.lit(reps))).alias("rep"))
     f = f.withColumn("__d", draw(label, F.col("rep"), *[F.col(k) for k in row_key]))
-    f = f.withColumn("__k", F.struct(*row_key))
-    ranked = ordering.row_ranks(f.select(*cell, side, "rep", "__d", "__k"), "__d", "__k", "__rank", ["rep", *cell])
-    met = F.element_at(F.filter("__tops", lambda e: e["top"] >= F.col("__rank")), 1)["y"]
-    return ranked.join(layout, cell).select(*keys, "rep", *base, F.col(side).alias("b"), met.alias("y"))
+    f = f.withColumn("__bucket", F.shiftright("__d", 32 - bits).cast("int"))
+    place = [*cell, "rep", "__bucket"]
+    counted = settle(f.groupBy(*place, "b").agg(F.count("*").alias("n")))
+    sums = counted.groupBy(*place).agg(F.sum("n").alias("__k"))
+    below = F.sum("__k").over(W.partitionBy(*cell, "rep").orderBy("__bucket").rowsBetween(W.unboundedPreceding, -1))
+    ranked = sums.withColumn("__below", F.coalesce(below, F.lit(0))).join(layout, cell)
+    ranked = settle(ranked.select(*place, "__below", meets(F.col("__below") + 1).alias("__low"), meets(F.col("__below") + F.col("__k")).alias("__high")))
+    even = counted.join(ranked.where("__low = __high"), place).select(*keys, "rep", *base, "b", F.col("__low").alias("y"), "n")
+    mixed = settle(ranked.where("__low <> __high").select(*place, "__below"))  # its written size tells the planner whether to broadcast it
+    inside = F.row_number().over(W.partitionBy(*place).orderBy("__d", *row_key))
+    looked = f.join(mixed, place).withColumn("__rank", F.col("__below") + inside).join(layout, cell)
+    split = looked.groupBy(*keys, "rep", *base, "b", meets(F.col("__rank")).alias("y")).agg(F.count("*").alias("n"))
+    return even.unionByName(split).groupBy(*keys, "rep", *base, "b", "y").agg(F.sum("n").alias("n"))
 
 
 def null_information(surrogate: DataFrame, base: Sequence[str], keys: Sequence[str] = (), with_base: bool = False, counted: bool = False) -> DataFrame:

@@ -43,28 +43,38 @@ def _moran(lagged: DataFrame, keys: Sequence[str]) -> DataFrame:
 
 
 def permuted(z: DataFrame, unit: str, reps: int, label: str, keys: Sequence[str] = ()) -> DataFrame:
-    """z values dealt out anew per replicate."""
-    pairs = nulls.unit_permutation(z, unit, reps, label, keys)
-    return pairs.join(z.select(*keys, F.col(unit).alias("donor"), "z"), [*keys, "donor"]).select(*keys, "rep", unit, "z")
+    """One row for each unit with ``zs``, the values dealt to it in all replicates, in their order."""
+    pairs = nulls.unit_permutation(z.select(*keys, unit, "z"), unit, reps, label, keys, ["z"])
+    own = F.transform(F.array_sort(F.collect_list(F.struct("rep", "z"))), lambda e: e["z"])
+    return pairs.groupBy(*keys, unit).agg(own.alias("zs"))
 
 
-def _rep_lags(z: DataFrame, edges: DataFrame, unit: str, reps: int, label: str, keys: Sequence[str]) -> DataFrame:
+def _products(z: DataFrame, edges: DataFrame, unit: str, reps: int, label: str, keys: Sequence[str]) -> DataFrame:
+    """For each unit with neighbours ``products``: its dealt value times the mean of its neighbours' dealt values, in every replicate. Neighbours' arrays are
+    averaged position by position, so an edge moves one row however many replicates there are."""
     p = settle(permuted(z, unit, reps, label, keys))
-    nb = edges.join(p.select(*keys, "rep", F.col(unit).alias("neighbour"), F.col("z").alias("__v")), [*keys, "neighbour"])
-    lag = nb.groupBy(*keys, "rep", unit).agg(F.avg("__v").alias("lag"))
-    return p.join(lag, [*keys, "rep", unit], "left").withColumn("island", F.col("lag").isNull())
+    near = edges.join(p.select(*keys, F.col(unit).alias("neighbour"), F.col("zs").alias("__v")), [*keys, "neighbour"])
+    around = near.groupBy(*keys, unit).agg(F.collect_list("__v").alias("__a"))  # eight arrays at most on a grid
+    total = F.aggregate("__a", F.array_repeat(F.lit(0.0), reps), lambda acc, v: F.zip_with(acc, v, lambda x, y: x + y))
+    lag = around.select(*keys, unit, total.alias("__t"), F.size("__a").alias("__n"))
+    both = p.join(lag, [*keys, unit])
+    return both.select(*keys, unit, F.zip_with("zs", "__t", lambda v, t: v * t / F.col("__n")).alias("products"))
 
 
 def moran_global(cells: DataFrame, edges: DataFrame, unit: str, value: str, reps: int, label: str, keys: Sequence[str] = ()) -> DataFrame:
-    """Row-standardised statistic and its two-sided permutation p about -1/(n-1)."""
+    """Row-standardised statistic and its two-sided permutation p about -1/(n-1). Without any neighbours in a group there is no statistic.
+
+    Dealing values out anew changes neither their sum of squares nor who is an island, so only the sum of products is taken for each replicate."""
     keys = list(keys)
     z = settle(standardise(cells, value, keys).select(*keys, unit, "z"))
     obs = _moran(spatial_lag(z, edges, unit, "z", keys), keys)
-    sim = _moran(_rep_lags(z, edges, unit, reps, label, keys), [*keys, "rep"]).select(*keys, "rep", F.col("moran_i").alias("__sim"))
+    squares = z.groupBy(*keys).agg(F.sum(F.col("z") * F.col("z")).alias("__ss"))
+    sums = _products(z, edges, unit, reps, label, keys).select(*keys, F.posexplode("products").alias("rep", "__p")).groupBy(*keys, "rep").agg(F.sum("__p").alias("__sum"))
     if keys:
-        j = sim.join(obs, keys)
+        j = sums.join(obs, keys).join(squares, keys)
     else:
-        j = sim.withColumns({c: obs.select(c).scalar() for c in ("moran_i", "units", "non_islands")})
+        j = sums.withColumns({**{c: obs.select(c).scalar() for c in ("moran_i", "units", "non_islands")}, "__ss": squares.scalar()})
+    j = j.withColumn("__sim", F.col("units") / F.col("non_islands") * F.col("__sum") / F.col("__ss"))
     e = -1.0 / (F.col("units") - 1)
     hit = F.abs(F.col("__sim") - e) >= F.abs(F.col("moran_i") - e) - nulls.TIE
     out = j.groupBy(*keys).agg(
@@ -78,24 +88,22 @@ def moran_global(cells: DataFrame, edges: DataFrame, unit: str, value: str, reps
 
 
 def moran_local(cells: DataFrame, edges: DataFrame, unit: str, value: str, reps: int, label: str, keys: Sequence[str] = ()) -> DataFrame:
-    """Local statistic, p about the unit's own permutation mean, and cluster label."""
+    """Local statistic, p about the unit's own permutation mean, and cluster label. All replicates of a unit are in its row."""
     keys = list(keys)
     z = settle(standardise(cells, value, keys).select(*keys, unit, "z"))
     obs = spatial_lag(z, edges, unit, "z", keys).withColumn("local_i", F.col("z") * F.col("lag"))
-    sim = settle(_rep_lags(z, edges, unit, reps, label, keys).select(*keys, "rep", unit, (F.col("z") * F.col("lag")).alias("s")))
-    mean = sim.groupBy(*keys, unit).agg(F.avg("s").alias("permutation_mean"))
-    j = sim.join(mean, [*keys, unit]).join(obs.select(*keys, unit, "local_i"), [*keys, unit])
-    hit = F.abs(F.col("s") - F.col("permutation_mean")) >= F.abs(F.col("local_i") - F.col("permutation_mean")) - nulls.TIE
-    p = j.groupBy(*keys, unit).agg(
-        F.max("permutation_mean").alias("permutation_mean"), ((1 + F.count_if(hit)) / (1 + F.count("*"))).alias("__p"))
+    sim = _products(z, edges, unit, reps, label, keys)
+    sim = sim.withColumn("permutation_mean", F.aggregate("products", F.lit(0.0), lambda a, v: a + v) / reps)
+    m = F.col("permutation_mean")
+    hits = F.size(F.filter("products", lambda v: F.abs(v - m) >= F.abs(F.col("local_i") - m) - nulls.TIE))
     hi_z, hi_l = F.col("z") >= 0, F.col("lag") >= 0
     cluster = (
         F.when(F.col("island"), "island").when(hi_z & hi_l, "high_high").when(~hi_z & ~hi_l, "low_low")
         .when(hi_z & ~hi_l, "high_low").otherwise("low_high")
     )
-    return obs.join(p, [*keys, unit], "left").withColumns(
-        {"p": F.when(~F.col("island"), F.col("__p")), "cluster": cluster}
-    ).drop("__p")
+    return obs.join(sim, [*keys, unit], "left").withColumns(
+        {"p": F.when(~F.col("island"), (1 + hits) / (1 + F.lit(reps))), "cluster": cluster}
+    ).drop("products")
 
 
 def nested_hierarchy(cells: DataFrame, x: str, y: str, children: int = 2, grandchildren: int = 4) -> DataFrame:
