@@ -23,13 +23,13 @@ def _(spark, sf):
 
 
 _DICT_SQL = """
-ob AS (SELECT l_returnflag AS city, strftime(l_shipdate,'%Y-%m') AS month, 'I:' || l_suppkey AS station_key, 38.8e0 + (l_suppkey%89)*0.003e0 + (l_partkey%5)*0.0005e0 AS latitude, -77.2e0 + (l_suppkey%97)*0.004e0 AS longitude FROM lineitem WHERE l_suppkey%3>0),
+ob AS (SELECT l_returnflag AS city, strftime(l_shipdate,'%Y-%m') AS month, 'I:' || l_suppkey AS station_key, 38.8e0 + (l_suppkey%89)*0.003e0 + (l_partkey%5)*0.0005e0 AS latitude, -77.2e0 + (l_suppkey%97)*0.004e0 AS longitude FROM lineitem),
 dc AS (SELECT city, month, station_key, COUNT(*) AS observations, median(latitude) AS latitude, median(longitude) AS longitude FROM ob GROUP BY ALL)
 """
 
 
 def station_obs(spark, sf):
-    li = read(spark, sf, "lineitem").where("l_suppkey % 3 > 0")
+    li = read(spark, sf, "lineitem")
     return li.select(
         F.col("l_returnflag").alias("city"), F.date_format("l_shipdate", "yyyy-MM").alias("month"),
         F.concat(F.lit("I:"), F.col("l_suppkey").cast("string")).alias("station_key"),
@@ -68,12 +68,12 @@ def _(spark, sf):
 
 
 @register("d04_resolve_by_month", cte(_DICT_SQL, """
-wn AS (SELECT DISTINCT l_returnflag AS city, strftime(l_shipdate,'%Y-%m') AS month, 'I:' || ((l_suppkey*7)%120) AS station_key FROM lineitem WHERE l_linenumber=1),
+wn AS (SELECT DISTINCT l_returnflag AS city, strftime(l_shipdate,'%Y-%m') AS month, 'I:' || ((l_suppkey*7)%120) AS station_key FROM lineitem),
 mt AS (SELECT wn.*, dc.latitude, abs((CAST(substr(dc.month,1,4) AS INT)*12+CAST(substr(dc.month,6,2) AS INT))-(CAST(substr(wn.month,1,4) AS INT)*12+CAST(substr(wn.month,6,2) AS INT))) AS gap, dc.month AS dm FROM wn JOIN dc ON dc.city=wn.city AND dc.station_key=wn.station_key),
 bs AS (SELECT *, ROW_NUMBER() OVER (PARTITION BY city, month, station_key ORDER BY gap, dm) AS k FROM mt)
 """) + f"SELECT city, month, station_key, {r('latitude','latitude')}, CASE WHEN gap=0 THEN 'historical_same_month' ELSE 'historical_nearest_month' END AS tier FROM bs WHERE k=1")
 def _(spark, sf):
-    li = read(spark, sf, "lineitem").where("l_linenumber = 1").select(
+    li = read(spark, sf, "lineitem").select(
         F.col("l_returnflag").alias("city"), F.date_format("l_shipdate", "yyyy-MM").alias("month"),
         F.concat(F.lit("I:"), ((F.col("l_suppkey") * 7) % 120).cast("string")).alias("station_key")).distinct()
     return st.resolve_by_month(li, dictionary(spark, sf), "city", "month", "station_key").select("city", "month", "station_key", "latitude", "tier")

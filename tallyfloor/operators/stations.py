@@ -116,14 +116,14 @@ def resolve_stations(rows: DataFrame, dictionary: DataFrame, city: str = "city",
 
 def resolve_snapshots(rows: DataFrame, current: DataFrame, archived: DataFrame) -> DataFrame:
     """For a city known by snapshots: current id, current name, archived id, archived name.
-    A name counts only if it belongs to one station."""
+    An id that a snapshot repeats takes its least place; a name counts only if it belongs to one station."""
     out = rows
     picks = []
     for label, table in (("current", current), ("archived", archived)):
         tier = f"{label}_snapshot"
-        by_id = table.select(F.col("station_id"), F.struct("latitude", "longitude", F.lit(tier).alias("tier")).alias(f"__{label}_id"))
+        by_id = table.groupBy("station_id").agg(F.min(F.struct("latitude", "longitude", F.lit(tier).alias("tier"))).alias(f"__{label}_id"))
         names = table.where(F.col("name").isNotNull()).groupBy("name").agg(
-            F.count("*").alias("__c"), F.first(F.struct("latitude", "longitude", F.lit(tier).alias("tier"))).alias(f"__{label}_name")
+            F.count_distinct("station_id").alias("__c"), F.min(F.struct("latitude", "longitude", F.lit(tier).alias("tier"))).alias(f"__{label}_name")
         ).where("__c = 1").drop("__c")
         out = out.join(by_id, "station_id", "left").join(names, "name", "left")
         picks += [f"__{label}_id", f"__{label}_name"]
