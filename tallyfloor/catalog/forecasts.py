@@ -12,7 +12,7 @@ from tallyfloor.catalog.resampling import P_OR, orders_prepared
 from tallyfloor.functions import bounds
 from tallyfloor.functions.states import class_binary
 from tallyfloor.operators.settle import settle
-from tallyfloor.operators import boosting, forecast as fc, information as info, ordering, panel as pn, regression as rg, resample as rs, summaries as sm
+from tallyfloor.operators import boosting, classification as cl, forecast as fc, information as info, ordering, panel as pn, regression as rg, resample as rs, summaries as sm
 
 SM = 5.0
 
@@ -296,7 +296,71 @@ def _(spark, sf):
     moved = pre.where("block < 3").join(F.broadcast(w), "block").select("rep", "zl", "b", "c", (F.col("m") * F.col("w")).alias("w"))  # 20 x 3 rows
     fixed = pre.where("block = 3").select(reps.alias("rep"), "zl", "b", "c", F.col("m").alias("w"))
     test = p.where("split = 'test'").groupBy("zl", "b", "c").agg(F.count("*").alias("w")).select(reps.alias("rep"), "zl", "b", "c", "w")
-    return sm.modal_error(moved.unionByName(fixed), test, ["zl", "b"], "c", "w", ["rep"])
+    return sm.modal_error(moved.unionByName(fixed), test, ["zl", "b"], "c", "w", ["rep"]).drop("train_error")
+
+
+_FANO_STEP = f"(lo+{(1 - 1 / 3) / 2!r}e0*pow(0.5e0,i))"
+_FANO = lambda h: (
+    f"CASE WHEN {h} <= 0 THEN 0e0 WHEN {h} >= log2(3e0) THEN {1 - 1 / 3!r}e0 ELSE list_reduce([CAST(q AS DOUBLE) FOR q IN range(54)], lambda lo, i: "
+    f"CASE WHEN -{_FANO_STEP}*log2({_FANO_STEP}) - (1-{_FANO_STEP})*log2(1-{_FANO_STEP}) + {_FANO_STEP} <= {h} THEN {_FANO_STEP} ELSE lo END, 0e0) END")
+
+
+def _sql_classes(tag, weighted):
+    """CTEs: train and test counts of each replicate (one numbered 0 without weights), and from them errors and entropies by information set."""
+    if weighted:
+        head = f"""
+{tag}wa AS (SELECT rep, ({sql_draw(repr('train'), 'rep', 'j')}) % 3 AS block, COUNT(*) AS w FROM range(1,21) a(rep), range(3) b(j) GROUP BY ALL),
+{tag}we AS (SELECT rep, ({sql_draw(repr('test13'), 'rep', 'j')}) % 2 AS block, COUNT(*) AS w FROM range(1,21) a(rep), range(2) b(j) GROUP BY ALL),
+{tag}tr AS (SELECT rep, zl, b, LEAST(y,2) AS c, SUM(w) AS n FROM (SELECT zl, b, y, rep, w FROM prep JOIN {tag}wa q ON q.block=pos//7 WHERE pos<21 UNION ALL SELECT zl, b, y, rep, 1 FROM prep, range(1,21) a(rep) WHERE pos BETWEEN 21 AND 23) GROUP BY ALL),
+{tag}te AS (SELECT rep, zl, b, LEAST(y,2) AS c, SUM(w) AS n FROM (SELECT zl, b, y, rep, w FROM prep JOIN {tag}we q ON q.block=(pos-24)//2 WHERE pos BETWEEN 24 AND 27 UNION ALL SELECT zl, b, y, rep, 1 FROM prep, range(1,21) a(rep) WHERE pos > 27) GROUP BY ALL)"""
+    else:
+        head = f"""
+{tag}tr AS (SELECT 0 AS rep, zl, b, LEAST(y,2) AS c, COUNT(*) AS n FROM prep WHERE pos < 24 GROUP BY ALL), {tag}te AS (SELECT 0 AS rep, zl, b, LEAST(y,2) AS c, COUNT(*) AS n FROM prep WHERE pos >= 24 GROUP BY ALL)"""
+    parts = [head, sql_info(f"{tag}tr", ["rep"], ["zl"], "b", "c", "n", f"{tag}i"),
+             f"{tag}gl AS (SELECT rep, c FROM (SELECT rep, c, ROW_NUMBER() OVER (PARTITION BY rep ORDER BY SUM(n) DESC, c) AS k FROM {tag}tr GROUP BY rep, c) WHERE k=1)"]
+    for name, st in (("baseline", "zl"), ("side_aware", "zl, b")):
+        q = tag + name[0]
+        parts.append(f"""
+{q}s AS (SELECT rep, {st}, c, SUM(n) AS n FROM {tag}tr GROUP BY ALL), {q}t AS (SELECT rep, {st}, c, SUM(n) AS n FROM {tag}te GROUP BY ALL),
+{q}m AS (SELECT * FROM (SELECT *, SUM(n) OVER (PARTITION BY rep, {st}) AS total, ROW_NUMBER() OVER (PARTITION BY rep, {st} ORDER BY n DESC, c) AS k FROM {q}s) WHERE k=1),
+{q}f AS (SELECT rep, 1 - SUM(n)*1e0/SUM(total) AS train_error FROM {q}m GROUP BY rep),
+{q}e AS (SELECT t.rep, SUM(CASE WHEN COALESCE(m.c, g.c)<>t.c THEN t.n ELSE 0 END)*1e0/SUM(t.n) AS test_error, SUM(CASE WHEN m.c IS NULL THEN t.n ELSE 0 END) AS unseen
+  FROM {q}t t JOIN {tag}gl g ON g.rep=t.rep LEFT JOIN {q}m m ON m.rep=t.rep AND {' AND '.join(f'm.{c}=t.{c}' for c in st.split(', '))} GROUP BY t.rep)""")
+    rows = " UNION ALL ".join(
+        f"SELECT rep, '{name}' AS information_set, '{kind}' AS estimator, {h} AS entropy, {_FANO(h)} AS floor, train_error, test_error, unseen FROM {tag}i JOIN {tag}{name[0]}f USING (rep) JOIN {tag}{name[0]}e USING (rep)"
+        for name, kind, h in (("baseline", "plugin", "h0_plugin"), ("baseline", "miller_madow", "h0"), ("side_aware", "plugin", "hb_plugin"), ("side_aware", "miller_madow", "hb")))
+    return (*parts, f"{tag}z AS ({rows})")
+
+
+def class_counts(spark, sf):
+    """Counts of states and class by block, before the test days (weeks) and in them (two days each); what fills no block has none."""
+    from tallyfloor.functions.states import class_three
+
+    p = prepared(spark, sf).withColumn("c", class_three(F.col("y")))
+    week, pair = F.floor(F.col("pos") / 7).cast("int"), F.floor((F.col("pos") - 24) / 2).cast("int")
+    p = p.withColumn("block", F.when(F.col("pos") < 21, week).when((F.col("pos") >= 24) & (F.col("pos") < 28), pair))
+    n = settle(p.groupBy("split", "block", "zl", "b", "c").agg(F.count("*").alias("n")))
+    return n.where("split <> 'test'").drop("split"), n.where("split = 'test'").drop("split")
+
+
+def class_replicates(spark, counts):
+    return cl.classification_bootstrap(*counts, rs.block_weights(spark, 3, 20, "train"), rs.block_weights(spark, 2, 20, "test13"), 20, ["zl"], "b", "c", 3)
+
+
+@register("h13_fano_bootstrap", cte(*PREP, *_sql_classes("w", True)) + f"SELECT rep, information_set, estimator, {r('entropy','entropy')}, {r('floor','floor')}, {r('train_error','train_error')}, {r('test_error','test_error')}, {big('unseen','unseen')}, test_error + 1e-12 < floor AS violation FROM wz")
+def _(spark, sf):
+    return class_replicates(spark, class_counts(spark, sf))
+
+
+_CONTRAST = lambda tag: f"{tag}c AS (SELECT rep, estimator, metric, value FROM (SELECT rep, estimator, " + ", ".join(
+    f"MAX({m}) FILTER (WHERE information_set='baseline') - MAX({m}) FILTER (WHERE information_set='side_aware') AS {m}" for m in cl.METRICS) + f" FROM {tag}z GROUP BY ALL) UNPIVOT (value FOR metric IN ({', '.join(cl.METRICS)})))"
+
+
+@register("h13_fano_contrasts", cte(*PREP, *_sql_classes("w", True), *_sql_classes("p", False), _CONTRAST("w"), _CONTRAST("p"), "q AS (SELECT estimator, metric, AVG(value) AS m, quantile_cont(value, 0.025) AS lo, quantile_cont(value, 0.975) AS hi FROM wc GROUP BY ALL)")
+    + f"SELECT estimator, metric, {r('value','point')}, {r('value+lo-m','ci_low')}, {r('value+hi-m','ci_high')} FROM pc JOIN q USING (estimator, metric)")
+def _(spark, sf):
+    counts = class_counts(spark, sf)
+    return cl.contrast_intervals(cl.classification_point(*counts, ["zl"], "b", "c", 3), class_replicates(spark, counts))
 
 
 # --- model families -----------------------------------------------------------------------

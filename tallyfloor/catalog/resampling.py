@@ -292,3 +292,11 @@ def _(spark, sf):
     u = events_counts(spark, sf).groupBy("unit").agg(F.sum("x").alias("sx"), F.sum("y").alias("sy"))
     reps = spearman_bootstrap(u, "unit", "sx", "sy", 30, "rho")
     return reps.agg(F.count("*").alias("replicates"), F.avg("rho").alias("mean"), F.expr("percentile(rho, 0.025D)").alias("ci_low"), F.expr("percentile(rho, 0.975D)").alias("ci_high"))
+
+
+@register("h12_spearman_interval", None)
+def _(spark, sf):
+    from tallyfloor.operators.summaries import spearman_interval
+
+    u = events_counts(spark, sf).groupBy("unit").agg(F.sum("x").alias("sx"), F.sum("y").alias("sy"))
+    return spearman_interval(u, "unit", "sx", "sy", 200, "rho")

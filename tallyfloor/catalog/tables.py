@@ -318,7 +318,8 @@ tt AS (SELECT p.*, LEAST(p.y,2) AS cy, md.c AS m FROM prep p LEFT JOIN md ON md.
 """
 
 
-@register("e31_modal_error", cte(*PREP, _MODAL) + f"SELECT COUNT(*) AS test_rows, {r('AVG(CASE WHEN COALESCE(m,(SELECT c FROM gl))<>cy THEN 1e0 ELSE 0e0 END)','test_error')}, COUNT(*) FILTER (WHERE m IS NULL) AS unseen, {r('COUNT(*) FILTER (WHERE m IS NULL)*1e0/COUNT(*)','unseen_share')} FROM tt")
+@register("e31_modal_error", cte(*PREP, _MODAL) + f"SELECT COUNT(*) AS test_rows, {r('AVG(CASE WHEN COALESCE(m,(SELECT c FROM gl))<>cy THEN 1e0 ELSE 0e0 END)','test_error')}, COUNT(*) FILTER (WHERE m IS NULL) AS unseen, {r('COUNT(*) FILTER (WHERE m IS NULL)*1e0/COUNT(*)','unseen_share')}, "
+    + "(SELECT " + r("1 - SUM(hit)*1e0/SUM(n)", "train_error") + " FROM (SELECT MAX(k) AS hit, SUM(k) AS n FROM (SELECT dow, zl, b, LEAST(y,2) AS c, COUNT(*) AS k FROM prep WHERE split='train' GROUP BY ALL) GROUP BY dow, zl, b)) AS train_error FROM tt")
 def _(spark, sf):
     from tallyfloor.functions.states import class_three
 
@@ -329,7 +330,7 @@ def _(spark, sf):
 @register("e41_unseen_share", cte(*PREP, "s AS (SELECT DISTINCT unit, zl, b FROM prep WHERE split='train')") + f"SELECT COUNT(*) AS test_rows, COUNT(*) FILTER (WHERE s.unit IS NULL) AS unseen, {r('COUNT(*) FILTER (WHERE s.unit IS NULL)*1e0/COUNT(*)','unseen_share')} FROM prep p LEFT JOIN s ON s.unit=p.unit AND s.zl=p.zl AND s.b=p.b WHERE split='test'")
 def _(spark, sf):
     p = prepared(spark, sf)
-    return sm.modal_error(p.where("split = 'train'"), p.where("split = 'test'"), ["unit", "zl", "b"], "y").drop("test_error")
+    return sm.modal_error(p.where("split = 'train'"), p.where("split = 'test'"), ["unit", "zl", "b"], "y").drop("test_error", "train_error")
 
 
 @register("e32_error_slack", cte(*PREP, _FC, """

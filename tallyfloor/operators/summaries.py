@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from tallyfloor.functions.draws import draw_below
 from tallyfloor.operators import information as info, ordering
+from tallyfloor.operators.settle import settle
 
 
 def against_reference(df: DataFrame, keys: Sequence[str], level: str, at: float, metric: str, out: str, eps: float = 1e-12) -> DataFrame:
@@ -51,6 +52,26 @@ def spearman_bootstrap(df: DataFrame, unit: str, x: str, y: str, reps: int, labe
     return m.select("rep", F.when(den > 0, (c("n") * c("sxy") - c("sx") * c("sy")) / den).alias("rho"))
 
 
+def spearman_interval(df: DataFrame, unit: str, x: str, y: str, reps: int, label: str, level: float = 0.95) -> DataFrame:
+    """One row: units, rho, its two-sided p by the t law, percentile limits and standard error over units drawn with replacement, and how many
+    replicates are finite. Rows without both values are left out; fewer than three of them, or fewer finite replicates than nine tenths
+    (100 at least), is an error."""
+    from tallyfloor.functions.special import t_tail_two_sided
+
+    both = settle(df.where(F.col(x).isNotNull() & F.col(y).isNotNull() & ~F.isnan(F.col(x).cast("double")) & ~F.isnan(F.col(y).cast("double"))).select(unit, x, y))
+    point = ordering.spearman(both, x, y).select(F.col("n").alias("units"), F.when(F.abs("rho") <= 1, F.col("rho")).otherwise(F.signum("rho")).alias("rho"))
+    a, least = 1 - level, max(100, int(0.9 * reps))
+    drawn = spearman_bootstrap(both, unit, x, y, reps, label).where("rho IS NOT NULL").agg(
+        F.count("*").alias("finite_replicates"), F.stddev_samp("rho").alias("se"),
+        F.expr(f"percentile(rho, {a / 2!r}D)").alias("ci_low"), F.expr(f"percentile(rho, {1 - a / 2!r}D)").alias("ci_high"))
+    out = point.crossJoin(drawn)  # one row each
+    few = (F.col("units") < 3) | (F.col("finite_replicates") < least)
+    checked = F.when(few, F.raise_error(F.lit("too few units or finite replicates")).cast("double")).otherwise(F.col("rho"))
+    out = out.withColumn("rho", checked).withColumn("__df", (F.col("units") - 2).cast("int"))
+    out = out.withColumn("__t", F.col("rho") * F.sqrt(F.col("__df") / F.greatest(1 - F.col("rho") ** 2, F.lit(1e-300))))
+    return out.withColumn("p", t_tail_two_sided("__t", "__df")).drop("__t", "__df")
+
+
 def constant_keyed(df: DataFrame, key: str, values: Sequence[str]) -> DataFrame:
     """Repeat a small frame once per value of a fixed list."""
     return df.withColumn(key, F.explode(F.array(*[F.lit(v) for v in values])))
@@ -124,8 +145,8 @@ def composition(df: DataFrame, category: str, value: str, keys: Sequence[str]) -
 
 def modal_error(train: DataFrame, test: DataFrame, states: Sequence[str], label: str, weight: str | None = None,
                 keys: Sequence[str] = ()) -> DataFrame:
-    """Error of predicting each state's most frequent label (smallest on ties); a state unseen
-    in training takes the overall mode. Both sides enter as tallies."""
+    """Error of predicting each state's most frequent label (smallest on ties), on the training rows themselves and on the test rows; a state
+    unseen in training takes the overall mode. Both sides enter as tallies."""
     w = F.count("*") if weight is None else F.sum(weight)
     keys, cells = list(keys), [*keys, *states]
     a = train.groupBy(*cells, label).agg(w.alias("n")).where("n > 0")
@@ -135,10 +156,12 @@ def modal_error(train: DataFrame, test: DataFrame, states: Sequence[str], label:
     b = test.groupBy(*cells, label).agg(w.alias("n")).where("n > 0").join(mode, cells, "left")
     b = b.join(overall, keys) if keys else b.withColumn("__all", overall.scalar())
     guess = F.coalesce("__mode", "__all")
-    return b.groupBy(*keys).agg(
+    fitted = a.groupBy(*cells).agg(F.max("n").alias("hit"), F.sum("n").alias("n")).groupBy(*keys).agg((1 - F.sum("hit") / F.sum("n")).alias("train_error"))
+    out = b.groupBy(*keys).agg(
         F.sum("n").alias("test_rows"), (F.sum(F.when(guess != F.col(label), F.col("n")).otherwise(0)) / F.sum("n")).alias("test_error"),
         F.sum(F.when(F.col("__mode").isNull(), F.col("n")).otherwise(0)).alias("unseen"),
     ).withColumn("unseen_share", F.col("unseen") / F.col("test_rows"))
+    return out.join(fitted, keys) if keys else out.withColumn("train_error", fitted.scalar())
 
 
 def error_slack(df: DataFrame, error: str, forecast: str, keys: Sequence[str] = ()) -> DataFrame:

@@ -187,3 +187,19 @@ def test_tuning_prefers_the_earlier_of_equals(spark):
     df = spark.createDataFrame(rows, "unit int, s int, y int")
     out = fc.tune_state_mean(df, df, "unit", ["s"], "y", [0.0, 5.0]).where("selected").collect()
     assert [r.smoothing for r in out] == [0.0]
+
+
+def test_spearman_interval(spark):
+    from tallyfloor.operators.summaries import spearman_interval
+
+    rng = np.random.default_rng(5)
+    x = rng.integers(0, 12, 60)
+    pdf = pd.DataFrame({"u": range(60), "x": x, "y": x + rng.integers(0, 15, 60)})
+    df = spark.createDataFrame(pdf)
+    odd = spark.createDataFrame([(90, None, 1), (91, 2, None)], "u long, x long, y long")
+    got = spearman_interval(df.unionByName(odd), "u", "x", "y", 120, "rho").first()
+    rho = np.corrcoef(pdf.x.rank(), pdf.y.rank())[0, 1]
+    assert got["units"] == 60 and got["rho"] == pytest.approx(rho) and got["finite_replicates"] == 120
+    assert got["ci_low"] < rho < got["ci_high"] and 0 < got["se"] < 0.3 and 0 < got["p"] < 0.01
+    with pytest.raises(Exception, match="too few"):
+        spearman_interval(df.limit(2), "u", "x", "y", 120, "rho").collect()
