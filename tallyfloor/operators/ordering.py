@@ -142,10 +142,10 @@ def bh_adjust(df: DataFrame, p: str, out: str, family: Sequence[str] = ()) -> Da
 
 
 def spearman(df: DataFrame, x: str, y: str, keys: Sequence[str] = ()) -> DataFrame:
-    """Rank correlation with mean ranks for ties."""
+    """Rank correlation with mean ranks for ties; null where one side does not vary."""
     both = settle(df.where(F.col(x).isNotNull() & F.col(y).isNotNull()).select(*keys, x, y))
     ranked = average_ranks(average_ranks(both, x, "__rx", keys), y, "__ry", keys)
-    return ranked.groupBy(*keys).agg(F.count("*").alias("n"), F.corr("__rx", "__ry").alias("rho"))
+    return ranked.groupBy(*keys).agg(F.count("*").alias("n"), (F.covar_pop("__rx", "__ry") / F.nullif(F.stddev_pop("__rx") * F.stddev_pop("__ry"), F.lit(0.0))).alias("rho"))
 
 
 def median_classes(df: DataFrame, a: str, b: str, keys: Sequence[str] = ()) -> DataFrame:
