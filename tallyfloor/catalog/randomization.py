@@ -150,6 +150,43 @@ def _(spark, sf):
     return nulls.joint_screen(ordering.bh_adjust(local_null(spark, sf), "p", "q"), ["unit"], "q", 0.9)
 
 
+def _sql_local(design, tag):
+    """Plus-one p of each unit under a design, with step-up q over the units."""
+    body = DESIGNS[design].replace("tn AS", f"{tag}_tn AS").replace("bo AS", f"{tag}_bo AS").replace("JOIN bo ON", f"JOIN {tag}_bo AS bo ON")
+    return (body, sql_info(f"{tag}_tn", ["unit", "rep"], ["zl"], "b", "y", "1", tag),
+            f"{tag}p AS (SELECT '{design}' AS design, n.unit, (1e0+COUNT(*) FILTER (WHERE lo.h0-n.hb >= lo.cmi-1e-12))/(1+COUNT(*)) AS p FROM {tag} n JOIN lo USING (unit) GROUP BY ALL)",
+            f"{tag}q AS ({_BH(tag + 'p', 'p', 'unit')})")
+
+
+_SCREEN = (*PREP, REP, sql_info("prep", ["unit"], ["zl"], "b", "y", "1", "lo"), *_sql_local("temporal", "lt"), *_sql_local("circular", "lc"), *_sql_local("series", "ls"))
+
+
+def local_nulls(spark, sf, designs):
+    """p and q of each unit under each design; all designs share one table of counts and one pass over them."""
+    p = rows_once(spark, sf)
+    s = settle(nulls.unit_series(p, ["unit"], "period", ["zl"], "b", "y"))
+    obs = settle(info.conditional_information(info.joint_counts(p, ["zl"], "b", "y", ["unit"]), ["zl"], "b", "y", ["unit"]))
+    make = {
+        "temporal": lambda: nulls.temporal_blocks(s, "unit", R, 7, "temporal", ["unit"], ["zl"]),
+        "circular": lambda: nulls.circular_shift(s, "unit", R, 5, "circular", ["unit"], ["zl"]),
+        "series": lambda: nulls.series_permutation(s, "unit", R, "series", ["unit"], ["zl"]),
+    }
+    counts = None
+    for d in designs:
+        one = make[d]().groupBy("unit", "rep", "zl", "b", "y").agg(F.count("*").alias("n")).withColumn("design", F.lit(d))
+        counts = one if counts is None else counts.unionByName(one)
+    null = nulls.null_information(counts, ["zl"], ["design", "unit"], counted=True)
+    every = obs.withColumn("design", F.explode(F.array(*[F.lit(d) for d in designs])))
+    summary = nulls.null_summary(nulls.with_observed(null, every, ["design", "unit"]), every, ["design", "unit"])
+    return ordering.bh_adjust(summary, "p", "q", ["design"])
+
+
+@register("i08_screen_over_designs", cte(*_SCREEN, "al AS (" + " UNION ALL ".join(f"SELECT unit, q FROM {t}q" for t in ("lt", "lc", "ls")) + ")") + f"SELECT unit, BOOL_AND(q <= 0.9) AS passes_all, COUNT(*) AS designs, {r('MAX(q)', 'largest_q')} FROM al GROUP BY unit")
+def _(spark, sf):
+    tests = settle(local_nulls(spark, sf, ["temporal", "circular", "series"]).select("unit", "design", "q"))
+    return nulls.joint_screen(tests, ["unit"], "q", 0.9).join(tests.groupBy("unit").agg(F.max("q").alias("largest_q")), "unit")
+
+
 _LAG = ("lg AS (SELECT *, LAG(b,14) OVER (PARTITION BY unit ORDER BY period) AS b14 FROM prep)", "lm AS (SELECT dow, zl, b, b14, y FROM lg WHERE b14 IS NOT NULL)",
         sql_info("lm", [], ["dow", "zl"], "b", "y", "1", "near"), sql_info("lm", [], ["dow", "zl"], "b14", "y", "1", "far"))
 
@@ -186,6 +223,17 @@ def _(spark, sf):
     return info.jeffreys_information(counts, B, "b", "y", ["rep"])
 
 
+@register("i10_estimators_side_by_side", cte(*PREP, REP, T_SQL, sql_info("tn", ["rep"], ["dow", "zl"], "b", "y", "1", "i"), _JEF, "j AS (SELECT i.rep, i.cmi AS mm, i.cmi_plugin AS pl, w.h0-w.hb AS je FROM i JOIN w ON w.rep=i.rep)")
+    + f"SELECT rep, {r('pl','plugin')}, {r('mm','miller_madow')}, {r('je','jeffreys')}, {r('GREATEST(pl,mm,je)-LEAST(pl,mm,je)','spread')} FROM j")
+def _(spark, sf):
+    """All three estimators from the same counts of the same surrogates."""
+    counts = settle(surrogate(prepared(spark, sf), "temporal").groupBy("rep", *B, "b", "y").agg(F.count("*").alias("n")))
+    two = info.conditional_information(counts, B, "b", "y", ["rep"]).select("rep", F.col("cmi_plugin").alias("plugin"), F.col("cmi").alias("miller_madow"))
+    out = two.join(info.jeffreys_information(counts, B, "b", "y", ["rep"]).select("rep", F.col("cmi").alias("jeffreys")), "rep")
+    three = [F.col(c) for c in ("plugin", "miller_madow", "jeffreys")]
+    return out.withColumn("spread", F.greatest(*three) - F.least(*three))
+
+
 @register("i11_support_shift", cte(*_NULLS) + f"SELECT design, {r('AVG(nl.side_atoms)','null_atoms')}, {r('STDDEV_SAMP(nl.side_atoms)','null_atoms_sd')}, {r('AVG(nl.side_atoms)-MAX(ob.side_atoms)','atom_shift')}, {r('AVG(nl.singleton_atoms*1e0/nl.n)-MAX(ob.singleton_atoms*1e0/ob.n)','singleton_shift')} FROM nl, ob GROUP BY design")
 def _(spark, sf):
     p = rows_once(spark, sf)
