@@ -11,17 +11,19 @@ from pyspark.sql import DataFrame, functions as F
 from .common import keyed_join, settle
 from .components import connected
 
-#: A signature has BANDS x ROWS positions. A pair of similarity 0.8 shares no band with a probability of (1 - 0.8^5)^32 = 3e-6.
-BANDS, ROWS = 32, 5
+#: A signature has BANDS x ROWS positions. A pair of similarity 0.8 shares no band with a probability of (1 - 0.8^6)^32 = 6e-5, one of 0.85 with 3e-7.
+BANDS, ROWS = 32, 6
 POSITIONS = BANDS * ROWS
-#: Pairs that agree in fewer positions are not verified. At a similarity of 0.8 the mean is 128 and the spread at most 5.1, so this is 6.7 spreads below.
-AGREE = 94
+#: Pairs that agree in fewer positions are not verified. At a similarity of 0.8 the mean is 153.6 and the spread at most 5.6, so this is 6.7 spreads below.
+AGREE = 116
+#: Texts to be read again whose keys may be broadcast; of more, keys and texts are shuffled.
+BROADCAST_ROWS = 500_000
 #: Shingles whose signatures are made together.
 TOGETHER = 1 << 16
 #: Members of a band that are all compared at once.
 FEW = 16
 #: Pivots of a larger band in the first round, and how many times as many each further one has.
-FIRST, GROWTH = 4, 16
+FIRST, GROWTH = 1, 16
 
 _A, _B, _C = (np.uint64(v) for v in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB))  # fixed values: constants of the SplitMix64 finaliser
 _FULL = np.uint64(0xFFFFFFFFFFFFFFFF)
@@ -165,7 +167,8 @@ def _full_sets(docs: DataFrame, nodes: DataFrame, width: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array([n for n, _ in found], pa.int64()), pa.array([s for _, s in found], pa.binary())], names=["node", "own"])
 
     texts = docs.select(_text_key().alias("seen"), F.col("text").cast("binary").alias("text"))
-    met = texts.join(nodes, "seen").select("node", "digest", "text")
+    few = nodes.count() <= BROADCAST_ROWS
+    met = texts.join(F.broadcast(nodes) if few else nodes, "seen").select("node", "digest", "text")
     once = met.mapInArrow(run, "node long, own binary")
     return once.groupBy("node").agg(F.min("own").alias("own"))  # repeated rows give the same set
 
@@ -224,24 +227,21 @@ class _Graph:
         self.docs, self.nodes, self.width, self.least = docs, nodes, width, least
         self.links = self.labels = None
 
-    def near(self, pairs: DataFrame) -> DataFrame:
-        """Those of ``pairs`` (a, b; a written table) whose full sets are near, written."""
+    def verify(self, pairs: DataFrame) -> None:
+        """Adds the links among ``pairs`` (a, b, agree; a written table) that matter to the components: those whose full sets are near. The texts are read once more for
+        all of them. Each node's best pair comes first; of the rest those are left out whose two nodes have the same least neighbour by then, and are so connected."""
         wanted = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
         sets = settle(_full_sets(self.docs, settle(self.nodes.join(wanted, "node").select("node", "seen", "digest")), self.width))
-        return settle(_compare(_both_sides(pairs, sets, "own"), self.least))
-
-    def verify(self, pairs: DataFrame) -> None:
-        """Adds the links among ``pairs`` (a, b, agree) that matter to the components. Each node's best pair comes first; of the rest those
-        are left out whose two nodes have the same least neighbour by then, and are so connected."""
+        near = lambda p: settle(_compare(_both_sides(p, sets, "own"), self.least))
         best = settle(_best_of_each(pairs))
-        new = self.near(best)
+        new = near(best)
         both = new.unionByName(new.select(F.col("b").alias("a"), F.col("a").alias("b")))
         low = settle(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.col("a")).alias("low")))
         side = lambda s: low.select(F.col("node").alias(s), F.col("low").alias(f"low_{s}"))
         rest = pairs.select("a", "b").join(best, ["a", "b"], "left_anti").join(side("a"), "a", "left").join(side("b"), "b", "left")
         rest = settle(rest.where(F.coalesce("low_a", "a") != F.coalesce("low_b", "b")).select("a", "b"))
         if rest.limit(1).count():
-            new = new.unionByName(self.near(rest))
+            new = new.unionByName(near(rest))
         self.links = new if self.links is None else self.links.unionByName(new)
         self.labels = _labels(self.links)
 
@@ -260,11 +260,11 @@ def _components(docs: DataFrame, nodes: DataFrame, width: int, least: int) -> Da
     ``GROWTH`` times as many pivots. So every two members of a band are compared or known to be connected, while a crowd of copies of one text, which links to
     its first pivots, costs a number of pairs in proportion to its size. Of the pairs whose signatures agree, each node's best is verified first; pairs that become
     connected by that need no verification."""
-    members = nodes.select("node", F.explode("bands").alias("band"))
+    members = nodes.select("node", "n", F.explode("bands").alias("band"))
     shared = members.groupBy("band").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
     members = settle(members.join(shared.hint("merge"), "band").withColumn("turn", F.xxhash64("band", "node")))
     graph, most, tested = _Graph(docs, nodes, width, least), FIRST, None
-    sizes = (F.col("n_a") * 100 >= F.col("n_b") * least) & (F.col("n_b") * 100 >= F.col("n_a") * least)
+    sizes = (F.col("n") * 100 >= F.col("p_n") * least) & (F.col("p_n") * 100 >= F.col("n") * least)
     while True:
         if graph.labels is None:
             named = members.withColumn("root", F.col("node"))
@@ -277,15 +277,15 @@ def _components(docs: DataFrame, nodes: DataFrame, width: int, least: int) -> Da
         # the first in turn, and each other one with a chance of most / left
         share = F.pmod(F.col("turn"), F.lit(1 << 40)).cast("double") * F.col("left") < float((most - 1) * (1 << 40))
         chosen = (F.col("left") <= FEW) | (F.col("turn") == F.col("first")) | share
-        pivots = live.where(chosen).select("band", F.col("node").alias("p"), F.col("root").alias("p_root"))
-        met = live.select("band", "node", "root").join(pivots, "band").where("root <> p_root")
+        pivots = live.where(chosen).select("band", F.col("node").alias("p"), F.col("root").alias("p_root"), F.col("n").alias("p_n"))
+        met = live.select("band", "node", "root", "n").join(pivots, "band").where((F.col("root") != F.col("p_root")) & sizes)
         pairs = met.select(F.least("node", "p").alias("a"), F.greatest("node", "p").alias("b")).distinct()
-        agreeing = _agreeing(_both_sides(pairs, nodes, "n", "sig").where(sizes))
+        agreeing = _agreeing(_both_sides(pairs, nodes, "sig"))
         agreeing = settle(agreeing if tested is None else agreeing.join(tested, ["a", "b"], "left_anti"))
         if agreeing.limit(1).count():
             graph.verify(agreeing)
             tested = agreeing.select("a", "b") if tested is None else tested.unionByName(agreeing.select("a", "b"))
-        members = settle(live.where(~chosen).select("band", "node", "size", "turn"))
+        members = settle(live.where(~chosen).select("band", "node", "n", "size", "turn"))
         most *= GROWTH
 
 
