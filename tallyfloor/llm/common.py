@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import zipfile
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from pathlib import Path
 
 import numpy as np
@@ -17,6 +17,22 @@ from tallyfloor.operators.settle import scratch, settle  # noqa: F401  (re-expor
 HEAVY_SHARE = 1 / 1000
 
 
+_HELD: dict[str, dict] = {}
+
+
+def held(owner: str, key, make: Callable):
+    """What a worker keeps between tasks: ``make()`` for a key of an operator, made once. Workers serve one operator after the other, so what
+    another operator has left is released first, and of the same operator all but the last few keys."""
+    for other in [o for o in _HELD if o != owner]:
+        del _HELD[other]
+    own = _HELD.setdefault(owner, {})
+    if key not in own:
+        while len(own) >= 4:
+            del own[next(iter(own))]
+        own[key] = make()
+    return own[key]
+
+
 def read(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 

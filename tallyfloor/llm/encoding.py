@@ -10,6 +10,8 @@ from collections.abc import Sequence
 
 import numpy as np
 
+from .common import held
+
 #: Words whose ids a worker remembers before it keeps only those just used; results do not depend on it.
 MAX_WORDS = 1_000_000
 
@@ -23,17 +25,19 @@ class TextEncoder:
 
     Both kinds of public tokenizers split a text at white space before they merge, so ids of a text are those of
     its words in a row. Each distinct word is encoded by the library once, many in one call, and remembered; a final comma
-    or full stop after a letter is a piece of its own and is remembered apart. Strings of special tokens are ordinary text.
+    or full stop after a letter is a piece of its own and is remembered apart.
 
-    Texts with anything but single blanks and line feeds between words go to the library in parts cut where white space
-    begins."""
+    Texts with anything but single blanks and line feeds between words are cut where white space
+    begins, and their pieces are remembered like words. A text that holds the string of a special token goes to the library whole, which gives that token's id."""
 
     def __init__(self, path: str, max_words: int = MAX_WORDS):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.model = Tokenizer.from_file(path)
-        self.model.encode_special_tokens = True
+        self.model.encode_special_tokens = True  # what is left to this one holds none of their strings
+        self.whole = Tokenizer.from_file(path)
+        self.special = [t.content.lower() for t in self.whole.get_added_tokens_decoder().values()]
         self.size = self.model.get_vocab_size(with_added_tokens=True)
         self.dtype = np.dtype("<u2") if self.size <= 1 << 16 else np.dtype("<u4")
         self.max_words = max_words
@@ -43,6 +47,7 @@ class TextEncoder:
         self.opens = np.array([t.startswith("Ġ") for t in tokens])
         self.closes = np.array([t.endswith("</w>") for t in tokens])
         self.known: dict[str, bytes | None] = {}
+        self.pieces: dict[str, bytes] = {}
 
     def _pack(self, ids: Sequence[int]) -> bytes:
         return np.asarray(ids, self.dtype).tobytes()
@@ -99,9 +104,19 @@ class TextEncoder:
         """Ids of any text: its pieces up to the next white space, in the library's own division."""
         pattern = f"[^{SPACE}]+" if self.drops_space else f" ?[^{SPACE}]+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]+"
         pieces = re.findall(pattern, text)
-        new = list({*pieces})
-        own = dict(zip(new, self._direct(new)))
-        return b"".join(map(own.__getitem__, pieces))
+        used = {*pieces}
+        if len(self.pieces) > self.max_words:
+            self.pieces = {p: self.pieces[p] for p in used if p in self.pieces}
+        new = list(used.difference(self.pieces))
+        self.pieces.update(zip(new, self._direct(new)))
+        return b"".join(map(self.pieces.__getitem__, pieces))
+
+    def _marked(self, text: str) -> bool:
+        """Whether the text may hold the string of a special token, however it is normalised."""
+        if not any(s[:2] in text for s in self.special):
+            return False
+        low = text.lower()
+        return any(s in low for s in self.special)
 
     def _words(self, text: str) -> list[list[str]]:
         """Words of each line."""
@@ -111,7 +126,8 @@ class TextEncoder:
 
     def encode(self, texts: Sequence[str]) -> list[bytes]:
         """Ids of each text, packed."""
-        ready = [None if ODD_SPACE.search(t) else self._words(t) for t in texts]
+        marked = [self._marked(t) for t in texts]
+        ready = [None if m or ODD_SPACE.search(t) else self._words(t) for t, m in zip(texts, marked)]
         used: set[str] = set()
         for lines in ready:
             for line in lines or ():
@@ -119,7 +135,10 @@ class TextEncoder:
         if len(self.known) > self.max_words:
             self.known = {w: self.known[w] for w in used if w in self.known}
         self.learn(used.difference(self.known))
-        return [self._general(t) if lines is None else self._assemble(t, lines) for t, lines in zip(texts, ready)]
+        return [
+            self._pack(self.whole.encode(t, add_special_tokens=False).ids) if m else self._general(t) if lines is None else self._assemble(t, lines)
+            for t, m, lines in zip(texts, marked, ready)
+        ]
 
     def _assemble(self, text: str, lines: list[list[str]]) -> bytes:
         get = self.known.__getitem__
@@ -148,7 +167,6 @@ class TextEncoder:
         return [self.known[m] for m in marked]
 
 
-@functools.cache
 def encoder(path: str) -> TextEncoder:
     """The worker's encoder of a tokenizer file."""
-    return TextEncoder(path)
+    return held("encoding", path, lambda: TextEncoder(path))

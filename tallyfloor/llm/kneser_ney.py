@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
 from .arrays import open_array, write_array
-from .common import scratch, settle
+from .common import held, scratch, settle
 from .quality_rules import trusted_ids, words_of
 
 #: Trusted documents and words that the model is fitted on at most. They bound it at any size of the corpus.
@@ -137,9 +137,12 @@ class Model:
     words: float
 
 
-@functools.lru_cache(1)
 def _load(folder: str, names: tuple) -> dict[tuple[str, int], tuple[np.ndarray, np.ndarray]]:
     """The worker's copy of the tables: sorted keys and values of each kind and shard."""
+    return held("kneser_ney", (folder, names), lambda: _mapped(folder, names))
+
+
+def _mapped(folder: str, names: tuple) -> dict[tuple[str, int], tuple[np.ndarray, np.ndarray]]:
     nothing = (np.empty(0, np.int64), np.empty(0))
     out = {(kind, shard): nothing for kind in KINDS for shard in range(SHARDS)}
     return out | {(kind, shard): (open_array(folder, keys), open_array(folder, values)) for kind, shard, keys, values in names}
@@ -160,15 +163,22 @@ def _join(model: dict, kind: str, keys: np.ndarray, missing: float) -> np.ndarra
     return out[place]
 
 
-def score(docs: DataFrame, fitted: Model) -> DataFrame:
-    """doc_id, lang, n_tokens (words and one end), log10_prob for each row, in the task that reads it."""
+def mark():
+    """Digest of what a verdict depends on: id, language and text."""
+    part = lambda c: F.coalesce(F.concat(F.lit("="), F.col(c).cast("string")), F.lit(""))
+    return F.unhex(F.md5(F.concat_ws("|", part("doc_id"), part("lang"), F.coalesce(F.col("text"), F.lit(""))).cast("binary")))
+
+
+def score(docs: DataFrame, fitted: Model, marked: bool = False) -> DataFrame:
+    """doc_id, lang, n_tokens (words and one end), log10_prob for each row, in the task that reads it; with ``marked`` also its :func:`mark`."""
+    carried = ["doc_id", "lang", *(["mark"] if marked else [])]
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
 
         model, digest = _load(fitted.folder, fitted.names), xxhash.xxh64_intdigest
         for b in batches:
-            texts, at = b.column(2), 0
+            texts, at = b.column("text"), 0
             while at < len(b):
                 stop, size, sizes, flat = at, 0, [], []
                 while stop < len(b) and size < BLOCK:
@@ -187,12 +197,13 @@ def score(docs: DataFrame, fitted: Model) -> DataFrame:
                 p = _join(model, "a3", hash_longs(x, y, z), 0.0) + _join(model, "g3", hash_longs(x, y), 1.0) * p
                 total = np.add.reduceat(np.log10(p), np.r_[0, np.cumsum(sizes)[:-1]])
                 yield pa.RecordBatch.from_arrays(
-                    [b.column(0).slice(at, stop - at), b.column(1).slice(at, stop - at), pa.array(sizes, pa.int64()), pa.array(total)],
-                    names=["doc_id", "lang", "n_tokens", "log10_prob"])
+                    [*(b.column(c).slice(at, stop - at) for c in carried), pa.array(sizes, pa.int64()), pa.array(total)],
+                    names=[*carried, "n_tokens", "log10_prob"])
                 at = stop
 
-    narrow = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang"), F.col("text").cast("binary").alias("text"))
-    return narrow.mapInArrow(run, "doc_id long, lang string, n_tokens long, log10_prob double")
+    narrow = docs.select(
+        F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang"), *([mark().alias("mark")] if marked else []), F.col("text").cast("binary").alias("text"))
+    return narrow.mapInArrow(run, f"doc_id long, lang string, {'mark binary, ' if marked else ''}n_tokens long, log10_prob double")
 
 
 def _fit_fold():
@@ -225,30 +236,30 @@ def thresholds(scored: DataFrame, labels: DataFrame, quantile: float = QUANTILE,
     return both, (m, u + slack * (u - m))
 
 
-def classify(docs: DataFrame, labels: DataFrame, trusted_docs: int = TRUSTED_DOCS, trusted_words: int = TRUSTED_WORDS, quantile: float = QUANTILE, slack: float = SLACK) -> DataFrame:
-    """doc_id, lang, n_tokens, log10_prob, perplexity, threshold, kept for each row.
+def classify(docs: DataFrame, labels: DataFrame, trusted_docs: int = TRUSTED_DOCS, trusted_words: int = TRUSTED_WORDS, quantile: float = QUANTILE, slack: float = SLACK, marked: bool = False) -> DataFrame:
+    """doc_id, lang, n_tokens, log10_prob, perplexity, threshold, kept for each row; with ``marked`` also its :func:`mark`.
 
     A text is kept if its log10 perplexity, drawn to the median of its language by ``PRIOR_TOKENS`` tokens, is at most the language's threshold.
     Null texts are empty (one end token), a null language is one of its own, languages without trusted texts use the threshold over all, null ids are
     never trusted, repeated rows are each judged, without labels all is kept, and other columns are ignored."""
     trusted = settle(trusted_ids(labels.where(_fit_fold()), trusted_docs))
     fitted = train(docs, trusted, scratch(docs.sparkSession, "kneser-ney"), trusted_words)
-    scored = settle(score(docs, fitted).withColumn("rate", -F.col("log10_prob") / F.col("n_tokens")))
+    scored = settle(score(docs, fitted, marked).withColumn("rate", -F.col("log10_prob") / F.col("n_tokens")))
     by_lang, (middle, limit) = thresholds(scored, labels, quantile, slack)
     by_lang = settle(by_lang)  # a row for each language
     same = scored["lang"].eqNullSafe(by_lang["lang"])
     judged = scored.join(F.broadcast(by_lang) if by_lang.count() <= 10_000 else by_lang, same, "left").select(
         scored["*"], F.coalesce("middle", F.lit(middle)).alias("middle"), F.coalesce("limit", F.lit(limit)).alias("limit"))
     tempered = (F.col("rate") * F.col("n_tokens") + PRIOR_TOKENS * F.col("middle")) / (F.col("n_tokens") + PRIOR_TOKENS)
-    return judged.select("doc_id", "lang", "n_tokens", "log10_prob", F.pow(F.lit(10.0), "rate").alias("perplexity"),
+    return judged.select("doc_id", "lang", *(["mark"] if marked else []), "n_tokens", "log10_prob", F.pow(F.lit(10.0), "rate").alias("perplexity"),
                          F.pow(F.lit(10.0), "limit").alias("threshold"), (tempered <= F.col("limit")).alias("kept"))
 
 
 def filtered(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
-    """The rows of ``docs`` that are not rejected, with their columns. Verdicts are joined by id: rows without one stay, and of rows that share
-    one all go if any is rejected."""
-    gone = classify(docs, labels, **options).where("NOT kept AND doc_id IS NOT NULL").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    """The rows of ``docs`` that are not rejected, with their columns. A verdict belongs to an id, language and text, so rows without an id are judged
+    like others, and of rows that share an id each goes or stays by its own text. Only the digests of rejected rows are joined back."""
+    gone = settle(classify(docs, labels, marked=True, **options).where("NOT kept").select("mark").distinct())  # its written size tells the planner how to join it
+    return docs.select(F.struct(*docs.columns).alias("row"), mark().alias("mark")).join(gone, "mark", "left_anti").select("row.*")
 
 
 def query(spark, docs: DataFrame, labels: DataFrame) -> DataFrame:

@@ -19,7 +19,6 @@ BYTES, WORDS, UNIGRAM = (P.path(f) for f in ("byte_bpe_50k.json", "word_bpe_49k.
 
 def library(path):
     t = Tokenizer.from_file(path)
-    t.encode_special_tokens = True
     return lambda text: t.encode(text or "", add_special_tokens=False).ids
 
 
@@ -194,3 +193,18 @@ def test_token_counts_of_nothing(spark, nothing):
 
 def test_manifest_folder_is_shared(spark):
     assert scratch(spark, "x") != scratch(spark, "x")
+
+
+@pytest.mark.parametrize("path", [BYTES, WORDS])
+def test_paragraphs_special_strings_and_long_texts(path):
+    """Against the library's own call; the memory of words and pieces may be as small as can be."""
+    words = "the Quick brown élan, naïve. 日本語 don't x1y2 ... <|endof text|> < |".split(" ")
+    long = "".join(w + (" ", "\n", "\n\n", "  ", "\t")[i % 5] for i, w in enumerate(words * 3000))
+    texts = [
+        "one\n\ntwo\n\n\nthree", " \n\n lead", "a<|endoftext|>b", "<|endoftext|>", "x <|EndOfText|> y", "<|startoftext|>\n\nz", "<|end", long, long + "<|endoftext|> tail",
+    ]
+    for most in (1, 1_000_000):
+        own = TextEncoder(path, most)
+        for _ in range(2):
+            for text, ids in zip(texts, own.encode(texts)):
+                assert np.frombuffer(ids, own.dtype).tolist() == library(path)(text)

@@ -37,6 +37,19 @@ def test_stages_on_odd_rows(spark, odd, nothing):
             assert name == "packing" or out.columns == docs.columns
 
 
+def test_classifier_judges_rows_by_their_own_text(spark, odd, odd_rows, labels):
+    """Rows without an id, and rows that share one, each go or stay by their own verdict, whatever the quantile rejects."""
+    from collections import Counter
+
+    kept = {bytes(r["mark"]) for r in kneser_ney.classify(odd, labels, marked=True, quantile=0.05, slack=0.0).where("kept").collect()}
+    every = odd.select(*odd.columns, kneser_ney.mark().alias("mark_of_row")).collect()
+    want = Counter((r["doc_id"], r["text"]) for r in every if bytes(r["mark_of_row"]) in kept)
+    got = Counter((r["doc_id"], r["text"]) for r in kneser_ney.filtered(odd, labels, quantile=0.05, slack=0.0).collect())
+    assert got == want and 0 < sum(got.values()) <= len(odd_rows)
+    marks = {(r["doc_id"], r["text"] or "", r["lang"]): bytes(r["mark_of_row"]) for r in every}
+    assert len(set(marks.values())) == len(marks)
+
+
 def test_run(spark):
     rows = cp.run(spark, SF).collect()
     assert rows and {"doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"} <= set(rows[0].asDict())
