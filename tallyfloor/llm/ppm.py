@@ -104,6 +104,13 @@ def _merged(keys: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarra
     return k[first], np.add.reduceat(c, first) if len(k) else c
 
 
+def _written(df: DataFrame) -> DataFrame:
+    """:func:`settle` with a denser compression, for what is as large as the texts."""
+    path = scratch(df.sparkSession, "ppm-written")
+    df.write.option("compression", "zstd").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def chunked(docs: DataFrame, size: int = CHUNK) -> DataFrame:
     """doc_id, text, chunk: rows that a task reads one after the other share a chunk of about ``size`` bytes."""
 
@@ -120,7 +127,7 @@ def chunked(docs: DataFrame, size: int = CHUNK) -> DataFrame:
                 filled += n + 1
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(own, pa.int64())], names=["doc_id", "text", "chunk"])
 
-    return settle(_narrow(docs).mapInArrow(run, "doc_id long, text binary, chunk long"))
+    return _written(_narrow(docs).mapInArrow(run, "doc_id long, text binary, chunk long"))
 
 
 def chunk_grams(texts: DataFrame, order: int = ORDER, most: int = 1 << 21) -> DataFrame:
@@ -145,7 +152,7 @@ def chunk_grams(texts: DataFrame, order: int = ORDER, most: int = 1 << 21) -> Da
             k, c = _merged(keys, counts)
         yield rows(at, k, c)
 
-    return settle(texts.select("doc_id", "text", "chunk").mapInArrow(run, "chunk long, key long, c long"))
+    return _written(texts.select("doc_id", "text", "chunk").mapInArrow(run, "chunk long, key long, c long"))
 
 
 def write_short(grams: DataFrame, folder: str, length: int) -> None:
@@ -175,28 +182,32 @@ def long_levels(keys: np.ndarray, seen: np.ndarray, order: int, shortest: int, l
 
 
 def gram_scores(grams: DataFrame, folder: str, order: int = ORDER, contexts: int | None = None) -> DataFrame:
-    """key, log_p for each of the distinct ``grams`` (key, c; a written table).
+    """chunk, key, log_p for each row of ``grams`` (chunk, key, c; a written table, in which a gram has a row for each chunk that holds it).
 
-    Grams meet in tasks by the last bytes of their context, so that a task has all that is known of the longer contexts of its grams; the
-    number of tasks follows the number of grams. All contexts are used; with ``contexts``, those of more than ``SHORT`` bytes only above
+    Rows meet in tasks by the last bytes of their context, so that a task has all that is known of the longer contexts of its grams: it adds up
+    their occurrences over all chunks, and gives each row its probability, which nothing needs to be joined for. The
+    number of tasks follows the number of rows. All contexts are used; with ``contexts``, those of more than ``SHORT`` bytes only above
     a share of 1 / ``contexts`` of all training bytes."""
     rows, total = grams.agg(F.count(F.lit(1)), F.sum("c")).first()
     short, least = min(SHORT, order - 1), (total or 0) / contexts if contexts else 0.0
     write_short(grams, folder, short)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parts = [(b.column(0).to_numpy().view(np.uint64), b.column(1).to_numpy()) for b in batches]
+        parts = [(b.column(0).to_numpy(), b.column(1).to_numpy().view(np.uint64), b.column(2).to_numpy()) for b in batches]
         if parts:
-            keys, c = (np.concatenate(x) for x in zip(*parts))
-            at = np.argsort(keys)
-            keys, c = keys[at], c[at]
-            trie = Trie(load_short(folder, short) | long_levels(keys[c > 0], c[c > 0], order, short + 1, least), order)
+            chunks, keys, c = (np.concatenate(x) for x in zip(*parts))
+            at = np.argsort(keys, kind="stable")
+            chunks, keys, c = chunks[at], keys[at], c[at]
+            own, sums = _merged([keys], [c])
+            trie = Trie(load_short(folder, short) | long_levels(own[sums > 0], sums[sums > 0], order, short + 1, least), order)
+            value = np.concatenate([trie.log_p(own[k : k + (1 << 16)]) for k in range(0, len(own), 1 << 16)])
+            place = np.cumsum(np.r_[False, keys[1:] != keys[:-1]])
             for k in range(0, len(keys), 1 << 16):
-                own = keys[k : k + (1 << 16)]
-                yield pa.RecordBatch.from_arrays([pa.array(own.view(np.int64)), pa.array(trie.log_p(own))], names=["key", "log_p"])
+                part = slice(k, k + (1 << 16))
+                yield pa.RecordBatch.from_arrays([pa.array(chunks[part]), pa.array(keys[part].view(np.int64)), pa.array(value[place[part]])], names=["chunk", "key", "log_p"])
 
     suffix = F.shiftright("key", 8).bitwiseAND(F.lit((1 << 8 * (short + 1)) - 1).cast("long"))
-    return grams.select("key", "c").repartition(rows // GRAMS + 1, suffix).mapInArrow(run, "key long, log_p double")
+    return grams.select("chunk", "key", "c").repartition(rows // GRAMS + 1, suffix).mapInArrow(run, "chunk long, key long, log_p double")
 
 
 # --- the model in a task ------------------------------------------------------------------
@@ -322,7 +333,7 @@ def scores(docs: DataFrame, order: int = ORDER, contexts: int | None = None, fre
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score for each row.
 
     Words and byte contexts are counted over all documents to learn from, and all contexts are used unless ``contexts`` bounds them. The distinct
-    grams of each ``chunk`` of texts are joined with their probabilities under the partitioned model and written for the chunk; a gram has
+    grams of each ``chunk`` of texts go to the task that has their part of the model, come back with their probabilities and are written for the chunk; a gram has
     a few rows for each chunk, so no key is hot. A task scores its rows with their chunk's grams and looks frequent words up; each text's rarer words
     are joined with their counts, and none of those has more than 1 / ``frequent`` of all words.
 
@@ -335,9 +346,8 @@ def scores(docs: DataFrame, order: int = ORDER, contexts: int | None = None, fre
     words.where(F.col("c") * frequent > n_all).select("word", "learned").write.parquet(word_folder)
     texts = chunked(docs, chunk)
     lists = chunk_grams(texts, order)
-    model = gram_scores(settle(lists.groupBy("key").agg(F.sum("c").alias("c"))), short_folder, order, contexts)
-    named = lists.select("chunk", "key").join(model.hint("merge"), "key").repartition("chunk")
-    named.sortWithinPartitions("chunk").write.partitionBy("chunk").parquet(gram_folder)
+    named = gram_scores(lists, short_folder, order, contexts).repartition("chunk")
+    named.sortWithinPartitions("chunk").write.option("compression", "zstd").partitionBy("chunk").parquet(gram_folder)
     whole = math.log10(n_train + distinct + 1)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
