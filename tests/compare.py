@@ -60,7 +60,7 @@ def compare(spark, con, name, query, sql, sf):
         return f"columns {sorted(set(cols) ^ set(df.columns))}", False
     types = {d[0]: str(d[1]) for d in cur.description}
     kinds = dict(df.dtypes)
-    expect = {"bigint": "BIGINT", "double": "DOUBLE", "string": "VARCHAR", "boolean": "BOOLEAN"}
+    expect = {"bigint": "BIGINT", "double": "DOUBLE", "string": "VARCHAR", "boolean": "BOOLEAN", "int": "INTEGER"}
     off = [f"{c}:{kinds[c]}/{types[c]}" for c in cols if expect.get(kinds[c]) != types[c]]
     key = lambda t: tuple((v is None, str(type(v)), round(v, 6) if isinstance(v, float) else v) for v in t)
     try:
