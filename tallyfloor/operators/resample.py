@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions
 from tallyfloor.functions.draws import draw, draw_below
 from tallyfloor.functions.special import normal_tail
 from tallyfloor.operators import information as info
+from tallyfloor.operators.settle import settle, spread
 
 BROADCAST_ROWS = 2_000_000  # rows of (rep, block, w), 24 bytes each
 
@@ -39,12 +40,15 @@ def bootstrap_information(
 ) -> DataFrame:
     """Information per replicate from counts by block.
 
-    The block counts are partitioned once on (keys, base state). Joining the weights multiplies
-    rows inside the tasks, where they are folded at once: replicated rows are never shuffled.
+    The block counts are written, and partitioned once on (keys, base state) into as many tasks as the replicated rows need.
+    Joining the weights multiplies rows inside the tasks, where they are folded at once: replicated rows are never shuffled.
     """
+    block_counts = settle(block_counts)
+    drawn = weights.groupBy("block").agg(F.count("*").alias("__m"))
+    replicated = 2 * (_attach(block_counts.select("block"), drawn, rows).agg(F.sum("__m")).first()[0] or 0)
     long = info.by_information_set(block_counts, keys, base, side, target, "n", ["block"])
     z = [c for c in long.columns if c.startswith("z") and c[1:].isdigit()]
-    part = long.repartition(*keys, *z).groupBy(*keys, *z, "fam", "b", "y", "block").agg(F.sum("n").alias("n"))
+    part = spread(long, replicated, *keys, *z).groupBy(*keys, *z, "fam", "b", "y", "block").agg(F.sum("n").alias("n"))
     weighted = _attach(part, weights, rows).withColumn("n", F.col("n") * F.col("w"))
     out_keys = [*keys, *rep]
     return info.information_from_sums(info.entropy_sums(weighted, out_keys), out_keys)

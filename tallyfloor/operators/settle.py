@@ -1,4 +1,4 @@
-"""Cutting lineage where a result is read several times."""
+"""Cutting lineage where a result is read several times, and dealing rows that are about to multiply."""
 
 from __future__ import annotations
 
@@ -22,6 +22,19 @@ def scratch(spark: SparkSession, name: str) -> str:
     return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+#: Rows that a task makes where every row is repeated for each replicate.
+TASK_ROWS = 1_000_000
+
+
+def spread(df: DataFrame, rows: int, *keys: str) -> DataFrame:
+    """Deal ``df`` by ``keys`` to so many tasks that each makes about ``TASK_ROWS`` of the ``rows`` that follow from it.
+
+    The planner sizes tasks by the bytes they read and puts small ones together, so a step that repeats its rows
+    hundreds of times would run in a few large tasks. The number is given, so these stay apart, and it grows with the rows."""
+    least = min(df.sparkSession.sparkContext.defaultParallelism, -(-rows // 50_000))
+    return df.repartition(max(1, least, -(-rows // TASK_ROWS)), *keys)
+
+
 def settle(df: DataFrame) -> DataFrame:
     """Write the frame once as a table in the shared folder and go on from there. The table
     outlives any executor, is computed a single time, and its file sizes tell the planner
