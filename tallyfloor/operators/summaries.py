@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from tallyfloor.functions.draws import draw_below
 from tallyfloor.operators import information as info, ordering
-from tallyfloor.operators.settle import settle
+from tallyfloor.operators.settle import settle, spread
 
 
 def against_reference(df: DataFrame, keys: Sequence[str], level: str, at: float, metric: str, out: str, eps: float = 1e-12) -> DataFrame:
@@ -29,16 +29,16 @@ def category_differences(df: DataFrame, category: str, rep: str, metric: str) ->
 
 def spearman_bootstrap(df: DataFrame, unit: str, x: str, y: str, reps: int, label: str) -> DataFrame:
     """Rank correlation per replicate over units drawn with replacement. Draws become weights,
-    and weighted ranks are taken over ranges of values."""
+    and weighted ranks are taken over ranges of values. Units times replicates are dealt to tasks of bounded size."""
+    df = settle(df)
+    drawings = df.count() * reps
     order = ordering.cumulative_counts(df, unit).select(unit, F.col("n_below").alias("__k"), "total")
     units = df.join(order, unit)
     total = df.agg(F.count("*")).scalar()
-    drawn = (
-        units.select(F.col("__k").alias("__j"), "total", F.explode(F.sequence(F.lit(1), F.lit(reps))).alias("rep"))
-        .groupBy("rep", draw_below(F.col("total"), label, F.col("rep"), F.col("__j")).alias("__k"))
-        .agg(F.count("*").alias("w"))
-    )
-    s = drawn.join(units.select("__k", x, y), "__k")
+    each = spread(units.select(F.col("__k").alias("__j"), "total"), drawings, "__j").withColumn("rep", F.explode(F.sequence(F.lit(1), F.lit(reps))))
+    hits = each.select("rep", draw_below(F.col("total"), label, F.col("rep"), F.col("__j")).alias("__k"))
+    drawn = spread(hits, drawings, "__k").groupBy("rep", "__k").agg(F.count("*").alias("w"))
+    s = settle(drawn.join(units.select("__k", x, y), "__k"))
     rank = lambda col, out: ordering.cumulative_counts(s, col, ["rep"], "w").select(
         "rep", col, (F.col("n_below") + (F.col("n") + 1) / 2.0).alias(out))
     j = s.join(rank(x, "rx"), ["rep", x]).join(rank(y, "ry"), ["rep", y])
