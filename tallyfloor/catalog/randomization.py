@@ -125,10 +125,11 @@ _LOCAL = (*PREP, REP, T_SQL, sql_info("tn", ["unit", "rep"], ["zl"], "b", "y", "
 
 def local_null(spark, sf):
     p = rows_once(spark, sf)
-    s = nulls.unit_series(p, ["unit"], "period", ["zl"], "b", "y")
+    s = settle(nulls.unit_series(p, ["unit"], "period", ["zl"], "b", "y"))
+    rows = nulls.surrogate_rows(s, R)
     obs = info.conditional_information(info.joint_counts(p, ["zl"], "b", "y", ["unit"]), ["zl"], "b", "y", ["unit"])
-    sur = nulls.temporal_blocks(s, "unit", R, 7, "temporal", ["unit"], ["zl"])
-    null = nulls.with_observed(nulls.null_information(sur, ["zl"], ["unit"]), obs, ["unit"])
+    sur = nulls.temporal_blocks(s, "unit", R, 7, "temporal", ["unit"], ["zl"], rows)
+    null = nulls.with_observed(nulls.null_information(sur, ["zl"], ["unit"], rows=rows), obs, ["unit"])
     return nulls.null_summary(null, obs, ["unit"])
 
 
@@ -165,17 +166,18 @@ def local_nulls(spark, sf, designs):
     """p and q of each unit under each design; all designs share one table of counts and one pass over them."""
     p = rows_once(spark, sf)
     s = settle(nulls.unit_series(p, ["unit"], "period", ["zl"], "b", "y"))
+    rows = nulls.surrogate_rows(s, R)
     obs = settle(info.conditional_information(info.joint_counts(p, ["zl"], "b", "y", ["unit"]), ["zl"], "b", "y", ["unit"]))
     make = {
-        "temporal": lambda: nulls.temporal_blocks(s, "unit", R, 7, "temporal", ["unit"], ["zl"]),
-        "circular": lambda: nulls.circular_shift(s, "unit", R, 5, "circular", ["unit"], ["zl"]),
-        "series": lambda: nulls.series_permutation(s, "unit", R, "series", ["unit"], ["zl"]),
+        "temporal": lambda: nulls.temporal_blocks(s, "unit", R, 7, "temporal", ["unit"], ["zl"], rows),
+        "circular": lambda: nulls.circular_shift(s, "unit", R, 5, "circular", ["unit"], ["zl"], rows),
+        "series": lambda: nulls.series_permutation(s, "unit", R, "series", ["unit"], ["zl"], rows=rows),
     }
     counts = None
     for d in designs:
         one = make[d]().groupBy("unit", "rep", "zl", "b", "y").agg(F.count("*").alias("n")).withColumn("design", F.lit(d))
         counts = one if counts is None else counts.unionByName(one)
-    null = nulls.null_information(counts, ["zl"], ["design", "unit"], counted=True)
+    null = nulls.null_information(counts, ["zl"], ["design", "unit"], counted=True, rows=rows * len(designs))
     every = obs.withColumn("design", F.explode(F.array(*[F.lit(d) for d in designs])))
     summary = nulls.null_summary(nulls.with_observed(null, every, ["design", "unit"]), every, ["design", "unit"])
     return ordering.bh_adjust(summary, "p", "q", ["design"])

@@ -2,7 +2,8 @@
 
 A unit's series is at most as long as the calendar, however many events it had, so it is kept
 as one array per unit. Every surrogate is built inside that row and folded into counts before
-anything is shuffled: what moves is replicates x atoms and not replicates x rows.
+anything is shuffled: what moves is replicates x atoms and not replicates x rows. Where units are keys of the result, counts
+are nearly as many as rows; ``rows``, the rows of all surrogates, then says over how many tasks they are dealt.
 """
 
 from __future__ import annotations
@@ -13,7 +14,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from tallyfloor.functions.draws import draw, draw_below
 from tallyfloor.operators import information as info, ordering
-from tallyfloor.operators.settle import settle
+from tallyfloor.operators.settle import settle, spread
 
 
 def unit_series(df: DataFrame, unit: Sequence[str], order: str, base: Sequence[str], side: str, target: str,
@@ -26,6 +27,15 @@ def _reps(series: DataFrame, reps: int) -> DataFrame:
     return series.withColumn("rep", F.explode(F.sequence(F.lit(1), F.lit(reps))))
 
 
+def surrogate_rows(series: DataFrame, reps: int) -> int:
+    """Rows of all surrogates of a design."""
+    return reps * (series.agg(F.sum("t")).first()[0] or 0)
+
+
+def _dealt(frame: DataFrame, rows: int | None, *keys: str) -> DataFrame:
+    return frame if rows is None else spread(frame, rows, *keys)
+
+
 def _emit(frame: DataFrame, source, keys: Sequence[str], base: Sequence[str]) -> DataFrame:
     """Rows (keys, rep, base.., b, y): the side state at ``source(p)`` beside base and target at
     ``p``. The series is rebuilt as one array first, so exploding it does not drag it along."""
@@ -39,9 +49,10 @@ def _emit(frame: DataFrame, source, keys: Sequence[str], base: Sequence[str]) ->
     return frame.select(*keys, "rep", F.explode(rebuilt).alias("e")).select(*keys, "rep", "e.*")
 
 
-def temporal_blocks(series: DataFrame, unit: str, reps: int, length: int, label: str, keys: Sequence[str], base: Sequence[str]) -> DataFrame:
+def temporal_blocks(series: DataFrame, unit: str, reps: int, length: int, label: str, keys: Sequence[str], base: Sequence[str],
+                    rows: int | None = None) -> DataFrame:
     """Whole blocks of a unit change places; the remainder stays."""
-    f = _reps(series, reps).withColumn("nb", F.floor(F.col("t") / length).cast("int"))
+    f = _reps(_dealt(series, rows, unit), reps).withColumn("nb", F.floor(F.col("t") / length).cast("int"))
     order = F.array_sort(F.transform(
         F.sequence(F.lit(0), F.col("nb") - 1),
         lambda i: F.struct(draw(label, F.col("rep"), F.col(unit), i).alias("d"), i.alias("i")),
@@ -52,10 +63,11 @@ def temporal_blocks(series: DataFrame, unit: str, reps: int, length: int, label:
     ).otherwise(p), keys, base)
 
 
-def circular_shift(series: DataFrame, unit: str, reps: int, minimum: int, label: str, keys: Sequence[str], base: Sequence[str]) -> DataFrame:
+def circular_shift(series: DataFrame, unit: str, reps: int, minimum: int, label: str, keys: Sequence[str], base: Sequence[str],
+                   rows: int | None = None) -> DataFrame:
     """Every unit rotates by its own shift in [minimum, T - minimum]."""
     short = F.when(F.col("t") <= 2 * minimum, F.raise_error(F.lit("series too short for the shift"))).otherwise(F.col("t"))
-    f = _reps(series.withColumn("t", short.cast("int")), reps)
+    f = _reps(_dealt(series, rows, unit).withColumn("t", short.cast("int")), reps)
     f = f.withColumn("shift", (draw_below(F.col("t") - 2 * minimum + 1, label, F.col("rep"), F.col(unit)) + minimum).cast("int"))
     return _emit(f, lambda p: F.pmod(p + F.col("shift"), F.col("t")), keys, base)
 
@@ -74,13 +86,14 @@ def unit_permutation(units: DataFrame, unit: str, reps: int, label: str, group:
     return donors.join(to, [*group, "__r"]).select(*group, "rep", unit, "donor", *carry)
 
 
-def series_permutation(series: DataFrame, unit: str, reps: int, label: str, keys: Sequence[str], base: Sequence[str], group: Sequence[str] = ()) -> DataFrame:
+def series_permutation(series: DataFrame, unit: str, reps: int, label: str, keys: Sequence[str], base: Sequence[str], group: Sequence[str] = (),
+                       rows: int | None = None) -> DataFrame:
     """Units of a group exchange whole side series. What travels with a replicate is the donor's series, packed as one array of
     single bytes (a code below 128 for each period); the receiver's own series joins last and once."""
     pairs = unit_permutation(series, unit, reps, label, group)
     packed = F.transform("s", lambda e: F.when(e["b"].between(-128, 127), e["b"].cast("byte")).otherwise(F.raise_error(F.lit("side states must fit a byte")).cast("byte")))
     b = series.select(F.col(unit).alias("donor"), *group, packed.alias("bs"))
-    j = pairs.join(b, ["donor", *group]).drop("donor").join(series.select(*{unit, *keys, *group}, "s"), [unit, *group])
+    j = _dealt(pairs.join(b, ["donor", *group]).drop("donor"), rows, unit, *group).join(series.select(*{unit, *keys, *group}, "s"), [unit, *group])
     kind = next(f.dataType for f in series.schema["s"].dataType.elementType if f.name == "b")
     rebuilt = F.transform("s", lambda e, i: F.struct(*[e[c].alias(c) for c in base], F.col("bs")[i].cast(kind).alias("b"), e["y"].alias("y")))
     return j.select(*keys, "rep", F.explode(rebuilt).alias("e")).select(*keys, "rep", "e.*")
@@ -164,14 +177,16 @@ def state_matched(rows: DataFrame, row_key: Sequence[str], reps: int, label: str
     return even.unionByName(split).groupBy(*keys, "rep", *base, "b", "y").agg(F.sum("n").alias("n"))
 
 
-def null_information(surrogate: DataFrame, base: Sequence[str], keys: Sequence[str] = (), with_base: bool = False, counted: bool = False) -> DataFrame:
+def null_information(surrogate: DataFrame, base: Sequence[str], keys: Sequence[str] = (), with_base: bool = False, counted: bool = False,
+                     rows: int | None = None) -> DataFrame:
     """hb, support and (with ``with_base``) h0 per replicate. The base entropy does not change
     under any design, so by default only the augmented side is counted. ``counted`` marks a table of counts ``n``."""
     k = [*keys, "rep"]
     counts = surrogate if counted else surrogate.groupBy(*k, *base, "b", "y").agg(F.count("*").alias("n"))
     long = info.by_information_set(counts, k, base, "b", "y", "n", with_base=with_base)
     z = [c for c in long.columns if c.startswith("z") and c[1:].isdigit()]
-    out = info.information_from_sums(info.entropy_sums(long.repartition(*k, *z), k), k)
+    parted = long.repartition(*k, *z) if rows is None else spread(long, rows, *k, *z)
+    out = info.information_from_sums(info.entropy_sums(parted, k), k)
     if with_base:
         return out
     return out.select(*k, "n", "hb_plugin", "hb", "side_states", "side_atoms", "singleton_atoms", "k_over_n", "singleton_share")

@@ -127,3 +127,40 @@ def test_temporal_remainder_stays(spark, panel):
     assert tail.where("b <> own").count() == 0 and tail.count() == 18
     moved = out.where("t < 35").join(panel.select("unit", "t", F.col("b").alias("own")), ["unit", "t"])
     assert moved.where("b <> own").count() > 0
+
+
+def test_replicated_rows_are_dealt_by_their_number(spark, monkeypatch):
+    """A few rows that become many are dealt to as many tasks as the rows they become need, and are not put together again."""
+    from tallyfloor.operators import resample, settle, summaries
+
+    monkeypatch.setattr(settle, "TASK_ROWS", 500)
+    counts = spark.createDataFrame([(u, z, b, y, k, 1 + (u * z + y) % 3) for u in range(5) for z in range(2) for b in range(2) for y in range(3) for k in range(4)],
+                                   "unit int, z int, b int, y int, block int, n long")
+    seen = []
+    spread = settle.spread
+
+    def watched(df, rows, *keys):
+        out = spread(df, rows, *keys)
+        seen.append((rows, out.rdd.getNumPartitions()))
+        return out
+
+    for module in (resample, summaries, nulls):
+        monkeypatch.setattr(module, "spread", watched)
+    weights = resample.block_weights(spark, 4, 30, "t")
+    m = weights.groupBy("block").count().toPandas().set_index("block")["count"]
+    want = 2 * sum(int(m.get(k, 0)) for k in range(4)) * 60
+    out = resample.bootstrap_information(counts, weights, ["z"], "b", "y", ["unit"], 120).toPandas()
+    assert seen == [(want, -(-want // 500))] and len(out) == 150
+    seen.clear()
+    units = spark.createDataFrame([(i, i % 7, i % 5) for i in range(40)], "unit int, x int, y int")
+    assert summaries.spearman_bootstrap(units, "unit", "x", "y", 60, "t").count() == 60
+    assert seen == [(2400, 5), (2400, 5)]
+    seen.clear()
+    series = spark.createDataFrame([(u, [{"zl": p % 2, "b": p % 3, "y": p % 4} for p in range(20)], 20) for u in range(6)],
+                                   "unit int, s array<struct<zl:int,b:int,y:int>>, t int")
+    rows = nulls.surrogate_rows(series, 10)
+    dealt = nulls.temporal_blocks(series, "unit", 10, 7, "t", ["unit"], ["zl"], rows)
+    once = nulls.temporal_blocks(series, "unit", 10, 7, "t", ["unit"], ["zl"])
+    assert rows == 1200 and seen[0] == (1200, 3) and sorted(dealt.collect()) == sorted(once.collect())
+    a, b = (nulls.series_permutation(series, "unit", 10, "t", ["unit"], ["zl"], rows=r) for r in (rows, None))
+    assert seen[-1] == (1200, 3) and sorted(a.collect()) == sorted(b.collect())
