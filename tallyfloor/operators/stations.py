@@ -5,12 +5,21 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from tallyfloor.functions.geo import haversine
+from tallyfloor.operators import ordering
 from tallyfloor.operators.ordering import cumulative_counts, quantiles
+from tallyfloor.operators.settle import TASK_ROWS
+
+_BUCKETS = 65_536  # hash classes whose sizes bound those of the stations in them
 
 
 def prepass(obs: DataFrame, keys: list[str], lat: str = "latitude", lon: str = "longitude") -> DataFrame:
-    """Median place and count per station. Both coordinates go through one tally, and medians
-    of large stations come from ranges of values, never from one task per station."""
+    """Median place and count per station. Sizes of hash classes of stations, one narrow pass, bound the size of any station. If no
+    station can be large, rows move once and each station orders its own; else both coordinates go
+    through one tally and medians come from ranges of values, never from one task per station."""
+    classes = obs.select(F.pmod(F.xxhash64(*keys), F.lit(_BUCKETS)).alias("__c")).groupBy("__c").agg(F.count("*").alias("__n"))
+    most, rows = classes.agg(F.max("__n"), F.sum("__n")).first()
+    if (most or 0) <= ordering.SMALL:
+        return _medians_of_small(obs, keys, lat, lon, rows or 0)
     both = F.array(*[F.struct(F.lit(i).alias("axis"), F.col(c).cast("double").alias("v")) for i, c in enumerate((lat, lon))])
     long = obs.select(*keys, F.explode(both).alias("e")).select(*keys, "e.axis", "e.v")
     q = quantiles(long, "v", {"m": 0.5}, [*keys, "axis"], rows="rows")
@@ -18,6 +27,26 @@ def prepass(obs: DataFrame, keys: list[str], lat: str = "latitude", lon: str = "
     return q.groupBy(*keys).agg(pick(0, "rows").alias("observations"), pick(0, "m").alias(lat), pick(1, "m").alias(lon))
 
 
+def _medians_of_small(obs: DataFrame, keys: list[str], lat: str, lon: str, rows: int) -> DataFrame:
+    """Both medians from the two middle rows of each order, all inside one partitioning."""
+    x, y = F.col("__x"), F.col("__y")
+    held = obs.select(*keys, F.col(lat).cast("double").alias("__x"), F.col(lon).cast("double").alias("__y"))
+    held = held.where(x.isNotNull() | y.isNotNull())
+    held = held.repartition(max(held.sparkSession.sparkContext.defaultParallelism, -(-rows // TASK_ROWS)), *keys)
+    for c, tag in ((x, "x"), (y, "y")):
+        order = W.partitionBy(*keys).orderBy(c.asc_nulls_last())
+        whole = order.rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
+        held = held.withColumns({f"__i{tag}": F.row_number().over(order), f"__n{tag}": F.count(c).over(whole)})
+
+    def middle(c: Column, tag: str) -> Column:
+        at, n = F.col(f"__i{tag}"), F.col(f"__n{tag}")
+        inner = F.when((2 * at >= n) & (2 * at <= n + 2) & c.isNotNull(), c)  # one row, or two if n is even
+        return F.min(inner) * 0.5 + F.max(inner) * 0.5
+
+    return held.groupBy(*keys).agg(
+        F.nullif(F.count(x), F.lit(0)).alias("observations"), middle(x, "x").alias(lat), middle(y, "y").alias(lon))
+
+
 def weighted_median(df: DataFrame, value: str, weight: str, keys: list[str]) -> DataFrame:
     """First value whose cumulative weight reaches half of the total."""
     c = cumulative_counts(df, value, keys, weight)
