@@ -52,7 +52,7 @@ def _(spark, sf):
 
 @register("b04_norm_names", "SELECT doc_id, NULLIF(TRIM(regexp_replace(translate(translate(lower(nfc_normalize(t)), '‘’“”–—', '''''\"\"--'), chr(160), ' '), '\\s+', ' ', 'g')), '') AS name FROM (SELECT doc_id, regexp_replace(text, '[^a-zA-Z ‘’“”–—]', '', 'g') AS t FROM documents)")
 def _(spark, sf):
-    d = read(spark, sf, "documents").select("doc_id", F.regexp_replace("text", "[^a-zA-Z ‘’“”–—]", "").alias("t"))
+    d = read(spark, sf, "documents").select("doc_id", F.regexp_replace("text", "[^a-zA-Z ‘’“”–—]+", "").alias("t"))
     return cl.norm_names(d, "t", "name").select("doc_id", "name")
 
 

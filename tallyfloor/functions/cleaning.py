@@ -59,7 +59,8 @@ def plain_name(c: Column) -> Column:
 
 def norm_names(df: DataFrame, column: str, out: str) -> DataFrame:
     """Add the compatibility-folded name. Unicode folding has no built-in, so only rows
-    that hold a non-ASCII character go through Arrow; the rest stay in the JVM."""
+    that hold a non-ASCII character are folded in Python, to which the others go as null. The
+    rows are read once, whatever they are derived from."""
 
     def fold(batches):
         for s in batches:
@@ -71,9 +72,10 @@ def norm_names(df: DataFrame, column: str, out: str) -> DataFrame:
 
     fold.__annotations__ = {"batches": Iterator[pd.Series], "return": Iterator[pd.Series]}
     folded = F.pandas_udf(fold, T.StringType())
-    odd = F.coalesce(F.col(column).rlike(r"[^\x00-\x7F]"), F.lit(False))
-    plain = df.where(~odd).withColumn(out, plain_name(F.col(column)))
-    return plain.unionByName(df.where(odd).withColumn(out, plain_name(folded(F.col(column)))))
+    # A text is ASCII if it has as many bytes as characters.
+    odd = F.when(F.octet_length(column) > F.length(column), F.col(column))
+    both = df.withColumn("__folded", folded(odd))
+    return both.withColumn(out, plain_name(F.coalesce("__folded", F.col(column)))).drop("__folded")
 
 
 def station_id(c: Column) -> Column:

@@ -164,3 +164,40 @@ def test_replicated_rows_are_dealt_by_their_number(spark, monkeypatch):
     assert rows == 1200 and seen[0] == (1200, 3) and sorted(dealt.collect()) == sorted(once.collect())
     a, b = (nulls.series_permutation(series, "unit", 10, "t", ["unit"], ["zl"], rows=r) for r in (rows, None))
     assert seen[-1] == (1200, 3) and sorted(a.collect()) == sorted(b.collect())
+
+
+@pytest.mark.parametrize("small", [0, None])
+def test_station_medians(spark, monkeypatch, small):
+    """Both ways give the medians; small stations move once and nothing is tallied or written before."""
+    from tallyfloor.operators import stations
+
+    if small is not None:
+        monkeypatch.setattr(ordering, "SMALL", small)
+    rng = random.Random(9)
+    rows = [(rng.choice("abc"), rng.randrange(40), rng.choice([None, round(rng.gauss(0, 3), 1)]), rng.choice([None, round(rng.gauss(0, 9), 2), float(rng.randrange(3))])) for _ in range(700)]
+    rows += [("d", 1, None, None), ("d", 2, None, 4.0), ("d", 2, None, 1.0)]
+    out = stations.prepass(spark.createDataFrame(rows, "city string, k int, latitude double, longitude double"), ["city", "k"])
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert small == 0 or plan.count("Exchange hashpartitioning") == 1
+    got = {(r["city"], r["k"]): (r["observations"], r["latitude"], r["longitude"]) for r in out.collect()}
+    want = {}
+    for c, k, a, b in rows:
+        if a is not None or b is not None:
+            e = want.setdefault((c, k), ([], []))
+            e[0].extend([a] * (a is not None))
+            e[1].extend([b] * (b is not None))
+    assert set(got) == set(want)
+    for key, (a, b) in want.items():
+        n, la, lo = got[key]
+        assert n == (len(a) or None)
+        assert la == (pytest.approx(float(np.median(a))) if a else None) and lo == (pytest.approx(float(np.median(b))) if b else None)
+
+
+def test_names_are_read_once(spark):
+    """Rows with and without non-ASCII letters come from one reading of their source."""
+    from tallyfloor.functions import cleaning
+
+    d = spark.createDataFrame([(1, "Ab  C"), (2, "Straße"), (3, "ﬁn “X”"), (4, ""), (5, None), (6, "café ")], "id int, t string")
+    out = cleaning.norm_names(d, "t", "n")
+    assert "Union" not in out._jdf.queryExecution().optimizedPlan().toString() and out.columns == ["id", "t", "n"]
+    assert {r["id"]: r["n"] for r in out.collect()} == {1: "ab c", 2: "strasse", 3: 'fin "x"', 4: None, 5: None, 6: "café"}
