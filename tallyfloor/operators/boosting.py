@@ -21,6 +21,7 @@ TASK_CELLS = 200_000
 #: Rows (in hessian weight) that a level needs in a node to be ordered; what has less stays on the right side. Also smooths the order.
 SUPPORT = 10.0
 LEAST_HESSIAN = 1e-3
+LONG = 100_000  # levels of a feature from which its codes are not broadcast
 
 
 @dataclass(frozen=True)
@@ -35,14 +36,16 @@ def code_tables(cell: DataFrame, features: Sequence[str]) -> dict[str, DataFrame
     out = {}
     for f in features:
         levels = settle(cell.groupBy(f).agg((F.sum("cell_sum") / F.sum("cell_n")).alias("mean")))
-        if levels.count() <= CODES:
+        many = levels.count()
+        if many <= CODES:
             names = [r[0] for r in levels.select(f).orderBy(f).collect()]  # CODES levels at most
             code = F.coalesce(*[F.when(F.col(f).eqNullSafe(F.lit(v)), F.lit(k)) for k, v in enumerate(names)]) if names else F.lit(0)
         else:
             cuts = levels.select(F.percentile_approx("mean", [k / CODES for k in range(1, CODES)], 100_000)).first()[0]
             cuts = sorted(set(cuts))
             code = F.size(F.filter(F.array(*[F.lit(c) for c in cuts]), lambda c: c < F.col("mean")))
-        out[f] = settle(levels.select(f, code.cast("int").alias(f"c_{f}")))
+        table = settle(levels.select(f, code.cast("int").alias(f"c_{f}")))
+        out[f] = table if many <= LONG else table.hint("merge")  # a long table would be broadcast by its file size
     return out
 
 

@@ -24,13 +24,14 @@ def cells(df: DataFrame, features: Sequence[str], y: str, keys: Sequence[str] =
 def state_mean(train: DataFrame, rows: DataFrame, unit: str, states: Sequence[str], smoothing, out: str = "prediction",
                keys: Sequence[str] = ()) -> DataFrame:
     """Smoothed mean of a state; an unseen state takes its unit's mean, an unseen unit the
-    overall mean. ``train`` is a cell table; ``smoothing`` a number or a column of ``rows``."""
+    overall mean. ``train`` is a cell table; ``smoothing`` a number or a column of ``rows``. Cells and units may be many
+    and pack into small files, so their tables are never broadcast."""
     keys, full = list(keys), [*keys, unit, *states]
     k = smoothing if isinstance(smoothing, Column) else F.lit(float(smoothing))
     cell = train.groupBy(*full).agg(F.sum("cell_n").alias("__n"), F.sum("cell_sum").alias("__s"))
     units = cell.groupBy(*keys, unit).agg((F.sum("__s") / F.sum("__n")).alias("__unit"))
     total = cell.groupBy(*keys).agg((F.sum("__s") / F.sum("__n")).alias("__all"))
-    j = rows.join(cell, full, "left").join(units, [*keys, unit], "left")
+    j = rows.join(cell.hint("merge"), full, "left").join(units.hint("merge"), [*keys, unit], "left")
     j = j.join(total, keys, "left") if keys else j.withColumn("__all", total.scalar())
     prior = F.coalesce("__unit", "__all")
     mean = (F.col("__s") + k * prior) / (F.col("__n") + k)
@@ -76,6 +77,12 @@ SMALL_LEVELS = 100_000  # levels of a feature, times settings, whose coefficient
 CLIP = 20.0  # bound of the linear predictor of NB2 models
 
 
+def _sized(table: DataFrame, rows: int) -> DataFrame:
+    """A coefficient table for a join: broadcast if it is small, else never. Without a hint the planner would go by
+    file sizes, and long tables of like numbers pack well enough to be put together in the driver at every step."""
+    return F.broadcast(table) if rows <= SMALL_LEVELS else table.hint("merge")
+
+
 class LogLinear:
     """A fitted model: the intercept and one table of coefficients per feature."""
 
@@ -88,7 +95,7 @@ class LogLinear:
         allows; a level unseen in training adds nothing."""
         for f in self.features:
             t = self.tables[f]
-            rows = rows.join(F.broadcast(t) if self.sizes[f] <= SMALL_LEVELS else t, f, how)
+            rows = rows.join(_sized(t, self.sizes[f]), f, how)
         eta = sum((F.coalesce(F.col(f"b_{f}"), F.lit(0.0)) for f in self.features), F.lit(self.intercept))
         return rows.withColumn("eta", eta if self.clip is None else F.greatest(F.least(eta, F.lit(self.clip)), F.lit(-self.clip)))
 
@@ -145,7 +152,7 @@ def fit_log_linear_grid(cell: DataFrame, features: Sequence[str], settings: Sequ
             rows = cell.withColumn("setting", F.explode(F.array(*[F.lit(k) for k in active])))
             for other in features:
                 t = tables[other]
-                rows = rows.join(F.broadcast(t) if sizes[other] <= SMALL_LEVELS else t, [other, "setting"])
+                rows = rows.join(_sized(t, sizes[other]), [other, "setting"])
             eta = sum((F.col(f"b_{o}") for o in features), by_setting(lambda k: intercepts[k]))
             clipped = F.when(r.isNull(), eta).otherwise(F.greatest(F.least(eta, F.lit(CLIP)), F.lit(-CLIP)))
             rows = rows.withColumns({

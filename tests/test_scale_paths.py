@@ -201,3 +201,20 @@ def test_names_are_read_once(spark):
     out = cleaning.norm_names(d, "t", "n")
     assert "Union" not in out._jdf.queryExecution().optimizedPlan().toString() and out.columns == ["id", "t", "n"]
     assert {r["id"]: r["n"] for r in out.collect()} == {1: "ab c", 2: "strasse", 3: 'fin "x"', 4: None, 5: None, 6: "café"}
+
+
+def test_long_model_tables_stay_out_of_the_driver(spark, monkeypatch):
+    """Coefficients, codes and cells of many units are joined by shuffles, however small their files are."""
+    from tallyfloor.operators import boosting, forecast
+
+    monkeypatch.setattr(forecast, "SMALL_LEVELS", 0)
+    monkeypatch.setattr(boosting, "LONG", 0)
+    rows = spark.createDataFrame([(u, z, 1 + (u + z * k) % 3) for u in range(12) for z in range(3) for k in range(4)], "unit int, zl int, y int")
+    cell = forecast.settle(forecast.cells(rows, ["unit", "zl"], "y"))
+    model = forecast.LogLinear(["unit"], 0.5, {"unit": forecast.settle(cell.select("unit").distinct().selectExpr("unit", "unit / 10D AS b_unit"))}, {"unit": 12})
+    codes = boosting.code_tables(cell, ["unit"])
+    for out in (model.predict(rows), forecast.state_mean(cell, rows, "unit", ["zl"], 5.0), boosting.encode(rows, codes)):
+        plan = out._jdf.queryExecution().executedPlan().toString()
+        assert "SortMergeJoin" in plan and "BroadcastHashJoin" not in plan
+        assert out.count() == 144
+    assert model.predict(rows).where("unit = 7").first()["prediction"] == pytest.approx(np.exp(1.2))
