@@ -24,6 +24,10 @@ TOGETHER = 1 << 16
 FEW = 16
 #: Pivots of a larger band in the first round, and how many times as many each further one has.
 FIRST, GROWTH = 1, 16
+#: Hashes that more than one of so many members of a crowd have are not told apart from those of its lead.
+COMMON = 8
+#: Members outside a band's largest component that are all pivots, once the band is divided.
+STRANGERS = 256
 
 _A, _B, _C = (np.uint64(v) for v in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB))  # fixed values: constants of the SplitMix64 finaliser
 _FULL = np.uint64(0xFFFFFFFFFFFFFFFF)
@@ -252,40 +256,99 @@ def _best_of_each(pairs: DataFrame) -> DataFrame:
     return own.groupBy("node").agg(F.max(F.struct("agree", "a", "b")).alias("top")).select("top.a", "top.b").distinct()
 
 
+def _divided(docs: DataFrame, crowd: DataFrame, nodes: DataFrame, width: int, least: int) -> DataFrame:
+    """band, node, n, at, degree: narrower bands for the members of crowded ones (band, node, n, degree, lead, lowest: a node for each band, and its smallest set).
+
+    A set's hashes are put in an order that is the same for all members of a band: first those that the lead lacks, then the lead's and those that more than 1 / ``COMMON``
+    of its members have. Two sets that are near share one of their first few hashes, as what is left after those is less than they must have in common. These hashes are the
+    new bands; ``at`` is how many hashes stand before it. Edited copies of the lead's text so meet by their edits, not by what all copies have. Any lead gives right bands."""
+
+    def lacking(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for lead, own, other in zip(*(b.column(c) for c in ("lead", "own", "own_lead"))):
+                x, p = (np.frombuffer(v.as_buffer(), np.uint64) for v in (own, other))
+                rest = x[~np.isin(x, p, assume_unique=True)]
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(rest), lead.as_py(), np.int64)), pa.array(rest.view(np.int64))], names=["lead", "hash"])
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for node, n, degree, lead, lowest, own, other, more in zip(*(b.column(c) for c in ("node", "n", "degree", "lead", "lowest", "own", "own_lead", "more"))):
+                x, p = (np.frombuffer(v.as_buffer(), np.uint64) for v in (own, other))
+                if more.is_valid:
+                    p = np.concatenate([p, np.array(more.as_py(), np.int64).view(np.uint64)])
+                shared = np.isin(x, p)
+                size = len(x)
+                smallest = max(lowest.as_py(), -(-least * size // 100))
+                first = np.concatenate([x[~shared], x[shared]])[: size + least * (size + smallest) // -(100 + least) + 1]
+                band = mix(first * _A + mix(np.array([lead.as_py()], np.int64).view(np.uint64)))
+                same = lambda v, k=len(first): pa.array(np.full(k, v.as_py(), np.int64))
+                yield pa.RecordBatch.from_arrays([pa.array(band.view(np.int64)), same(node), same(n), pa.array(np.arange(len(first))), same(degree)], names=["band", "node", "n", "at", "degree"])
+
+    led = settle(crowd.groupBy("node", "lead").agg(F.first("n").alias("n"), F.first("degree").alias("degree"), F.min("lowest").alias("lowest")))
+    wanted = led.select("node").union(led.select("lead")).distinct()
+    sets = settle(_full_sets(docs, settle(nodes.join(wanted, "node").select("node", "seen", "digest")), width))
+    both = led.join(sets, "node").join(sets.select(F.col("node").alias("lead"), F.col("own").alias("own_lead")), "lead")
+    met = led.groupBy("lead").agg(F.count(F.lit(1)).alias("met"))
+    often = both.select("lead", "own", "own_lead").mapInArrow(lacking, "lead long, hash long").groupBy("lead", "hash").agg(F.count(F.lit(1)).alias("c"))
+    common = settle(often.join(met, "lead").where(F.col("c") * COMMON > F.col("met")).groupBy("lead").agg(F.collect_list("hash").alias("more")))  # less than COMMON sets' hashes for each lead
+    return both.join(common, "lead", "left").select("node", "n", "degree", "lead", "lowest", "own", "own_lead", "more").mapInArrow(run, "band long, node long, n long, at long, degree long")
+
+
 def _components(docs: DataFrame, nodes: DataFrame, width: int, least: int) -> DataFrame | None:
     """node, root for the nodes (distinct sets) that links join; None without any link.
 
     Nodes meet in the bands that their signatures share. Within a band a few members, the pivots, are compared with all others that are not
     yet known to be in their component, and leave the band: they are done with it. A band ends when all that are left in it are in one component; else the next round takes
     ``GROWTH`` times as many pivots. So every two members of a band are compared or known to be connected, while a crowd of copies of one text, which links to
-    its first pivots, costs a number of pairs in proportion to its size. Of the pairs whose signatures agree, each node's best is verified first; pairs that become
+    its first pivots, costs a number of pairs in proportion to its size. The first pivot is the member with most others in its bands, so that the
+    bands of a crowd have the same one. What is then left of crowded bands is divided (:func:`_divided`; a band's lead is the most connected pivot in all bands of its own pivot), and there the members outside of a band's largest component are pivots; copies that are
+    too far from all others of a crowd so meet few of them. Of the pairs whose signatures agree, each node's best is verified first; pairs that become
     connected by that need no verification."""
-    members = nodes.select("node", "n", F.explode("bands").alias("band"))
+    members = nodes.select("node", "n", F.lit(0).cast("long").alias("at"), F.explode("bands").alias("band"))
     shared = members.groupBy("band").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
-    members = settle(members.join(shared.hint("merge"), "band").withColumn("turn", F.xxhash64("band", "node")))
-    graph, most, tested = _Graph(docs, nodes, width, least), FIRST, None
-    sizes = (F.col("n") * 100 >= F.col("p_n") * least) & (F.col("p_n") * 100 >= F.col("n") * least)
+    members = settle(members.join(shared.hint("merge"), "band"))
+    degrees = members.groupBy("node").agg(F.sum("size").alias("degree"))
+    members = settle(members.join(degrees, "node").select("band", "node", "n", "at", "degree", F.lit(None).cast("long").alias("lead")))
+    graph, most, tested, parted = _Graph(docs, nodes, width, least), FIRST, None, False
+    # what two sets have in common at most, against what they must have
+    sizes = F.least(F.col("n") - F.col("at"), F.col("p_n") - F.col("p_at")) * (100 + least) >= (F.col("n") + F.col("p_n")) * least
     while True:
         if graph.labels is None:
             named = members.withColumn("root", F.col("node"))
         else:
             named = settle(members.join(graph.labels, "node", "left").withColumn("root", F.coalesce("root", "node")))
-        alive = settle(named.groupBy("band").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count(F.lit(1)).alias("left"), F.min("turn").alias("first")).where("low <> high"))
+        alive = settle(named.groupBy("band").agg(
+            F.min("root").alias("low"), F.max("root").alias("high"), F.count(F.lit(1)).alias("left"), F.min("n").alias("lowest"),
+            F.max(F.struct("degree", F.xxhash64("node").alias("turn"), "node")).alias("top")).where("low <> high"))
         if alive.limit(1).count() == 0:
             return None if graph.links is None else connected(graph.links, "node", "root")
-        live = settle(named.join(alive.select("band", "left", "first"), "band"))
-        # the first in turn, and each other one with a chance of most / left
-        share = F.pmod(F.col("turn"), F.lit(1 << 40)).cast("double") * F.col("left") < float((most - 1) * (1 << 40))
-        chosen = (F.col("left") <= FEW) | (F.col("turn") == F.col("first")) | share
-        pivots = live.where(chosen).select("band", F.col("node").alias("p"), F.col("root").alias("p_root"), F.col("n").alias("p_n"))
-        met = live.select("band", "node", "root", "n").join(pivots, "band").where((F.col("root") != F.col("p_root")) & sizes)
+        live = settle(named.join(alive.select("band", "left", "lowest", "top", F.col("top.node").alias("first")), "band"))
+        crowd = live.where((F.col("left") > FEW) & F.col("lead").isNotNull())
+        if not parted and crowd.limit(1).count():
+            own = lambda df: df.select("band", "node", "n", "at", "degree", F.lit(None).cast("long").alias("lead"))
+            members, parted, most = settle(own(_divided(docs, crowd, nodes, width, least)).unionByName(own(live.where(F.col("left") <= FEW)))), True, FIRST
+            continue
+        # the first, and each other one with a chance of most / left
+        share = F.pmod(F.xxhash64("node"), F.lit(1 << 40)).cast("double") * F.col("left") < float((most - 1) * (1 << 40))
+        chosen = (F.col("left") <= FEW) | (F.col("node") == F.col("first")) | share
+        if parted:
+            kin = live.groupBy("band", "root").agg(F.count(F.lit(1)).alias("kin")).groupBy("band").agg(F.max(F.struct("kin", "root")).alias("main"))
+            live = settle(live.join(kin, "band").withColumn("strange", (F.col("root") != F.col("main.root")) & (F.col("left") - F.col("main.kin") <= STRANGERS)).drop("main"))
+            chosen = chosen | F.col("strange")
+        pivots = live.where(chosen).select("band", F.col("node").alias("p"), F.col("root").alias("p_root"), F.col("n").alias("p_n"), F.col("at").alias("p_at"))
+        met = live.select("band", "node", "root", "n", "at").join(pivots, "band").where((F.col("root") != F.col("p_root")) & sizes)
         pairs = met.select(F.least("node", "p").alias("a"), F.greatest("node", "p").alias("b")).distinct()
         agreeing = _agreeing(_both_sides(pairs, nodes, "sig"))
         agreeing = settle(agreeing if tested is None else agreeing.join(tested, ["a", "b"], "left_anti"))
         if agreeing.limit(1).count():
             graph.verify(agreeing)
             tested = agreeing.select("a", "b") if tested is None else tested.unionByName(agreeing.select("a", "b"))
-        members = settle(live.where(~chosen).select("band", "node", "n", "size", "turn"))
+        members = live.where(~chosen)
+        if parted:
+            members = settle(members.select("band", "node", "n", "at", "degree", F.lit(None).cast("long").alias("lead")))
+        else:
+            leads = live.groupBy(F.col("node").alias("first")).agg(F.max("top")["node"].alias("lead"))
+            members = settle(alive.select("band", F.col("top.node").alias("first")).join(leads, "first").select("band", "lead").join(members.drop("lead"), "band").select("band", "node", "n", "at", "degree", "lead"))
         most *= GROWTH
 
 

@@ -142,3 +142,20 @@ def test_agreement_estimates_similarity():
         errors.append((a == b).mean() - 0.8)
     assert abs(np.mean(errors)) < 0.01 and np.std(errors) < 0.0316  # no more spread than independent hashes have
     assert min(errors) * smh.POSITIONS + 0.8 * smh.POSITIONS >= smh.AGREE
+
+
+def test_far_copies_of_a_crowd_meet_few_others(spark, monkeypatch):
+    """Edited copies of one text, most of them near it and many just too far from all others: pairs grow with the rows, not with their square."""
+    rnd = random.Random(12)
+    word = lambda: "".join(rnd.choice("abcdefghijklmnop") for _ in range(7))
+    base = [word() for _ in range(120)]
+    rows = [(0, " ".join(base))]
+    for i in range(1, 500):
+        copy = list(base)
+        for k in rnd.sample(range(0, 120, 3), rnd.choice([2, 3, 4, 9])):  # each takes two pairs out and puts two in; nine are too far from the base
+            copy[k] = word()
+        rows.append((i, " ".join(copy)))
+    seen, agreeing = [], smh._agreeing
+    monkeypatch.setattr(smh, "_agreeing", lambda pairs: seen.append(pairs.count()) or agreeing(pairs))
+    same(spark.createDataFrame(rows, "doc_id long, text string").repartition(4), rows)
+    assert sum(seen) < 20 * len(rows), seen
