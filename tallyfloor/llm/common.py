@@ -15,6 +15,8 @@ from tallyfloor.operators.settle import scratch, settle  # noqa: F401  (re-expor
 
 #: A key with more than this share of all rows is joined by broadcast; fewer than 1 / share keys can have that many.
 HEAVY_SHARE = 1 / 1000
+#: Bits that keys of rows to be taken out may mark, which bounds what is broadcast of them (2 MB of bits).
+CELLS = 1 << 24
 
 
 _HELD: dict[str, dict] = {}
@@ -53,6 +55,21 @@ def keyed_join(left: DataFrame, right: DataFrame, key: str, size: str, total: in
     return left.join(heavy, key).unionByName(rest.join(right.where(F.col(size) <= limit).hint("merge"), key))
 
 
+def without(rows: DataFrame, gone: DataFrame, key: str, cells: int = CELLS) -> DataFrame:
+    """Left anti-join of ``rows`` with ``gone`` (the one column ``key``, a written table), for wide rows of which few go.
+
+    Keys of ``gone`` mark one of ``cells`` bits by their hash, 64 in a word; the words (cells / 64 at most, whatever the input) are broadcast.
+    A row whose bit is not set stays where it is read. The others, that is rows that go and a few that share a bit with one, are
+    joined by their keys, so hardly more than what goes is shuffled."""
+    cell = F.xxhash64(key).bitwiseAND(F.lit(cells - 1).cast("long"))
+    word = F.shiftright(cell, 6)
+    bit = F.call_function("shiftleft", F.lit(1).cast("long"), cell.bitwiseAND(F.lit(63).cast("long")).cast("int"))
+    marks = F.broadcast(gone.select(word.alias("_word"), bit.alias("_bit")).groupBy("_word").agg(F.bit_or("_bit").alias("_bits")))
+    marked = rows.withColumns({"_word": word, "_bit": bit}).join(marks, "_word", "left").withColumn("_met", F.coalesce(F.col("_bits").bitwiseAND(F.col("_bit")) != 0, F.lit(False)))
+    stay = marked.where("NOT _met").select(*rows.columns)
+    return stay.unionByName(marked.where("_met").select(*rows.columns).join(gone, key, "left_anti").select(*rows.columns))
+
+
 def running_totals(df: DataFrame, order: list[str], value: str, out: str) -> DataFrame:
     """Adds ``out``: the sum of ``value`` (long) over all rows before this one in the order of ``order``.
 

@@ -7,7 +7,7 @@ import uuid
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from .common import keyed_join, normalised, scratch, settle
+from .common import keyed_join, normalised, scratch, settle, without
 
 
 class DigestIndex:
@@ -93,7 +93,8 @@ def deduplicate(docs: DataFrame, path: str | None = None, batches: int = 2, buck
     chosen = settle(decisions(docs, path, batches, buckets))
     repeats = chosen.groupBy("doc_id").count().where("count > 1 OR doc_id IS NULL").limit(1).count() > 0
     if not repeats:
-        return docs.join(chosen.where("NOT kept").select("doc_id"), "doc_id", "left_anti").select(*docs.columns)
+        gone = settle(chosen.where("NOT kept").select(F.col("doc_id").alias("_id")))
+        return without(docs.select(F.struct(*docs.columns).alias("row"), F.col("doc_id").cast("long").alias("_id")), gone, "_id").select("row.*")
     keys = chosen.where("kept").select(F.col("doc_id").alias("_id"), F.col("digest").alias("_digest"))
     seen = docs.withColumn("_d", F.unhex(F.sha2(normalised(F.col("text")).cast("binary"), 256)))
     same = (seen["_d"] == keys["_digest"]) & seen["doc_id"].cast("long").eqNullSafe(keys["_id"])

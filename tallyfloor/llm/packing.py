@@ -105,16 +105,14 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int, length: int = 4096, windo
     totals = {r["queue"]: r["n"] for r in sums.groupBy("queue").agg(F.sum("n").alias("n")).orderBy("queue").collect()}  # at most ``queues`` rows
     names = list(totals)
     weight = [max(1, (shares or {}).get(q.removeprefix("="), totals[q])) for q in names]
-    wide = max(1, encoder(tokenizer).dtype.itemsize)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         mix, number = Mixture(list(totals.values()), weight, window * length), {q: i for i, q in enumerate(names)}
-        kind = np.dtype(f"<u{wide}")
         for b in batches:
             rows: list[tuple] = []
             size = 0
             for doc, source, queue, at, n, ids in zip(*(c.to_pylist() for c in b.columns)):
-                full = np.frombuffer(ids, kind).astype("<u4").tobytes()
+                full = np.frombuffer(ids, f"<u{len(ids) // n}").astype("<u4").tobytes()  # n is 1 at least: the end id
                 for start, take, place in mix.pieces(number[queue], at, n, length):
                     rows.append((doc, source, start, n, place // length, place % length, full[4 * start : 4 * (start + take)]))
                 size += len(full)

@@ -9,7 +9,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .common import keyed_join, settle
+from .common import keyed_join, settle, without
 from .components import connected
 
 BITS = 64
@@ -17,6 +17,8 @@ BITS = 64
 BLOCK = 1 << 16
 #: Fingerprints that estimate costs of a plan. The plan decides how pairs are found, never which.
 SAMPLE = 4096
+#: Fingerprints of the sample that are compared with all of it at a time.
+PAIRED = 128
 #: Fingerprints that probe one signature before its members are probed on all bits instead.
 BUCKET = 16
 
@@ -80,9 +82,11 @@ def pair_share(bits: np.ndarray, group: list[int], radius: int) -> float:
     n = len(part)
     if n < 2:
         return 0.0
-    ones = part.sum(1)
-    distance = ones[:, None] + ones[None, :] - 2 * (part @ part.T)
-    seen = (float((distance <= radius + 0.5).sum()) - n) / (n * (n - 1))
+    ones, near = part.sum(1), 0
+    for at in range(0, n, PAIRED):  # the driver never holds all pairs
+        own = slice(at, at + PAIRED)
+        near += int((ones[own, None] + ones[None, :] - 2 * (part[own] @ part.T) <= radius + 0.5).sum())
+    seen = (float(near) - n) / (n * (n - 1))
     law = np.zeros(radius + 1)
     law[0] = 1.0
     for q in part.mean(0):
@@ -197,8 +201,8 @@ def deduplicate(docs: DataFrame) -> DataFrame:
     id, the first in the order of reading. Rows are told apart by a tag, so ids may be null or repeated."""
     tagged = settle(docs.select(F.monotonically_increasing_id().alias("tag"), F.struct(*docs.columns).alias("row")))
     found = _labelled(tagged.select("tag", "row.doc_id", "row.text"), 2, BUCKET)
-    gone = settle(found.where(F.col("tag") != F.col("low.tag")).select("tag"))  # its written size tells the planner how to join it
-    return tagged.join(gone, "tag", "left_anti").select("row.*")
+    gone = settle(found.where(F.col("tag") != F.col("low.tag")).select("tag"))
+    return without(tagged, gone, "tag").select("row.*")
 
 
 def query(spark, docs: DataFrame) -> DataFrame:

@@ -2,13 +2,15 @@
 
 import collections
 import hashlib
+import tracemalloc
 
+import numpy as np
 import pytest
 import xxhash
 from pyspark.sql import functions as F
 
 from tallyfloor.llm import digest_index, simhash
-from tallyfloor.llm.common import scratch
+from tallyfloor.llm.common import scratch, without
 from tallyfloor.llm.components import connected
 
 
@@ -192,3 +194,35 @@ def test_near_keeps_clean_rows_without_own_ids(spark):
     rows = [(None, texts[0]), (None, texts[1]), (7, texts[2]), (7, texts[3]), (None, texts[3])]
     kept = simhash.deduplicate(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     assert sorted((r["doc_id"] or 0, r["text"]) for r in kept) == sorted([(0, texts[0]), (0, texts[1]), (7, texts[2]), (7, texts[3])])
+
+
+@pytest.mark.parametrize("cells", [64, 1 << 24])
+def test_few_rows_taken_out(spark, cells):
+    """Rows go by their keys, however many share a bit; null keys stay."""
+    rows = spark.range(2000).select(F.when(F.col("id") % 50 > 0, F.col("id")).alias("k"), F.col("id").alias("v"))
+    gone = spark.range(0, 2000, 7).select(F.col("id").alias("k"))
+    assert sorted(r["v"] for r in without(rows, gone, "k", cells).collect()) == [i for i in range(2000) if i % 50 == 0 or i % 7]
+    assert without(rows, gone.limit(0), "k", cells).count() == 2000
+
+
+def test_texts_that_stay_are_not_shuffled(spark, documents):
+    """Also where the ids that go are too many to be broadcast, only rows that may go meet them in a shuffle."""
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        out = digest_index.deduplicate(documents)
+        assert 0 < out.count() < documents.count()
+        plan = out._jdf.queryExecution().sparkPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert plan.index("Union") < plan.index("BroadcastHashJoin") < plan.index("SortMergeJoin") and plan.count("LeftAnti") == 1
+
+
+def test_plan_does_not_hold_all_pairs_of_its_sample():
+    bits = np.random.default_rng(1).integers(0, 2, (simhash.SAMPLE, simhash.BITS)).astype(float)
+    tracemalloc.start()
+    try:
+        near = simhash.pair_share(bits, list(range(8)), 1)
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert peak < 32 << 20 and abs(near - 9 / 256) < 0.01

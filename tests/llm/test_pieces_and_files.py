@@ -2,6 +2,7 @@
 
 import collections
 import math
+import os
 import zlib
 
 import numpy as np
@@ -125,6 +126,22 @@ def test_packing_with_given_shares(spark, documents):
     assert first > 0.8 * 4 * 256
 
 
+def test_packing_loads_no_tokenizer_on_the_driver(spark, documents, monkeypatch):
+    driver = os.getpid()
+
+    def only_in_workers(path):
+        import os
+
+        from tallyfloor.llm.encoding import encoder
+
+        assert os.getpid() != driver
+        return encoder(path)
+
+    monkeypatch.setattr(packing, "encoder", only_in_workers)
+    rows = packing.query(spark, documents).collect()
+    assert len({r["doc_id"] for r in rows}) == documents.count()
+
+
 def test_packing_of_nothing(spark, nothing):
     assert packing.pack(nothing, WORDS, 2).count() == 0
 
