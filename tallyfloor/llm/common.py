@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import ctypes
+import functools
+import gc
 import tempfile
 import zipfile
 from collections.abc import Callable, Iterable, Iterator
@@ -25,8 +28,12 @@ _HELD: dict[str, dict] = {}
 def held(owner: str, key, make: Callable):
     """What a worker keeps between tasks: ``make()`` for a key of an operator, made once. Workers serve one operator after the other, so what
     another operator has left is released first, and of the same operator all but the last few keys."""
-    for other in [o for o in _HELD if o != owner]:
+    others = [o for o in _HELD if o != owner]
+    for other in others:
         del _HELD[other]
+    if others:
+        gc.collect()
+        relieve()
     own = _HELD.setdefault(owner, {})
     if key not in own:
         while len(own) >= 4:
@@ -35,6 +42,22 @@ def held(owner: str, key, make: Callable):
     return own[key]
 
 
+@functools.cache
+def _trim() -> Callable | None:
+    try:
+        return ctypes.CDLL(None).malloc_trim
+    except (OSError, AttributeError):
+        return None  # not glibc
+
+
+def relieve() -> None:
+    """Gives memory that a worker has freed back to the system. Workers live on from stage to stage, and the allocators of Arrow and C else keep
+    it for each of them, beside an executor's heap. It takes some milliseconds."""
+    pa.default_memory_pool().release_unused()
+    if trim := _trim():
+        trim(0)
+
+
 def read(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 

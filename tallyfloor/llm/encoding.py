@@ -36,8 +36,8 @@ class TextEncoder:
 
         self.model = Tokenizer.from_file(path)
         self.model.encode_special_tokens = True  # what is left to this one holds none of their strings
-        self.whole = Tokenizer.from_file(path)
-        self.special = [t.content.lower() for t in self.whole.get_added_tokens_decoder().values()]
+        self.path = path
+        self.special = [t.content.lower() for t in self.model.get_added_tokens_decoder().values()]
         self.size = self.model.get_vocab_size(with_added_tokens=True)
         self.dtype = np.dtype("<u2") if self.size <= 1 << 16 else np.dtype("<u4")
         self.max_words = max_words
@@ -154,6 +154,13 @@ class TextEncoder:
         except TypeError:
             return self._general(text)
 
+    @functools.cached_property
+    def whole(self):
+        """The library's tokenizer as the contract calls it, made when the first text with a special token's string comes."""
+        from tokenizers import Tokenizer
+
+        return Tokenizer.from_file(self.path)
+
     @functools.cached_property
     def feed(self) -> bytes:
         return self._direct(["\n"])[0]

@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
 from .arrays import open_array, write_array
-from .common import held, scratch, settle, without
+from .common import held, relieve, scratch, settle, without
 from .quality_rules import trusted_ids, words_of
 
 #: Trusted documents and words that the model is fitted on at most. They bound it at any size of the corpus.
@@ -200,6 +200,7 @@ def score(docs: DataFrame, fitted: Model, marked: bool = False) -> DataFrame:
                     [*(b.column(c).slice(at, stop - at) for c in carried), pa.array(sizes, pa.int64()), pa.array(total)],
                     names=[*carried, "n_tokens", "log10_prob"])
                 at = stop
+            relieve()
 
     narrow = docs.select(
         F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang"), *([mark().alias("mark")] if marked else []), F.col("text").cast("binary").alias("text"))

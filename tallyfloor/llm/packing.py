@@ -8,7 +8,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
-from .common import settle
+from .common import relieve, settle
 from .encoding import encoder
 
 #: Sources that have a queue of their own; with more, sources share queues by their hash.
@@ -42,6 +42,7 @@ def encode(docs: DataFrame, tokenizer: str, end_id: int, queues: int = MAX_QUEUE
                     own.column(0), own.column(2), own.column(3), pa.array(np.full(len(n), part, np.int32)), pa.array(before, pa.int64()),
                     pa.array(n, pa.int64()), pa.array(packed, pa.binary()),
                 ], names=["doc_id", "source", "queue", "part", "before", "n", "ids"])
+                relieve()
 
     source = F.col("source").cast("string")
     few = docs.select(source).distinct().limit(queues + 1).count() <= queues
