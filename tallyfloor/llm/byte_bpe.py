@@ -15,6 +15,9 @@ from .quality_rules import let
 CELLS = 1 << 14
 #: Words that make up more than 1 / FREQUENT of all are looked up in the row (fewer than FREQUENT can be that frequent).
 FREQUENT = 1 << 20
+#: In the fold's numbers ranks are shifted above any place in a word; the rank that stands for none.
+SHIFT = 31
+PLACES, NO_PAIR = 1 << SHIFT, (1 << 31) - 1
 
 
 @functools.cache
@@ -41,11 +44,11 @@ class Bpe:
     """Encoding and decoding expressions for a vocabulary of byte pieces with ranks.
 
     Bytes are written in hexadecimal, two characters each, so pieces are strings whose concatenation is that of their bytes. The
-    ranks are one literal, an array of maps, which an expression binds once."""
+    ranks (shifted, see ``SHIFT``) are one literal, an array of maps, which an expression binds once."""
 
     def __init__(self, path: str):
         ranks = _ranks(path)
-        self.literal = F.from_json(F.lit(_cells({k.hex().upper(): v for k, v in ranks.items()})), "array<map<string,int>>")
+        self.literal = F.from_json(F.lit(_cells({k.hex().upper(): v << SHIFT for k, v in ranks.items()})), "array<map<string,bigint>>")
         pieces = [""] * (max(ranks.values(), default=-1) + 1)
         for k, v in ranks.items():
             pieces[v] = k.hex().upper()
@@ -57,35 +60,31 @@ class Bpe:
 
     def _fold(self, rank, word: Column) -> Column:
         """Ids of one pre-token: from its single bytes, the adjacent pair of the lowest rank (the first of equal ones) is merged as long as
-        there is one. The state holds the pieces and the rank of each adjacent pair; a merge looks up only the two new pairs."""
-
-        def start(parts: Column) -> Column:
-            n = F.size(parts)
-            pairs = F.zip_with(F.slice(parts, 1, n - 1), F.slice(parts, 2, n - 1), lambda a, b: rank(F.concat(a, b)))
-            return F.struct(parts.alias("parts"), F.when(n > 1, pairs).otherwise(F.array().cast("array<int>")).alias("ranks"))
-
-        def merge(state: Column, at: Column) -> Column:
-            parts, ranks = state["parts"], state["ranks"]
-            rest = F.size(parts)
-
-            def put(new: Column) -> Column:
-                left = F.when(at > 1, F.array(rank(F.concat(F.get(parts, at - 2), new)))).otherwise(F.array().cast("array<int>"))
-                right = F.when(at + 1 < rest, F.array(rank(F.concat(new, F.get(parts, at + 1))))).otherwise(F.array().cast("array<int>"))
-                return F.struct(
-                    F.concat(F.slice(parts, F.lit(1), at - 1), F.array(new), F.slice(parts, at + 2, rest)).alias("parts"),
-                    F.concat(F.slice(ranks, F.lit(1), F.greatest(at - 2, F.lit(0))), left, right, F.slice(ranks, at + 2, rest)).alias("ranks"),
-                )
-
-            return let(F.concat(F.get(parts, at - 1), F.get(parts, at)), put)
-
-        def step(state: Column, _) -> Column:
-            least = F.array_min(state["ranks"])
-            return F.when(least.isNull(), state).otherwise(let(F.array_position(state["ranks"], least).cast("int"), lambda at: merge(state, at)))
-
-        spelled = F.hex(word.cast("binary"))
-        bytes_of = lambda h: F.transform(F.sequence(F.lit(1), F.length(h) - 1, F.lit(2)), lambda i: F.substr(h, i, F.lit(2)))
-        merged = let(let(spelled, bytes_of), lambda parts: F.aggregate(F.sequence(F.lit(1), F.size(parts)), start(parts), step)["parts"])
-        return F.when(F.length(word) > 0, F.transform(merged, lambda piece: rank(piece))).otherwise(F.array().cast("array<int>"))
+        there is one. The state is one array with a number for each piece, the shifted rank of its pair with the next one plus the place where it starts
+        among the hexadecimal digits, and one for the word's end. So its least number is the next pair to merge, which drops a number and renews two."""
+        start = lambda number: number.bitwiseAND(F.lit(PLACES - 1)).cast("int")
+        no_pair = F.lit(NO_PAIR * PLACES)
+
+        def merge_all(spelled: Column) -> Column:
+            n = F.length(spelled)
+            pair = lambda at, end: F.coalesce(rank(F.substr(spelled, at, end - at)), no_pair) + at
+
+            def merge(state: Column, at: Column, begin: Column) -> Column:
+                renewed = pair(begin, start(F.get(state, at + 3)))
+                before = lambda own: pair(own, start(F.get(state, at + 2)))
+                both = F.when(at > 0, F.array(let(start(F.get(state, at - 1)), before), renewed)).otherwise(F.array(renewed))
+                return F.flatten(F.array(F.slice(state, F.lit(1), F.greatest(at - 1, F.lit(0))), both, F.slice(state, at + 3, n)))
+
+            def step(state: Column, _) -> Column:
+                return let(F.array_min(state), lambda least: F.when(least >= no_pair, state).otherwise(
+                    let((F.array_position(state, least) - 1).cast("int"), lambda at: merge(state, at, start(least)))))
+
+            first = F.transform(F.sequence(F.lit(1), n + 1, F.lit(2)), lambda i: F.coalesce(F.when(i + 2 < n, rank(F.substr(spelled, i, F.lit(4)))), no_pair) + i)
+            merged = F.aggregate(F.sequence(F.lit(2), F.greatest(n / 2, F.lit(2)).cast("int")), first, step)
+            return let(merged, lambda m: F.transform(F.slice(m, F.lit(1), F.size(m) - 1), lambda x, i: F.shiftright(rank(
+                let(start(x), lambda at: F.substr(spelled, at, start(F.get(m, i + 1)) - at))), SHIFT).cast("int")))
+
+        return F.when(F.length(word) > 0, let(F.hex(word.cast("binary")), merge_all)).otherwise(F.array().cast("array<int>"))
 
     def decode(self, ids: Column) -> Column:
         """The bytes that ids stand for: their pieces in a row."""
