@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F, ty
 
 from tallyfloor.operators.audit import retained_and_excluded
 from tallyfloor.operators.settle import settle
+from tallyfloor.sources.digests import file_sha256
 
 
 def list_inputs(spark: SparkSession, root: str, glob: str) -> DataFrame:
@@ -21,11 +22,11 @@ def _binary(spark: SparkSession, root: str, glob: str) -> DataFrame:
 
 def file_manifest(spark: SparkSession, root: str, glob: str) -> DataFrame:
     """Path, name, size, digest and role. A file whose digest another file has is a duplicate
-    candidate unless its path sorts first. Files up to 2 GB."""
-    files = _binary(spark, root, glob).select(
+    candidate unless its path sorts first. Files of any size: a task reads a file in parts, once."""
+    files = settle(_binary(spark, root, glob).select(
         "path", F.element_at(F.split("path", "/"), -1).alias("name"), F.col("length").alias("bytes"),
-        F.sha2("content", 256).alias("sha256"),
-    )
+        file_sha256(spark, "path").alias("sha256"),
+    ))
     first = files.groupBy("sha256").agg(F.min("path").alias("first"), F.count("*").alias("copies"))
     role = F.when(F.col("path") == F.col("first"), "canonical").otherwise("duplicate_candidate")
     return files.join(first, "sha256").withColumn("role", role).drop("first")

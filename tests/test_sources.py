@@ -88,6 +88,49 @@ def test_manifest_marks_duplicates(spark, tmp_path):
     assert fl.list_inputs(spark, str(tmp_path), "c*.csv").count() == 1
 
 
+def _sha256(path):
+    import hashlib
+
+    with open(path, "rb") as f:
+        return hashlib.file_digest(f, "sha256").hexdigest()
+
+
+def test_manifest_of_a_file_above_2_gb(spark, tmp_path):
+    """More than one value or array holds; the file is sparse, so it takes no disk."""
+    for name in ("a.bin", "b.bin"):
+        with open(tmp_path / name, "wb") as f:
+            f.write(b"head")
+            f.truncate(2**31 + 5)
+            f.seek(2**31 + 2)
+            f.write(b"end")
+    (tmp_path / "c.bin").write_bytes(b"small")
+    out = {r.name: (r.bytes, r.sha256, r.copies, r.role) for r in fl.file_manifest(spark, str(tmp_path), "*.bin").collect()}
+    large, small = _sha256(tmp_path / "a.bin"), _sha256(tmp_path / "c.bin")
+    assert out == {
+        "a.bin": (2**31 + 5, large, 2, "canonical"), "b.bin": (2**31 + 5, large, 2, "duplicate_candidate"), "c.bin": (5, small, 1, "canonical")}
+
+
+def test_manifest_of_odd_files(spark, tmp_path):
+    """Sizes about that of a part, odd names and an ending that stands for a codec; also by a path that only Spark's readers know."""
+    import gzip
+
+    (tmp_path / "in" / "sub").mkdir(parents=True)
+    part = os.urandom(1 << 20)
+    content = {"less": part[:-1], "part": part, "more": part + b"x", "a b%20#é.csv": b"odd", "sub/text.gz": gzip.compress(b"text"), "sub/twin": b"odd"}
+    for name, c in content.items():
+        (tmp_path / "in" / name).write_bytes(c)
+    twice = {"a b%20#é.csv": (2, "canonical"), "twin": (2, "duplicate_candidate")}
+    want = {(n := path.rsplit("/", 1)[-1]): (len(c), _sha256(tmp_path / "in" / path), *twice.get(n, (1, "canonical"))) for path, c in content.items()}
+    store = f"m{os.getpid()}"
+    spark.conf.set(f"fs.viewfs.mounttable.{store}.link./there", f"file://{tmp_path}/in")
+    try:
+        for root in (str(tmp_path / "in"), f"viewfs://{store}/there"):
+            assert {r.name: (r.bytes, r.sha256, r.copies, r.role) for r in fl.file_manifest(spark, root, "*").collect()} == want
+    finally:
+        spark.conf.unset(f"fs.viewfs.mounttable.{store}.link./there")
+    assert fl.file_manifest(spark, str(tmp_path), "*.none").count() == 0
+
+
 def test_dual_sink_and_dynamic_overwrite(spark, tmp_path):
     rows = spark.createDataFrame([("a", 1, ""), ("a", 2, "bad"), ("b", 3, "")], "p string, v int, reasons string").withColumn("primary_reason", F.lit(None).cast("string"))
     good, bad = str(tmp_path / "good"), str(tmp_path / "bad")
